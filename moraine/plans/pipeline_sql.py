@@ -116,7 +116,7 @@ P6 = f"WITH RECURSIVE {_FIELDS} SELECT DISTINCT table_uuid, schema_id, field_id,
 
 P7 = f"""WITH {_SNAPS},
 refs AS (
-  SELECT 'snapshots' AS ref_table, table_uuid, manifest_list AS ref_path, min(timestamp_ms) AS at FROM snapshots WHERE manifest_list IS NOT NULL GROUP BY ALL
+  SELECT 'snapshots' AS ref_table, table_uuid, manifest_list AS ref_path, min(timestamp_ms) AS at_ms FROM snapshots WHERE manifest_list IS NOT NULL GROUP BY ALL
   UNION ALL SELECT 'metadata_log', table_uuid, metadata_file, min(timestamp_ms) FROM metadata_log WHERE metadata_file IS NOT NULL GROUP BY ALL
   UNION ALL SELECT 'manifest_entries', e.table_uuid, e.file_path, min(s.ts)
   FROM manifest_entries e LEFT JOIN snaps s ON e.table_uuid = s.table_uuid AND coalesce(e.snapshot_id, e.added_snapshot_id) = s.snapshot_id
@@ -124,9 +124,9 @@ refs AS (
 objects AS (SELECT {_object('file_path')} AS object, arg_max(created_ms, listed_ms) AS created, max(listed_ms) AS listed FROM stored_files GROUP BY 1),
 gone AS (SELECT {_object('file_path')} AS object, listed_ms AS listed, max(deleted_ms) AS deleted FROM stored_files GROUP BY 1, 2),
 found AS (
-  SELECT r.*, CASE WHEN o.object IS NULL THEN 'missing' WHEN g.deleted IS NOT NULL THEN 'deleted' WHEN o.created > r.at THEN 'late' END AS state
+  SELECT r.*, CASE WHEN o.object IS NULL THEN 'missing' WHEN g.deleted IS NOT NULL THEN 'deleted' WHEN o.created > r.at_ms THEN 'late' END AS state
   FROM refs r LEFT JOIN objects o ON o.object = {_object('r.ref_path')} LEFT JOIN gone g ON g.object = o.object AND g.listed = o.listed)
-SELECT ref_table, table_uuid, ref_path, strftime(make_timestamp(at * 1000), '%Y-%m') AS period, state FROM found WHERE state IS NOT NULL"""
+SELECT ref_table, table_uuid, ref_path, strftime(make_timestamp(at_ms * 1000), '%Y-%m') AS period, state FROM found WHERE state IS NOT NULL"""
 
 P7_REPORT = f"SELECT ref_table, table_uuid, period, state, count(*) AS orphans FROM ({P7}) GROUP BY ALL"
 
