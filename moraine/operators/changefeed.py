@@ -92,6 +92,9 @@ class BucketedTable:
         base = self.version()
         m = self.manifest(base)
         routed = victims.select(*self.key).withColumn("bucket", self.bucket_of(m["buckets"]))
+        staged = join(self.root, "victims", uuid.uuid4().hex)
+        routed.write.parquet(staged)  # they are needed for the routing and for the merge
+        routed = self.spark.read.parquet(staged)
         touched = [str(r[0]) for r in routed.select("bucket").distinct().collect()]  # at most the number of buckets
         touched = [b for b in touched if b in m["files"]]
         kept = {b: fs for b, fs in m["files"].items() if b not in set(touched)}
@@ -101,6 +104,7 @@ class BucketedTable:
             alive = rows.join(routed.drop("bucket"), self.key, "left_anti")
             new = self._write(alive, base + 1, min(len(touched), _tasks(self.spark)))
         self._commit(base + 1, {**m, "files": {**kept, **new}})
+        self.storage.delete(staged, recursive=True)
         return base + 1
 
     def expire(self, keep: int = 1) -> None:
@@ -118,21 +122,29 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def feed_files(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(table_uuid, file_path, content, equality_ids, sequence, removed), one row per file.
+def feed_files(entries: DataFrame, snapshots: DataFrame, feed: DataFrame) -> DataFrame:
+    """(file_id, table_uuid, file_path, object, content, equality_ids, sequence, removed), one row per
+    file of the tables in the feed.
 
     The sequence is that of the entry that added the file, or its snapshot's when null; a file
     never seen as added takes the number of any of its entries. Files without any number, without
-    a path or a content give no row.
+    a path or a content give no row. ``file_id`` is a dense number; the result has to be written
+    before it is used twice.
     """
+    tables = feed.select("table_uuid").distinct()
     snaps = (
         snapshots.select("table_uuid", F.col("snapshot_id").alias("sid"), F.col("sequence_number").alias("snap_seq"))
+        .join(tables, "table_uuid", "left_semi")
         .groupBy("table_uuid", "sid")
         .agg(F.max("snap_seq").alias("snap_seq"))
     )
-    rows = entries.where(F.col("file_path").isNotNull()).select(
-        "table_uuid", "file_path", F.coalesce("snapshot_id", "added_snapshot_id").alias("sid"), "status", "content",
-        F.array_sort("equality_ids").alias("equality_ids"), "sequence_number",
+    rows = (
+        entries.where(F.col("file_path").isNotNull())
+        .select(
+            "table_uuid", "file_path", F.coalesce("snapshot_id", "added_snapshot_id").alias("sid"), "status", "content",
+            F.array_sort("equality_ids").alias("equality_ids"), "sequence_number",
+        )
+        .join(tables, "table_uuid", "left_semi")
     )
     return (
         rows.join(snaps, ["table_uuid", "sid"], "left")
@@ -146,6 +158,7 @@ def feed_files(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
             F.max(F.coalesce(F.col("status") == 2, F.lit(False))).alias("removed"),
         )
         .where(F.col("sequence").isNotNull() & F.col("content").isNotNull())
+        .select(F.monotonically_increasing_id().alias("file_id"), "*", canonical_path(F.col("file_path")).alias("object"))
     )
 
 
@@ -157,63 +170,73 @@ def _routed(rows: DataFrame, deletes: DataFrame, key: Column) -> DataFrame:
 
 
 def victims_of_positions(rows: DataFrame, deletes: DataFrame) -> DataFrame:
-    """(file_path, row_pos) of rows hit by a position delete of the same or a later sequence.
+    """(file_id, row_pos) of rows hit by a position delete of the same or a later sequence.
 
-    ``rows``: object, file_path, row_pos, sequence. ``deletes``: object, del_offset, sequence.
-    Deletes of the same position are reduced to the newest before anything moves.
+    ``rows``: file_id, row_pos, sequence. ``deletes``: file_id, row_pos, sequence. Deletes of the
+    same position are reduced to the newest before they meet the rows.
     """
-    newest = deletes.groupBy("object", F.col("del_offset").alias("row_pos")).agg(F.max("sequence").alias("del_seq"))
-    near = _routed(rows.select("object", "file_path", "row_pos", "sequence"), newest, F.xxhash64("object", "row_pos"))
-    return near.join(newest, ["object", "row_pos"]).where("del_seq >= sequence").select("file_path", "row_pos")
+    newest = deletes.groupBy("file_id", "row_pos").agg(F.max("sequence").alias("del_seq"))
+    near = _routed(rows.select("file_id", "row_pos", "sequence"), newest, F.xxhash64("file_id", "row_pos"))
+    return near.join(newest, ["file_id", "row_pos"]).where("del_seq >= sequence").select("file_id", "row_pos")
 
 
 def victims_of_keys(rows: DataFrame, deletes: DataFrame, columns: list[str]) -> DataFrame:
-    """(file_path, row_pos) of rows older than an equality delete of their table with equal values.
+    """(file_id, row_pos) of rows older than an equality delete of their table with equal values.
 
-    Null equals null. The deletes are reduced to the newest per table and values first, so each
-    row meets at most one; a hot value (null, mostly) is split by salting the rows and copying that
-    one reduced delete.
+    Null equals null. The deletes are reduced to the newest per table and values first, so each row
+    meets at most one of them, and a hot value's rows can be split by adaptive execution.
     """
-    salts = 16
-    flags = [F.col(c).isNull() for c in columns]
-    hashed = F.xxhash64("table_uuid", *columns, *flags)
+    hashed = F.xxhash64("table_uuid", *columns, *(F.col(c).isNull() for c in columns))
     newest = deletes.groupBy("table_uuid", *columns).agg(F.max("sequence").alias("del_seq")).withColumn("k", hashed)
-    near = _routed(rows.withColumn("k", hashed), newest, F.col("k"))
-    near = near.withColumn("salt", F.pmod(F.xxhash64("row_pos", "file_path"), F.lit(salts)))
-    copies = newest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    l, r = near.alias("l"), copies.alias("r")
-    same = reduce(
-        lambda a, c: a & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), columns,
-        (F.col("l.k") == F.col("r.k")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.table_uuid") == F.col("r.table_uuid")),
-    )
-    return l.join(r, same & (F.col("del_seq") > F.col("l.sequence"))).select("l.file_path", "l.row_pos")
+    near = _routed(rows.select("file_id", "row_pos", "sequence", "table_uuid", *columns).withColumn("k", hashed), newest, F.col("k"))
+    l, r = near.alias("l"), newest.alias("r")
+    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.table_uuid") == F.col("r.table_uuid"))
+    same = reduce(lambda a, c: a & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), columns, same)
+    return l.join(r, same & (F.col("del_seq") > F.col("l.sequence"))).select("l.file_id", "l.row_pos")
 
 
 def apply_feed(
     spark: SparkSession, entries: DataFrame, snapshots: DataFrame, feed: DataFrame, root: str, buckets: int = 64
-) -> BucketedTable:
-    """Rebuild the current rows of all delta tables under ``root``; returns the bucketed table.
+) -> tuple[BucketedTable, DataFrame]:
+    """Rebuild the current rows of all delta tables under ``root``.
 
-    Order of arrival does not matter: sequence numbers decide. Repeated feed rows count once; rows
-    of files that no manifest knows are ignored, as are deletes that hit nothing.
+    Returns the bucketed table, whose rows carry a ``file_id``, and the files by that number. Order of
+    arrival does not matter: sequence numbers decide. Repeated feed rows count once; rows of files
+    that no manifest knows are ignored, as are deletes that hit nothing. Paths are replaced by
+    numbers once, so everything after the first join moves numbers only.
     """
-    files = feed_files(entries, snapshots)
-    known = feed.where(F.col("file_path").isNotNull() & F.col("row_pos").isNotNull()).drop("arrived_at")
-    tagged = known.join(files, ["table_uuid", "file_path"])
-    rows = (
-        tagged.where((F.col("content") == 0) & ~F.col("removed"))
-        .select("table_uuid", "file_path", "row_pos", *FIELDS.values(), "sequence")
-        .dropDuplicates(["table_uuid", "file_path", "row_pos"])
-    )
-    table = BucketedTable(spark, root, ["file_path", "row_pos"])
-    table.create(rows, buckets)
-    base = table.read().withColumn("object", canonical_path(F.col("file_path")))
 
-    positions = tagged.where((F.col("content") == 1) & F.col("del_path").isNotNull()).select(
-        canonical_path(F.col("del_path")).alias("object"), "del_offset", "sequence"
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(join(root, name))
+        return spark.read.parquet(join(root, name))
+
+    files = written(feed_files(entries, snapshots, feed), "files")
+    known = feed.where(F.col("file_path").isNotNull() & F.col("row_pos").isNotNull()).drop("arrived_at")
+    tagged = (
+        known.join(files.drop("object"), ["table_uuid", "file_path"])
+        .dropDuplicates(["table_uuid", "file_path", "row_pos"])  # rides on the join's partitioning
+        .where("content <> 0 or not removed")
+        .select(
+            "content", "file_id", "table_uuid", "row_pos", *FIELDS.values(), "sequence", "equality_ids",
+            F.when(F.col("content") == 1, canonical_path(F.col("del_path"))).alias("object"), "del_offset",
+        )
+    )
+    tagged = written(tagged, "feed")
+
+    table = BucketedTable(spark, root, ["file_id", "row_pos"])
+    table.create(tagged.where("content = 0").select("file_id", "table_uuid", "row_pos", *FIELDS.values(), "sequence"), buckets)
+    base = table.read()
+
+    # One object may be listed under several spellings; each of its files is meant.
+    positions = (
+        tagged.where("content = 1 and object is not null and del_offset is not null")
+        .groupBy("object", F.col("del_offset").alias("row_pos"))
+        .agg(F.max("sequence").alias("sequence"))
+        .join(files.where("content = 0").select("object", "file_id"), "object")
+        .drop("object")
     )
     dead = [victims_of_positions(base, positions)]
-    equality = tagged.where(F.col("content") == 2)
+    equality = tagged.where("content = 2")
     # Distinct sets of field ids: at most 2^fields - 1, whatever the size of the feed.
     masks = files.where("content = 2 and size(equality_ids) > 0").select("equality_ids").distinct().collect()
     for (ids,) in masks:
@@ -224,4 +247,5 @@ def apply_feed(
         dead.append(victims_of_keys(base, chosen.select("table_uuid", *columns, "sequence"), columns))
     table.apply_victims(reduce(DataFrame.unionByName, dead))
     table.expire()
-    return table
+    table.storage.delete(join(root, "feed"), recursive=True)
+    return table, files

@@ -30,8 +30,8 @@ def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     entries, snapshots, rows = load(spark, d, "manifest_entries", "snapshots", "delta_rows")
-    table = changefeed.apply_feed(spark, entries, snapshots, rows, scratch_path(spark, "feed"))
-    return table.read().select("file_path", "row_pos")
+    table, files = changefeed.apply_feed(spark, entries, snapshots, rows, scratch_path(spark, "feed"))
+    return table.read().select("file_id", "row_pos").join(files.select("file_id", "file_path"), "file_id").select("file_path", "row_pos")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
