@@ -31,13 +31,14 @@ BLOCK = 4096
 SALTS = 8
 
 
-def table_changes(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(table_uuid, sequence, file_path, status): files added (1) and removed (2), each once.
+def table_changes(entries: DataFrame, snapshots: DataFrame, repeated: bool = False) -> DataFrame:
+    """(table_uuid, sequence, file_path, status): files added (1) and removed (2), each once, or as
+    often as they are listed if ``repeated``.
 
     An added file counts at its own sequence number, or at its snapshot's when that is null; a
     removed file at its snapshot's. An entry's snapshot is ``snapshot_id`` or, when null,
     ``added_snapshot_id``. Entries of other states, with a null path, or whose sequence number is
-    nowhere to be found give no row. Repeated entries count once.
+    nowhere to be found give no row.
     """
     wanted = entries.where(F.col("status").isin(1, 2) & F.col("file_path").isNotNull()).select(
         F.col("table_uuid"),
@@ -51,13 +52,12 @@ def table_changes(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
         .groupBy("table_uuid", "sid")
         .agg(F.max("snap_seq").alias("snap_seq"))
     )
-    return (
+    found = (
         wanted.join(snaps, ["table_uuid", "sid"], "left")
-        .select("table_uuid", "sid", F.coalesce("own", "snap_seq").alias("sequence"), "file_path", "status")
+        .select("table_uuid", F.coalesce("own", "snap_seq").alias("sequence"), "file_path", "status")
         .where(F.col("sequence").isNotNull())
-        .dropDuplicates(["table_uuid", "sid", "sequence", "file_path", "status"])  # rides on the join's partitioning
-        .drop("sid")
     )
+    return found if repeated else found.distinct()
 
 
 def lease_states(events: DataFrame) -> DataFrame:
@@ -160,8 +160,12 @@ def ledger_states(
 
 
 def unprocessed_changes(entries: DataFrame, snapshots: DataFrame, events: DataFrame) -> DataFrame:
-    """(consumer, table_uuid, file_path, status) that no successful run has processed, each once."""
-    changes = table_changes(entries, snapshots)
+    """(consumer, table_uuid, file_path, status) that no successful run has processed, each once.
+
+    Repeated entries are dropped at the end only: both joins then are followed by a shuffle, so
+    adaptive execution may split a snapshot that holds a large part of all entries.
+    """
+    changes = table_changes(entries, snapshots, repeated=True)
     points = changes.select("table_uuid", "sequence").distinct()
     open_points = ledger_states(points, events).where(F.col("state") != "done").drop("state")
     return (
