@@ -21,6 +21,8 @@ from ..functions.paths import canonical_path
 
 #: Hash buckets whose touched set is broadcast as a list: at most 256 KB.
 ROUTE_BUCKETS = 1 << 15
+#: Feed rows per bucket of the table, about.
+BUCKET_ROWS = 500_000
 
 FIELDS = {1: "row_id", 2: "row_key", 3: "row_value"}
 
@@ -55,6 +57,7 @@ class BucketedTable:
         folder = join(self.root, "data", f"v{version}-{uuid.uuid4().hex}")
         (
             df.repartition(tasks, "bucket")
+            .dropDuplicates(["bucket", *self.key])  # rides on the partitioning
             .sortWithinPartitions("bucket", *self.key)
             .write.partitionBy("bucket")
             .option("compression", "zstd")
@@ -68,7 +71,7 @@ class BucketedTable:
         return found
 
     def create(self, rows: DataFrame, buckets: int) -> None:
-        """Write version 0. The rows' key must be unique; columns may hold nulls."""
+        """Write version 0. Of rows with the same key one is kept; columns may hold nulls."""
         files = self._write(rows.withColumn("bucket", self.bucket_of(buckets)), 0, min(buckets, _tasks(self.spark)))
         self._commit(0, {"buckets": buckets, "files": files, "schema": rows.schema.jsonValue()})
 
@@ -196,7 +199,7 @@ def victims_of_keys(rows: DataFrame, deletes: DataFrame, columns: list[str]) ->
 
 
 def apply_feed(
-    spark: SparkSession, entries: DataFrame, snapshots: DataFrame, feed: DataFrame, root: str, buckets: int = 64
+    spark: SparkSession, entries: DataFrame, snapshots: DataFrame, feed: DataFrame, root: str, bucket_rows: int = BUCKET_ROWS
 ) -> tuple[BucketedTable, DataFrame]:
     """Rebuild the current rows of all delta tables under ``root``.
 
@@ -213,8 +216,7 @@ def apply_feed(
     files = written(feed_files(entries, snapshots, feed), "files")
     known = feed.where(F.col("file_path").isNotNull() & F.col("row_pos").isNotNull()).drop("arrived_at")
     tagged = (
-        known.join(files.drop("object"), ["table_uuid", "file_path"])
-        .dropDuplicates(["table_uuid", "file_path", "row_pos"])  # rides on the join's partitioning
+        known.join(files.drop("object"), ["table_uuid", "file_path"])  # a large file can be split here
         .where("content <> 0 or not removed")
         .select(
             "content", "file_id", "table_uuid", "row_pos", *FIELDS.values(), "sequence", "equality_ids",
@@ -224,7 +226,7 @@ def apply_feed(
     tagged = written(tagged, "feed")
 
     table = BucketedTable(spark, root, ["file_id", "row_pos"])
-    table.create(tagged.where("content = 0").select("file_id", "table_uuid", "row_pos", *FIELDS.values(), "sequence"), buckets)
+    table.create(tagged.where("content = 0").select("file_id", "table_uuid", "row_pos", *FIELDS.values(), "sequence"), max(8, -(-feed.count() // bucket_rows)))
     base = table.read()
 
     # One object may be listed under several spellings; each of its files is meant.
