@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core.session import cut
+
 # Letters of the Cyrillic and Greek alphabets and the Latin letters they look like.
 CYRILLIC = "АВЕЅЗІЇЈКМНОРСТУХҮҺӀԌԚԜ" "аеѕіјоросухһӏԁԛԝүѵ"
 CYRILLIC_AS = "ABES3IÏJKMHOPCTYXYhIGQW" "aesijopocyxhldqwyv"
@@ -100,15 +102,14 @@ def lookalike_members(docs: DataFrame) -> DataFrame:
     and case level. Since that collation also ignores control characters, classes are split by an
     exact comparison of the composed form.
     """
-    m = with_mapped(docs)
-    keyed = m.withColumn("s", _skeleton(F.col("mapped"))).withColumn("t", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")))
-    shared = keyed.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("s")
-    near = keyed.join(shared, "s", "left_semi").select("doc_id", "text", "mapped")
+    m = with_mapped(docs).withColumn("string_id", F.md5("text"))
+    keyed = m.withColumn("s", _skeleton(F.col("mapped")))
+    shared = keyed.groupBy("s").agg(F.min("string_id").alias("lo"), F.max("string_id").alias("hi")).where("lo <> hi").select("s")
+    near = keyed.join(shared, "s", "left_semi")
     # One row per different string; copies are folded before the collation has to compare them.
-    strings = near.groupBy("text").agg(F.min("doc_id").alias("variant"), F.first("mapped").alias("mapped"))
-    from ..core.session import cut
-
-    strings = cut(strings)
+    strings = cut(
+        near.groupBy("string_id").agg(F.min("doc_id").alias("variant"), F.first("mapped").alias("mapped"), F.first("text").alias("text"))
+    )
     under = F.collate("mapped", "UNICODE")
     classes = (
         strings.groupBy(under.alias("look"))
@@ -116,18 +117,20 @@ def lookalike_members(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("look", F.col("least.variant").alias("class_id"))
     )
-    placed = strings.join(classes, under == F.col("look")).select("class_id", "variant", "text", "mapped")
-    exact = placed.mapInArrow(_exact, "class_id bigint, variant bigint, text string, form string")
+    placed = strings.join(classes, under == F.col("look")).select("class_id", "variant", "string_id", "mapped")
+    exact = placed.mapInArrow(_exact, "class_id bigint, variant bigint, string_id string, form string")
     # Split by the composed form, and drop classes of which one string is left.
+    exact = exact.withColumn("form", F.md5("form"))
     sure = exact.groupBy("class_id", "form").agg(F.count(F.lit(1)).alias("n"), F.min("variant").alias("sub_id")).where("n > 1")
-    sure = exact.join(sure, ["class_id", "form"]).select(F.col("sub_id").alias("class_id"), "variant", "text")
-    return near.select("doc_id", "text").join(sure, "text").select("class_id", "doc_id", "variant")
+    sure = exact.join(sure, ["class_id", "form"]).select(F.col("sub_id").alias("class_id"), "variant", "string_id")
+    ids = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("string_id"))
+    return ids.join(sure, "string_id").select("class_id", "doc_id", "variant")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [unicodedata.normalize("NFC", t) for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.string())], names=["class_id", "variant", "text", "form"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.string())], names=["class_id", "variant", "string_id", "form"])
 
 
 def lookalike_pairs(members: DataFrame) -> DataFrame:
