@@ -53,6 +53,15 @@ def _hash_decimal(v: pa.Array) -> pa.Array:
     return pa.array(hash_decimals(v), pa.int32(), mask=v.is_null().to_numpy(zero_copy_only=False))
 
 
+def _truncator(width: int, scale: int):
+    @F.arrow_udf(T.DecimalType(38, scale))
+    def run(v: pa.Array) -> pa.Array:
+        unscaled_ = [None if x is None else unscaled(x, scale) for x in v.to_pylist()]
+        return pa.array([None if n is None else Decimal(n - n % width).scaleb(-scale) for n in unscaled_], pa.decimal128(38, scale))
+
+    return run
+
+
 def hash_column(c: Column, source: Primitive) -> Column:
     """The 32-bit hash that ``bucket`` is made from."""
     if source.is_decimal:
@@ -89,8 +98,11 @@ def transform_column(t: Transform, c: Column, source: Primitive) -> Column:
         return F.substring(c, 1, t.width)
     if source.is_decimal:
         p, s = source.decimal
-        width = F.lit(Decimal(t.width).scaleb(-s)).cast(f"decimal(38,{s})")
-        return (c - F.pmod(c.cast(f"decimal(38,{s})"), width)).cast(f"decimal({p},{s})")
+        if p == 38:  # a difference of two such values would lose its last digit
+            return _truncator(t.width, s)(c)
+        digits = max(len(str(t.width)), s)
+        width = F.lit(str(Decimal(t.width).scaleb(-s))).cast(f"decimal({digits},{s})")
+        return (c - F.pmod(c, width)).cast(f"decimal({p},{s})")
     kind = "int" if source.name == "int" else "bigint"
     return (c - F.pmod(c, F.lit(t.width).cast(kind))).cast(kind)
 

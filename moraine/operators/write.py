@@ -27,6 +27,7 @@ from ..functions.transforms import micros_of, transform_column
 PART, PKEY = "__partition", "__pkey"
 SEQ_COLUMN, SEQ_ID = "__change_seq", 2147483447
 _NULL = "\x00"
+TIMESTAMP_TYPE = "spark.sql.parquet.outputTimestampType"
 
 
 def data_folder(location: str, properties: dict[str, str]) -> str:
@@ -199,6 +200,7 @@ class FileWriter:
 
     def _write(self, rows: DataFrame, shape: T.StructType, partition_col: str | None, order: list[Column], max_rows: int, places: list[tuple[int, dict]] | None = None) -> list[DataFile]:
         staging = join(self.folder, f"w-{uuid.uuid4().hex}")
+        self.spark.conf.set(TIMESTAMP_TYPE, "TIMESTAMP_MICROS")
         options = self.config.writer_options([f.name for f in self.schema.fields if isinstance(f.type, Primitive)])
         options.pop("maxRecordsPerFile", None)
         if max_rows:
@@ -297,6 +299,17 @@ def _bound(v, arrow_type, upper: bool) -> bytes | None:
     return None if name is None else to_bytes(Primitive(name), v)
 
 
+def _extremes(stats) -> tuple | None:
+    import pyarrow as pa
+
+    if stats is None or not stats.has_min_max:
+        return None
+    try:
+        return stats.min, stats.max
+    except pa.ArrowNotImplementedError:  # a physical type whose statistics Arrow does not read
+        return None
+
+
 def footer(path: str) -> DataFile:
     """What a Parquet file's footer tells, keyed by field id."""
     import pyarrow.parquet as pq
@@ -327,9 +340,10 @@ def footer(path: str) -> DataFile:
                 blind.add(fid)
             else:
                 nulls[fid] = nulls.get(fid, 0) + stats.null_count
-            if stats is not None and stats.has_min_max and col.path_in_schema in kinds:
-                low[fid] = (min(low[fid][0], stats.min) if fid in low else stats.min, kinds[col.path_in_schema])
-                high[fid] = (max(high[fid][0], stats.max) if fid in high else stats.max, kinds[col.path_in_schema])
+            extremes = _extremes(stats) if col.path_in_schema in kinds else None
+            if extremes is not None:
+                low[fid] = (min(low[fid][0], extremes[0]) if fid in low else extremes[0], kinds[col.path_in_schema])
+                high[fid] = (max(high[fid][0], extremes[1]) if fid in high else extremes[1], kinds[col.path_in_schema])
             elif stats is None or stats.null_count != col.num_values:
                 blind.add(-fid)  # a group without bounds: none for the file
         if starts:
