@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import struct
 import uuid
-from decimal import Decimal
+from decimal import Context, Decimal
 
 from ..core.errors import InvalidData
 from .types import ListOf, MapOf, Primitive, Struct, Type
@@ -36,8 +36,15 @@ def micros_time(us: int) -> dt.time:
     return (dt.datetime.min + us * _US).time()
 
 
+_EXACT = Context(prec=100)  # the default context would round the longest decimals
+
+
 def unscaled(d: Decimal, scale: int) -> int:
-    return int(d.scaleb(scale).to_integral_exact())
+    return int(_EXACT.scaleb(d, scale).to_integral_exact(context=_EXACT))
+
+
+def scaled(n: int, scale: int) -> Decimal:
+    return _EXACT.scaleb(Decimal(n), -scale)
 
 
 def twos_complement(n: int) -> bytes:
@@ -136,7 +143,7 @@ def from_avro_value(t: Primitive, v):
     if v is None:
         return None
     if t.is_decimal:
-        return Decimal(int.from_bytes(v, "big", signed=True)).scaleb(-t.decimal[1])
+        return scaled(int.from_bytes(v, "big", signed=True), t.decimal[1])
     if t.name == "date":
         return EPOCH + dt.timedelta(days=v)
     if t.name == "time":
@@ -170,7 +177,7 @@ def from_bytes(t: Primitive, b: bytes | None):
     if b is None:
         return None
     if t.is_decimal:
-        return Decimal(int.from_bytes(b, "big", signed=True)).scaleb(-t.decimal[1])
+        return scaled(int.from_bytes(b, "big", signed=True), t.decimal[1])
     if t.name == "string":
         return b.decode(errors="replace")
     if t.name == "boolean":

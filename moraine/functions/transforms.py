@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..format.types import Primitive, Transform
-from ..format.values import days, micros, time_micros, twos_complement, unscaled
+from ..format.values import days, micros, scaled, time_micros, twos_complement, unscaled
 from .murmur import hash_binary, hash_decimals, hash_longs, hash_one
 
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
@@ -57,7 +57,7 @@ def _truncator(width: int, scale: int):
     @F.arrow_udf(T.DecimalType(38, scale))
     def run(v: pa.Array) -> pa.Array:
         unscaled_ = [None if x is None else unscaled(x, scale) for x in v.to_pylist()]
-        return pa.array([None if n is None else Decimal(n - n % width).scaleb(-scale) for n in unscaled_], pa.decimal128(38, scale))
+        return pa.array([None if n is None else scaled(n - n % width, scale) for n in unscaled_], pa.decimal128(38, scale))
 
     return run
 
@@ -101,7 +101,7 @@ def transform_column(t: Transform, c: Column, source: Primitive) -> Column:
         if p == 38:  # a difference of two such values would lose its last digit
             return _truncator(t.width, s)(c)
         digits = max(len(str(t.width)), s)
-        width = F.lit(str(Decimal(t.width).scaleb(-s))).cast(f"decimal({digits},{s})")
+        width = F.lit(str(scaled(t.width, s))).cast(f"decimal({digits},{s})")
         return (c - F.pmod(c, width)).cast(f"decimal({p},{s})")
     kind = "int" if source.name == "int" else "bigint"
     return (c - F.pmod(c, F.lit(t.width).cast(kind))).cast(kind)
@@ -132,7 +132,7 @@ def transform_value(t: Transform, v, source: Primitive):
             return v[: t.width]
         if source.is_decimal:
             n = unscaled(Decimal(v), source.decimal[1])
-            return Decimal(n - n % t.width).scaleb(-source.decimal[1])
+            return scaled(n - n % t.width, source.decimal[1])
         return v - v % t.width
     if t.name == "hour":
         return micros(v) // HOUR_US

@@ -214,7 +214,8 @@ def apply_feed(
         return spark.read.parquet(join(root, name))
 
     files = written(feed_files(entries, snapshots, feed), "files")
-    known = feed.where(F.col("file_path").isNotNull() & F.col("row_pos").isNotNull()).drop("arrived_at")
+    wanted = ["table_uuid", "file_path", "row_pos", *FIELDS.values(), "del_path", "del_offset"]
+    known = feed.where(F.col("file_path").isNotNull() & F.col("row_pos").isNotNull()).select(*wanted)
     tagged = (
         known.join(files.drop("object"), ["table_uuid", "file_path"])  # a large file can be split here
         .where("content <> 0 or not removed")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from decimal import Context, Decimal, InvalidOperation
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +71,9 @@ def lake_schema_changes(metadata: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- records under one schema
 
 
+_EXACT = Context(prec=100)
+
+
 def _kind(t) -> str:
     return t.replace(" ", "") if isinstance(t, str) else t["type"]
 
@@ -93,7 +96,7 @@ def convert_scalar(value, source: str, target: str):
         elif target.startswith("decimal"):
             precision, scale = map(int, target[8:-1].split(","))
             number = Decimal(text)
-            fitted = number.quantize(Decimal(1).scaleb(-scale)) if number.is_finite() else None
+            fitted = number.quantize(Decimal(1).scaleb(-scale), context=_EXACT) if number.is_finite() else None
             if fitted == number and fitted.adjusted() < precision - scale:
                 return str(fitted), True
         elif target == "boolean" and text in ("true", "false"):

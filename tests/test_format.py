@@ -118,7 +118,7 @@ def test_schema_evolution_keeps_ids():
 VALUES = [
     (P("boolean"), True), (P("int"), -5), (P("long"), 1 << 40), (P("double"), 1.5), (P("date"), dt.date(1969, 5, 1)), (P("time"), dt.time(1, 2, 3, 4)),
     (P("timestamp"), dt.datetime(2020, 1, 2, 3, 4, 5, 6)), (P("timestamptz"), dt.datetime(1960, 1, 2, tzinfo=dt.timezone.utc)), (P("string"), "ä'\\"),
-    (P("uuid"), uuid.UUID(int=5)), (P("binary"), b"\x00\xff"), (P("fixed[2]"), b"ab"), (P("decimal(38,10)"), Decimal("-123.0000000001")),
+    (P("uuid"), uuid.UUID(int=5)), (P("binary"), b"\x00\xff"), (P("fixed[2]"), b"ab"), (P("decimal(38,10)"), Decimal("-123.0000000001")), (P("decimal(38,19)"), Decimal("-" + "1" * 19 + "." + "7" * 19)),
 ]
 
 
