@@ -54,6 +54,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    tree = hierarchy.lineage(load(spark, d, "snapshots"), "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number")
+    return tree.select(F.col("tree").alias("table_uuid"), F.col("node_id").alias("snapshot_id"), "descendants")
+
+
+def p4_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Paths and descendants of all snapshots as intervals."""
+    found = hierarchy.spans(load(spark, d, "snapshots"), "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number")
+    return found.withColumnsRenamed({"tree": "table_uuid", "node_id": "snapshot_id", "root_id": "root_snapshot_id"})
+
+
+def p4_history(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of each table's snapshots that metadata documents call current."""
+    snapshots, metadata = load(spark, d, "snapshots", "table_metadata")
+    current = metadata.groupBy("table_uuid").agg(F.max_by("current_snapshot_id", F.struct("last_updated_ms", "metadata_file")).alias("node_id"))
+    found = hierarchy.histories(snapshots, "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number", current.withColumnRenamed("table_uuid", "tree"))
+    return found.withColumnsRenamed({"tree": "table_uuid", "node_id": "snapshot_id", "ancestor_id": "ancestor_snapshot_id"})
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.lake_schema_changes(load(spark, d, "table_metadata"))
 
@@ -85,5 +104,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_ledger, p2_found, p3_found, p3_groups, p4_found, p5_found, p5_union, p5_records, p6_found, p7_found, p7_report,
+    p1_found, p1_ledger, p2_found, p3_found, p3_groups, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p6_found, p7_found, p7_report,
 )}

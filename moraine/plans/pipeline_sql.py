@@ -79,6 +79,32 @@ tree AS (
 SELECT n.table_uuid, n.snapshot_id, coalesce(t.root, -1) AS root_snapshot_id, coalesce(t.depth, -1) AS depth
 FROM nodes n LEFT JOIN tree t USING (table_uuid, snapshot_id)"""
 
+P4_DESCENDANTS = """WITH RECURSIVE nodes AS (SELECT table_uuid, snapshot_id, max(parent_snapshot_id) AS parent FROM snapshots GROUP BY ALL),
+tree AS (
+  SELECT n.table_uuid, n.snapshot_id FROM nodes n
+  WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.table_uuid = n.table_uuid AND p.snapshot_id = n.parent)
+  UNION ALL
+  SELECT n.table_uuid, n.snapshot_id FROM tree t JOIN nodes n ON n.table_uuid = t.table_uuid AND n.parent = t.snapshot_id),
+up AS (
+  SELECT table_uuid, snapshot_id, snapshot_id AS a FROM tree
+  UNION ALL
+  SELECT u.table_uuid, u.snapshot_id, p.snapshot_id FROM up u JOIN nodes n ON n.table_uuid = u.table_uuid AND n.snapshot_id = u.a
+    JOIN nodes p ON p.table_uuid = n.table_uuid AND p.snapshot_id = n.parent),
+sizes AS (SELECT table_uuid, a, count(*) - 1 AS below FROM up GROUP BY ALL)
+SELECT n.table_uuid, n.snapshot_id, coalesce(s.below, -1) AS descendants FROM nodes n LEFT JOIN sizes s ON s.table_uuid = n.table_uuid AND s.a = n.snapshot_id"""
+
+P4_HISTORY = """WITH RECURSIVE nodes AS (SELECT table_uuid, snapshot_id, max(parent_snapshot_id) AS parent FROM snapshots GROUP BY ALL),
+wanted AS (SELECT table_uuid, current_snapshot_id AS snapshot_id FROM table_metadata
+  QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY last_updated_ms DESC, metadata_file DESC) = 1),
+up AS (
+  SELECT n.table_uuid, n.snapshot_id, n.snapshot_id AS a, 0::BIGINT AS distance FROM nodes n JOIN wanted USING (table_uuid, snapshot_id)
+  UNION ALL
+  SELECT u.table_uuid, u.snapshot_id, p.snapshot_id, distance + 1 FROM up u JOIN nodes n ON n.table_uuid = u.table_uuid AND n.snapshot_id = u.a
+    JOIN nodes p ON p.table_uuid = n.table_uuid AND p.snapshot_id = n.parent
+  WHERE distance < (SELECT count(*) FROM nodes)),
+endless AS (SELECT DISTINCT table_uuid, snapshot_id FROM up GROUP BY table_uuid, snapshot_id, a HAVING count(*) > 1)
+SELECT table_uuid, snapshot_id, a AS ancestor_snapshot_id, distance FROM up ANTI JOIN endless USING (table_uuid, snapshot_id)"""
+
 _FIELDS = """docs AS (SELECT table_uuid, unnest(json_extract(schemas_json, '$[*]')) AS s FROM table_metadata),
 schemas AS (SELECT table_uuid, CAST(s ->> '$."schema-id"' AS INT) AS schema_id, max(s::VARCHAR)::JSON AS s FROM docs GROUP BY ALL),
 fields AS (
@@ -136,6 +162,8 @@ ORACLE_SQL = {
     "p2_found": P2,
     "p3_found": P3,
     "p4_found": P4,
+    "p4_descendants": P4_DESCENDANTS,
+    "p4_history": P4_HISTORY,
     "p5_found": P5,
     "p5_union": P5_UNION,
     "p6_found": P6,

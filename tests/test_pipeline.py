@@ -259,29 +259,44 @@ def test_lineage_against_brute_force(spark):
         answer = forest_answer(parents)
         rows += [(f"t{t}", i, p, i if t % 2 else rng.randrange(1000), 0, None, 0, "x") for i, p in parents.items()]
         want |= {(f"t{t}", i, *answer[i]) for i in parents}
+    descendants = {}
+    for t, i, p, *_ in rows:
+        if (t, i, -1, -1) not in want:
+            up = {r[1]: r[2] for r in rows if r[0] == t}
+            m = i
+            while m in up:
+                descendants.setdefault((t, m), set()).add(i)
+                m = up[m]
+    below = {k: len(v) - 1 for k, v in descendants.items()}
     rows += rows[:20] + [("t0", None, 3, 1, 0, None, 0, "x")]
     df = spark.createDataFrame(rows, SNAP)
     args = ("table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number")
     for range_nodes in (100_000, 40, 8):
         got = tuples(hierarchy.lineage(df, *args, range_nodes=range_nodes))
-        assert len(got) == len(want) and set(got) == want
+        assert len(got) == len(want) and {g[:4] for g in got} == want
+        assert all(g[4] == below.get(g[:2], -1) for g in got)
+    for range_nodes in (100_000, 40):
+        rows_ = hierarchy.spans(df, *args, range_nodes=range_nodes).collect()
+        assert {(r.tree, r.node_id, r.root_id, r.depth) for r in rows_} == want
+        sane = [r for r in rows_ if r.root_id != -1]
+        assert all(r["first"] is None and r["last"] is None for r in rows_ if r.root_id == -1)
+        for r in sane:
+            inside = {x.node_id for x in sane if (x.tree, x.root_id) == (r.tree, r.root_id) and r["first"] <= x["first"] <= r["last"]}
+            assert inside == descendants[r.tree, r.node_id]
     assert hierarchy.lineage(df.limit(0), *args).count() == 0
 
 
 def test_splicing_finishes_scattered_chains(spark):
     rng = random.Random(4)
-    order = list(range(40))
+    order = list(range(14))
     rng.shuffle(order)
-    links = [(n, order[i - 1] if i else -1, n) for i, n in enumerate(order)] + [(1000 + i, 1000 + (i + 1) % 9, i) for i in range(9)] + [(2000, 1003, 5)]
+    links = [(n, order[i - 1] if i else -1, n) for i, n in enumerate(order)] + [(1000 + i, 1000 + (i + 1) % 4, i) for i in range(4)] + [(2000, 1003, 5)]
     df = spark.createDataFrame(links, "node long, parent long, place long")
     records = []
-    core = df.select("node", "parent", F.lit(1).cast("long").alias("weight"), "place")
-    solved = hierarchy._finish_by_splicing(core, records, 64)
-    for gone in reversed(records):
-        r = solved.select(F.col("node").alias("ref"), "root", "depth")
-        solved = solved.unionByName(gone.join(r, "ref").select("node", "root", F.when(F.col("root") == -1, -1).otherwise(F.col("depth") + F.col("far")).alias("depth")))
-        solved = solved.checkpoint()
-    want = {(n, order[0], i) for i, n in enumerate(order)} | {(n, -1, -1) for n in [*range(1000, 1009), 2000]}
+    one = lambda n: F.lit(n).cast("long")
+    core = df.select("node", "parent", one(1).alias("weight"), "place", one(1).alias("own"), one(0).alias("extra"))
+    solved = hierarchy._reversed(hierarchy._finish_by_splicing(core, records, 64), records)
+    want = {(n, order[0], i, len(order) - i) for i, n in enumerate(order)} | {(n, -1, -1, -1) for n in [*range(1000, 1004), 2000]}
     assert set(tuples(solved)) == want
 
 
@@ -298,7 +313,8 @@ def test_contraction_of_one_range(seed, n):
     node = np.array(list(parents), dtype=np.int64) + 5
     parent = np.array([-1 if p not in parents else p + 5 for p in parents.values()], dtype=np.int64)
     children = np.array([sum(p == q for p in parent) for q in node])
-    (gone, ref, far), (kept, up, dist, root) = hierarchy.contract(node, parent, np.ones(n, np.int64), children)
+    (gone, ref, far, heir, size), (kept, up, dist, root, own, extra), (to, _) = hierarchy.contract(node, parent, np.ones(n, np.int64), children, np.ones(n, np.int64), np.zeros(n, np.int64))
+    assert not len(to) and all(h == -1 or h in kept for h in heir)
     answer, place = forest_answer(parents), {}
     for k, u, r in zip(kept, up, root):
         place[k] = (k - 5, 0) if r else (-1, -1)
