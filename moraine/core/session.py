@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import LakeError
@@ -46,3 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A DataFrame of a few rows of numbers and strings, as a local relation.
+
+    Unlike one made from a list, its size is known to the optimizer, which so can broadcast it
+    where it is small enough, and only there.
+    """
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    fields = [pa.field(*(name, kinds[kind])) for name, kind in (f.split() for f in ddl.split(", "))]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields)))

@@ -30,6 +30,15 @@ def join(*parts: str) -> str:
     return "/".join([head, *(p.strip("/") for p in parts[1:])])
 
 
+def read_object(uri: str) -> bytes:
+    """A small object, read where there is no session (on executors)."""
+    from pyarrow import fs as pafs
+
+    fs, path = (pafs.LocalFileSystem(), local_path(uri)) if is_local(uri) else pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 class Storage:
     """Read, list, publish and delete small objects."""
 
@@ -134,8 +143,10 @@ class Storage:
             return
         fs, path = self._fs(source)
         _, to = self._fs(target)
-        if not fs.rename(path, to):
-            raise FeatureUnsupported("rename", source_uri=source, target_uri=target)
+        if not fs.rename(path, to):  # a store without rename: copy, then delete
+            utils = self._spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+            if not utils.copy(fs, path, to.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()), to, True, self._spark.sparkContext._jsc.hadoopConfiguration()):
+                raise FeatureUnsupported("rename", source_uri=source, target_uri=target)
 
     def delete(self, uri: str, recursive: bool = False) -> None:
         if is_local(uri):

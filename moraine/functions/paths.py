@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column
@@ -21,7 +22,28 @@ def canonical_path(path: Column) -> Column:
     one_store = F.regexp_replace(decoded, r"^(?i:s3[an]?):/*", "s3://")
     marked = F.regexp_replace(one_store, r"(?<!:)/(?:\.?/)+(?!/)", "/")
     tidy = F.regexp_replace(marked, r"^(\w+://)(?:\.?/)+", "$1")
-    return F.regexp_replace(tidy, r"/\.?$", "")
+    thorough = F.regexp_replace(tidy, r"/\.?$", "")
+    # Most paths are in the one spelling already, and plain comparisons are far cheaper than patterns.
+    return F.when(F.startswith(path, F.lit("s3://")) & _tidy_from(path, 5), path).otherwise(thorough)
+
+
+def _tidy_from(path: Column, start: int) -> Column:
+    """No escape, and no empty or ``.`` segment from the ``start``-th character on."""
+    rest = F.substring(path, start, 1 << 30)
+    odd = [F.contains(path, F.lit("%")), F.contains(rest, F.lit("//")), F.contains(rest, F.lit("/./")), F.endswith(path, F.lit("/")), F.endswith(path, F.lit("/."))]
+    return ~reduce(lambda a, b: a | b, odd)
+
+
+def object_key_column(path: Column) -> Column:
+    """How paths are compared: one spelling, local files without a scheme."""
+    local = F.startswith(path, F.lit("file:///")) & _tidy_from(path, 8)
+    return F.when(local, F.substring(path, 8, 1 << 30)).otherwise(F.regexp_replace(canonical_path(path), "^file:/+", "/"))
+
+
+def object_key(path: str) -> str:
+    """``object_key_column`` for one string."""
+    text = canonical_path_text(path)
+    return "/" + text[5:].lstrip("/") if text.startswith("file:") else text
 
 
 _STORE = re.compile(r"^s3[an]?:/*", re.IGNORECASE)

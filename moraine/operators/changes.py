@@ -19,7 +19,7 @@ from ..core.errors import InvalidData
 from ..core.session import cut
 from ..format.manifest import DataFile
 from ..format.types import FIELD_ID
-from .scan import FIELD_ID_READ, object_key, object_key_column
+from .scan import FIELD_ID_READ, attach_by_file
 from .write import PKEY, SEQ_COLUMN, SEQ_ID, FileWriter, align, partition_key_of, with_partition
 
 INSERT, DELETE = 1, 2
@@ -103,12 +103,12 @@ def _position_files(writer: FileWriter, data: list[DataFile], dead: DataFrame, n
     by_tuple: dict[tuple, list[DataFile]] = {}
     for f in data:
         by_tuple.setdefault(partition_key_of(writer.spec, partition, f.partition), []).append(f)
-    numbered = [(f.path, n) for n, files in enumerate(by_tuple.values()) for f in files]
-    known = spark.createDataFrame([(object_key(p), p, n) for p, n in numbered], "k string, file_path string, part int")
-    back = spark.read.schema(shape).parquet(*(f.path for f in data)).select("*", object_key_column(F.col("_metadata.file_path")).alias("k"), F.col("_metadata.row_index").alias("pos"))
+    numbered = [(f.path, f.path, n) for n, files in enumerate(by_tuple.values()) for f in files]
+    back = spark.read.schema(shape).parquet(*(f.path for f in data)).select("*", F.col("_metadata.file_path").alias("k"), F.col("_metadata.row_index").alias("pos"))
+    back = attach_by_file(back, "k", numbered, "file_path string, part int")
     same = F.col("s") == F.col(SEQ_COLUMN)
     for i, n in enumerate(names):
         same = same & F.col(f"`{n}`").eqNullSafe(F.col(f"k{i}"))
-    hits = back.join(dead, same, "left_semi").join(known, "k").select("file_path", "pos", "part")
+    hits = back.join(dead, same, "left_semi").select("file_path", "pos", "part")
     places = [(files[0].spec_id, files[0].partition) for files in by_tuple.values()]
     return writer.position_deletes(hits, places)

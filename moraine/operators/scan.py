@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core.errors import InvalidData
+from ..core.session import small_frame
 from ..format.manifest import DATA, DELETE_PATH_ID, DELETE_POS_ID, EQUALITY_DELETES, Entry, require_parquet
 from ..format.types import FIELD_ID, PartitionSpec, Primitive, Schema, to_spark
 from ..format.values import from_bytes
-from ..functions.paths import canonical_path, canonical_path_text
+from ..functions.paths import object_key, object_key_column
 from ..functions.transforms import transform_value
 from .write import nullable
 
@@ -95,14 +96,50 @@ def may_match_bounds(p: Predicate, schema: Schema, file) -> bool:
     return high is None or high > p.value or p.op == ">=" and high == p.value
 
 
-def object_key(path: str) -> str:
-    """How paths are compared: one spelling, local files without a scheme."""
-    text = canonical_path_text(path)
-    return "/" + text[5:].lstrip("/") if text.startswith("file:") else text
+def may_match_manifest(p: Predicate, schema: Schema, spec: PartitionSpec, summaries: tuple[dict, ...]) -> bool:
+    """False only if the manifest's partition summaries rule out all of its files."""
+    for part, summary in zip(spec.fields, summaries):
+        source = schema.struct.by_name(p.column)
+        if source is None or part.source_id != source.id or part.transform.name == "void":
+            continue
+        t, kind = part.transform, part.transform.result(source.type)
+        if p.op == "is null":
+            if not summary["contains_null"]:
+                return False
+            continue
+        if summary["lower_bound"] is None or kind.name in ("float", "double"):
+            if summary["lower_bound"] is None and not summary.get("contains_nan"):
+                return False  # nulls only
+            continue
+        low, high = from_bytes(kind, summary["lower_bound"]), from_bytes(kind, summary["upper_bound"])
+        if p.op in ("=", "in"):
+            wanted = [transform_value(t, w, source.type) for w in ([p.value] if p.op == "=" else p.value) if w is not None]
+            if not any(low <= w <= high for w in wanted):
+                return False
+        elif p.op != "is not null" and t.name != "bucket":
+            edge = transform_value(t, p.value, source.type)
+            if p.op in ("<", "<=") and low > edge or p.op in (">", ">=") and high < edge:
+                return False
+    return True
+
 
+def attach_by_file(df: DataFrame, path_column: str, rows: list[tuple], ddl: str) -> DataFrame:
+    """Add to each row what ``rows`` know of its file: (path, values as ``ddl`` names them).
 
-def object_key_column(c: Column) -> Column:
-    return F.regexp_replace(canonical_path(c), "^file:/+", "/")
+    The driver knows how the reader spells the files it has listed, so no work is done on each
+    row's path. A row of a file that is not among ``rows`` is an error, never dropped.
+    """
+    spelled = {object_key(path): path for path in df.inputFiles()}
+    known = []
+    for path, *values in rows:
+        raw = spelled[object_key(path)]
+        # Local files come with one slash or three, depending on who asks.
+        known += [(s, *values) for s in {raw, raw.replace("file:///", "file:/", 1)}]
+    joined = df.join(small_frame(df.sparkSession, known, f"raw string, {ddl}"), F.col(path_column) == F.col("raw"), "left")
+    first = ddl.split()[0]
+    kind = joined.schema[first].dataType
+    lost = F.raise_error(F.concat(F.lit("rows of an unknown file: "), F.col(path_column))).cast(kind)
+    return joined.withColumn(first, F.coalesce(F.col(first), lost)).drop("raw")
 
 
 class ScanBuilder:
@@ -168,7 +205,13 @@ class ScanBuilder:
         if self.snapshot_id is None:
             return [], []
         data, deletes = [], []
-        for e in self.table.live_entries(self.snapshot_id):
+        schema, specs = self.schema, self.table.metadata.specs
+
+        def wanted(m) -> bool:  # delete files may concern files of other manifests
+            fits = lambda p: may_match_manifest(p, schema, specs[m.spec_id], m.partitions)
+            return bool(m.content) or self.start is not None or all(map(fits, self.predicates))
+
+        for e in self.table.live_entries(self.snapshot_id, wanted):
             (data if e.file.content == DATA else deletes).append(e)
         if self.start:
             keys = [object_key(e.file.path) for e in data]
@@ -177,7 +220,6 @@ class ScanBuilder:
             data = data[keys.index(object_key(self.start[0])) :]
         if self.partition is not None:
             data = [e for e in data if e.file.partition == self.partition]
-        schema, specs = self.schema, self.table.metadata.specs
         for p in self.predicates:
             data = [e for e in data if may_match_partition(p, schema, specs[e.file.spec_id], e.file.partition) and may_match_bounds(p, schema, e.file)]
         for e in data:
@@ -272,14 +314,15 @@ class ScanBuilder:
         spark = self.table.spark
         tuples: dict[tuple, int] = {}
         number = lambda e: tuples.setdefault(self._tuple(e), len(tuples))
-        known = spark.createDataFrame([(object_key(e.file.path), e.sequence, number(e)) for e in data], "k string, seq bigint, part int")
-        df = df.withColumn("__k", object_key_column(F.col(PATH))).join(known, F.col("__k") == F.col("k")).drop("k", PATH)
+        df = attach_by_file(df, PATH, [(e.file.path, i, e.sequence, number(e)) for i, e in enumerate(data)], "file_no int, seq bigint, part int").drop(PATH)
+        known = small_frame(spark, [(object_key(e.file.path), i) for i, e in enumerate(data)], "k string, d_no int")
         reach = {self._tuple(e) for e in data}
         position = [d for d in position if self._tuple(d) in reach]
         if position:
             shape = T.StructType([T.StructField("file_path", T.StringType(), True, {FIELD_ID: DELETE_PATH_ID}), T.StructField("pos", T.LongType(), True, {FIELD_ID: DELETE_POS_ID})])
-            gone = self._delete_rows(shape, position, number).groupBy(object_key_column(F.col("file_path")).alias("d_k"), F.col("pos").alias("d_pos")).agg(F.max("d_seq").alias("d_seq"))
-            df = df.join(gone, (F.col("__k") == F.col("d_k")) & (F.col(POS) == F.col("d_pos")) & (F.col("d_seq") >= F.col("seq")), "left_anti")
+            named = self._delete_rows(shape, position, number).withColumn("d_k", object_key_column(F.col("file_path")))
+            gone = named.join(known, F.col("d_k") == F.col("k")).groupBy("d_no", F.col("pos").alias("d_pos")).agg(F.max("d_seq").alias("d_seq"))
+            df = df.join(gone, (F.col("file_no") == F.col("d_no")) & (F.col(POS) == F.col("d_pos")) & (F.col("d_seq") >= F.col("seq")), "left_anti")
         by_ids: dict[tuple, list[Entry]] = defaultdict(list)
         for d in equality:
             by_ids[d.file.equality_ids].append(d)
@@ -304,7 +347,6 @@ class ScanBuilder:
     def _delete_rows(self, shape: T.StructType, files: list[Entry], number) -> DataFrame:
         """Rows of delete files with their sequence number and partition."""
         spark = self.table.spark
-        known = spark.createDataFrame([(object_key(e.file.path), e.sequence, number(e)) for e in files], "d_f string, d_seq bigint, d_part int")
         spark.conf.set(FIELD_ID_READ, "true")
-        rows = spark.read.schema(shape).parquet(*(e.file.path for e in files)).select("*", object_key_column(F.col("_metadata.file_path")).alias("d_file"))
-        return rows.join(known, F.col("d_file") == F.col("d_f")).drop("d_f", "d_file")
+        rows = spark.read.schema(shape).parquet(*(e.file.path for e in files)).select("*", F.col("_metadata.file_path").alias("d_file"))
+        return attach_by_file(rows, "d_file", [(e.file.path, e.sequence, number(e)) for e in files], "d_seq bigint, d_part int").drop("d_file")

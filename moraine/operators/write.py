@@ -8,11 +8,12 @@ split over tasks, and end as Parquet files with field ids. Files of other writer
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +136,7 @@ class FileWriter:
         self.folder = data_folder(location, properties)
         self.storage = Storage(spark)
         self.partition_id, self.task, self.write_id, self.number = partition_id, task, str(uuid.uuid4()), 0
+        self.metrics = {"writes": 0, "files": 0, "partitions": 0, "rows": 0, "bytes": 0, "seconds": 0.0}
 
     # -- data files
 
@@ -199,6 +201,7 @@ class FileWriter:
     # -- the job
 
     def _write(self, rows: DataFrame, shape: T.StructType, partition_col: str | None, order: list[Column], max_rows: int, places: list[tuple[int, dict]] | None = None) -> list[DataFile]:
+        began = time.perf_counter()
         staging = join(self.folder, f"w-{uuid.uuid4().hex}")
         self.spark.conf.set(TIMESTAMP_TYPE, "TIMESTAMP_MICROS")
         options = self.config.writer_options([f.name for f in self.schema.fields if isinstance(f.type, Primitive)])
@@ -218,9 +221,9 @@ class FileWriter:
             if places is None:
                 parted = with_partition(rows, self.schema, self.spec, partition_col)
                 types = [(p.name, p.type) for p in self.spec.struct(self.schema).fields]
-                # One tuple per partition of the write comes back to the driver, as many as there are folders.
-                for r in parted.select(PKEY, PART).distinct().collect():
-                    tuples[r[PKEY]] = (self.spec.spec_id, {n: python_value(t, r[PART][n]) for n, t in types})
+                # The tuples come back with the job itself, as many as there are folders.
+                seen = Observation()
+                parted = parted.observe(seen, F.collect_set(F.struct(PKEY, PART)).alias("tuples"))
             else:
                 parted, tuples = rows, {str(i): place for i, place in enumerate(places)}
             out = parted.hint("rebalance", F.col(PKEY)).sortWithinPartitions(PKEY, *order)
@@ -230,6 +233,9 @@ class FileWriter:
                 if is_dir and name.startswith(PKEY + "="):
                     key = name.split("=", 1)[1]
                     found += [(key, join(staging, name, n)) for n, _ in self.storage.listing(join(staging, name)) if n.endswith(".parquet")]
+            if places is None and found:  # an empty plan is optimised away with its observation
+                for r in seen.get["tuples"]:
+                    tuples[r[PKEY]] = (self.spec.spec_id, {n: python_value(t, r[PART][n]) for n, t in types})
         files = []
         for key, stats in zip([k for k, _ in found], footers(self.spark, [p for _, p in found])):
             if not stats.record_count:
@@ -239,6 +245,8 @@ class FileWriter:
             files.append(replace(self._placed(stats), partition=partition, spec_id=spec_id))
         if is_local(staging):
             self.storage.delete(staging, recursive=True)
+        gained = (1, len(files), len({k for k, _ in found}), sum(f.record_count for f in files), sum(f.size for f in files), time.perf_counter() - began)
+        self.metrics = {k: v + g for (k, v), g in zip(self.metrics.items(), gained)}
         return files
 
     def _placed(self, f: DataFile) -> DataFile:

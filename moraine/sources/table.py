@@ -12,16 +12,22 @@ from pyspark.sql import types as T
 
 from ..core.config import TableConfig
 from ..core.errors import InvalidData
-from ..core.storage import Storage, join
+from ..core.session import small_frame
+from ..core.storage import Storage, join, read_object
 from ..format.manifest import DATA, DELETED, DataFile, Entry, ManifestFile, decode_list, decode_manifest, inherit
 from ..format.metadata import MAIN, TableMetadata
 from ..format.types import PartitionSpec, SortOrder, Struct, Transform, evolve, to_spark
+from ..functions.paths import object_key, object_key_column
 from ..operators.changes import ChangeReport, write_changes
-from ..operators.scan import ScanBuilder, object_key, object_key_column
+from ..operators.scan import ScanBuilder
 from ..operators.transaction import Transaction
 from ..operators.write import FileWriter, partition_key_of
 
 
+#: Manifest entries that the driver decodes itself at most.
+DECODE_HERE = 50_000
+
+
 class Table:
     def __init__(self, spark, identifier, metadata: TableMetadata, catalog=None, config: TableConfig | None = None, version: int | None = None, metadata_path: str | None = None, history: list[TableMetadata] = ()):
         self.spark, self.identifier, self.catalog = spark, identifier, catalog
@@ -90,9 +96,15 @@ class Table:
         snapshot = self.metadata.snapshot(snapshot_id)
         return [] if snapshot is None else decode_list(self.storage.read(snapshot.manifest_list))
 
-    def entries(self, snapshot_id: int | None = None) -> list[Entry]:
-        """All entries in manifest order, with inherited numbers filled in."""
-        manifests = self.manifests(snapshot_id)
+    def entries(self, snapshot_id: int | None = None, wanted=None) -> list[Entry]:
+        """All entries in manifest order, with inherited numbers filled in.
+
+        ``wanted`` tells from a manifest's summary whether it has to be read at all. Few entries are
+        decoded here, many by the executors.
+        """
+        manifests = [m for m in self.manifests(snapshot_id) if wanted is None or wanted(m)]
+        if sum(m.added_files + m.existing_files + m.deleted_files for m in manifests) > DECODE_HERE:
+            return self._decoded_by_executors(manifests)
 
         def one(m: ManifestFile) -> list[Entry]:
             return inherit(decode_manifest(self.storage.read(m.path))[1], m)
@@ -100,8 +112,24 @@ class Table:
         with ThreadPoolExecutor(min(16, max(1, len(manifests)))) as pool:
             return [e for part in pool.map(one, manifests) for e in part]
 
-    def live_entries(self, snapshot_id: int | None = None) -> list[Entry]:
-        return [e for e in self.entries(snapshot_id) if e.status != DELETED]
+    def _decoded_by_executors(self, manifests: list[ManifestFile]) -> list[Entry]:
+        import pickle
+
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    m = pickle.loads(blob)
+                    found = pickle.dumps(inherit(decode_manifest(read_object(m.path))[1], m))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([found], pa.binary())], names=["i", "found"])
+
+        source = self.spark.createDataFrame([(i, bytearray(pickle.dumps(m))) for i, m in enumerate(manifests)], "i int, m binary")
+        rows = source.repartition(min(len(manifests), 512)).mapInArrow(run, "i int, found binary")
+        return [e for r in sorted(rows.collect(), key=lambda r: r.i) for e in pickle.loads(bytes(r.found))]
+
+    def live_entries(self, snapshot_id: int | None = None, wanted=None) -> list[Entry]:
+        return [e for e in self.entries(snapshot_id, wanted) if e.status != DELETED]
 
     def data_files(self, snapshot_id: int | None = None) -> list[DataFile]:
         """Data files of a snapshot (the current one); an error if there is none."""
@@ -134,16 +162,11 @@ class Table:
 
             def run(batches):
                 from ..format.values import value_to_json
-                from pyarrow import fs as pafs
-
-                from ..core.storage import is_local, local_path
 
                 for b in batches:
                     out = []
                     for path, spec_id, seq, sid in zip(*(c.to_pylist() for c in b.columns)):
-                        fs, rel = (pafs.LocalFileSystem(), local_path(path)) if is_local(path) else pafs.FileSystem.from_uri(path)
-                        with fs.open_input_stream(rel) as f:
-                            entries = decode_manifest(f.read())[1]
+                        entries = decode_manifest(read_object(path))[1]
                         m = ManifestFile(path, 0, spec_id, 0, seq, seq, sid)
                         for e in inherit(entries, m):
                             d = e.file
@@ -228,7 +251,7 @@ class Table:
         groups: dict[tuple, list[DataFile]] = defaultdict(list)
         for f in data:
             groups[partition_key_of(spec_of[f.spec_id], spec_of[f.spec_id].struct(self.schema), f.partition)].append(f)
-        known = self.spark.createDataFrame([(object_key(f.path), f.path, n) for n, fs in enumerate(groups.values()) for f in fs], "k string, known_path string, part int")
+        known = small_frame(self.spark, [(object_key(f.path), f.path, n) for n, fs in enumerate(groups.values()) for f in fs], "k string, known_path string, part int")
         named = positions.select(F.col("file_path").alias("given"), F.col("pos").cast("bigint").alias("pos")).withColumn("k", object_key_column(F.col("given")))
         placed = named.join(known, "k", "left")
         if not placed.where("part is null").isEmpty():
