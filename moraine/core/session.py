@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +61,17 @@ def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     fields = [pa.field(*(name, kinds[kind])) for name, kind in (f.split() for f in ddl.split(", "))]
     columns = zip(*rows) if rows else [[] for _ in fields]
     return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, for clusters that do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_moraine_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="moraine-")) / f"{package.name}.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(target))
+    context._moraine_shipped = True

@@ -34,7 +34,7 @@ def object_index(listing: DataFrame) -> DataFrame:
 
 
 #: Parents that one range holds at most, about.
-RANGE_PARENTS = 400_000
+RANGE_PARENTS = 50_000
 
 
 def _range_of(key: Column, ranges: int) -> Column:

@@ -187,7 +187,7 @@ class Table:
 
     @staticmethod
     def _typed(c, kind: T.DataType):
-        return F.unhex(c) if isinstance(kind, T.BinaryType) else c.cast(kind)
+        return F.unhex(F.replace(c, F.lit("-"), F.lit(""))) if isinstance(kind, T.BinaryType) else c.cast(kind)
 
     def files_df(self, snapshot_id: int | None = None) -> DataFrame:
         return self.entries_df(snapshot_id).where(F.col("status") != DELETED).drop("status", "snapshot_id", "sequence_number")

@@ -448,3 +448,45 @@ def test_canonical_paths(spark):
     assert got == {i: canonical_path_text(p) for i, p in enumerate(given_)}
     assert got[0] == "s3://b/x/y/z" and got[1] == "s3://b/x y+z"
     assert T.StringType() == df.schema["p"].dataType
+
+
+def test_uuid_fixed_and_time_columns(spark, catalog):
+    import uuid
+
+    from moraine.format.types import Field, Schema, Struct
+
+    schema = Schema(0, Struct((Field(1, "id", Primitive("long"), True), Field(2, "u", Primitive("uuid")), Field(3, "f", Primitive("fixed[4]")), Field(4, "b", Primitive("binary")))))
+    table = catalog.create_table("d.t", schema, PartitionSpec.build(schema, ["u", ("f", "bucket[4]"), "b"]))
+    u = uuid.UUID("f79c3e09-677c-4bbd-a479-3f349cb785e7")
+    table.append(spark.createDataFrame([(1, str(u), bytearray(b"abcd"), bytearray(b"x")), (2, None, None, None)], "id long, u string, f binary, b binary"))
+    first = next(f for f in table.data_files() if f.partition["u"] is not None)
+    assert first.partition["u"] == u and first.partition["b"] == b"x"
+    assert [bytes(r.u) for r in table.new_scan().with_partition_value(first.partition).to_df().collect()] == [u.bytes]
+    assert {None if r.partition.u is None else bytes(r.partition.u) for r in table.partitions_df().collect()} == {None, u.bytes}
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        timed = Schema(0, Struct((Field(1, "id", Primitive("long")), Field(2, "t", Primitive("time")))))
+        table = catalog.create_table("d.u", timed, PartitionSpec.build(timed, [("t", "bucket[8]")]))
+        table.append(spark.sql("SELECT 1L AS id, TIME'22:31:08' AS t UNION ALL SELECT 2L, NULL"))
+        assert sorted((str(r.t), r.id) for r in table.to_df().collect()) == [("22:31:08", 1), ("None", 2)]
+        assert {f.partition["t_bucket"] for f in table.data_files()} == {None, 3}
+    finally:
+        spark.conf.unset("spark.sql.timeType.enabled")
+
+
+def test_manifests_are_pruned_and_many_entries_are_decoded_by_executors(spark, catalog, monkeypatch):
+    from moraine.sources import table as table_module
+
+    df = spark.range(100).toDF("id").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")))
+    table = make(catalog, df, [("day", "month")])
+    for month in range(1, 5):
+        table.append(df.where(F.month("day") == month))
+    scan = table.new_scan().where("day", ">=", dt.date(2020, 3, 5))
+    read = []
+    original = table.storage.read
+    monkeypatch.setattr(table.storage, "read", lambda uri: read.append(uri) or original(uri))
+    assert scan.to_df().count() == df.where("day >= '2020-03-05'").count()
+    assert sum("-m" in r.rsplit("/", 1)[1] for r in read) == 2
+    here = table.entries()
+    monkeypatch.setattr(table_module, "DECODE_HERE", 0)
+    assert table.entries() == here and len(here) == 4
