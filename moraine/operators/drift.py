@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .nested import schema_fields, table_schemas
+from ..core.session import cut_table
+from .nested import schema_rows, table_schemas
 
 
 def fuse_schemas(fields: DataFrame) -> DataFrame:
@@ -35,21 +36,26 @@ def fuse_schemas(fields: DataFrame) -> DataFrame:
     return listed.select("table_uuid", "field_id", tagged.alias("branches"))
 
 
-def schema_changes(schemas: DataFrame, fields: DataFrame) -> DataFrame:
+def schema_changes(rows: DataFrame) -> DataFrame:
     """(table_uuid, schema_id, field_id, change): added, removed, renamed and retyped fields.
 
-    Each schema is compared with the one with the next lower id present for its table; the lowest
-    has no changes. Names are compared exactly; a nested type only by struct, list or map. A field
-    renamed and retyped at once gives two rows.
+    ``rows`` as ``schema_rows`` gives them. Each schema is compared with the one with the next lower
+    id present for its table; the lowest has no changes. Names are compared exactly; a nested type
+    only by struct, list or map. A field renamed and retyped at once gives two rows.
     """
-    present = schemas.select("table_uuid", "schema_id").distinct()
+    rows = cut_table(rows)  # needed for the order of the schemas and for their fields
+    present = rows.where("field_id is null").select("table_uuid", "schema_id").distinct()
     w = W.partitionBy("table_uuid").orderBy("schema_id")
     steps = present.select("table_uuid", "schema_id", F.lag("schema_id").over(w).alias("before"), F.lead("schema_id").over(w).alias("after"))
-    known = fields.join(steps, ["table_uuid", "schema_id"])
-    now = known.where("before is not null").select("table_uuid", "schema_id", "field_id", "name", "kind", F.lit(1).alias("now"))
-    old = known.where("after is not null").select("table_uuid", F.col("after").alias("schema_id"), "field_id", "name", "kind", F.lit(0).alias("now"))
+    # A field stands for itself in its schema and for what was before in the next one.
+    roles = F.array(
+        F.struct(F.when(F.col("before").isNotNull(), F.col("schema_id")).alias("schema_id"), F.lit(1).alias("now")),
+        F.struct(F.col("after").alias("schema_id"), F.lit(0).alias("now")),
+    )
+    known = rows.where("field_id is not null").join(steps, ["table_uuid", "schema_id"])
+    sides = known.select("table_uuid", "field_id", "name", "kind", F.explode(roles).alias("r")).select("table_uuid", "r.schema_id", "field_id", "name", "kind", "r.now")
     side = lambda c, n: F.max(F.when(F.col("now") == n, F.col(c)))
-    pairs = now.unionByName(old).groupBy("table_uuid", "schema_id", "field_id").agg(
+    pairs = sides.where("schema_id is not null").groupBy("table_uuid", "schema_id", "field_id").agg(
         F.max("now").alias("is_now"), F.min("now").alias("is_old"), side("name", 1).alias("n1"), side("name", 0).alias("n0"),
         side("kind", 1).alias("k1"), side("kind", 0).alias("k0"),
     )
@@ -64,8 +70,7 @@ def schema_changes(schemas: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def lake_schema_changes(metadata: DataFrame) -> DataFrame:
-    schemas = table_schemas(metadata)
-    return schema_changes(schemas, schema_fields(schemas))
+    return schema_changes(schema_rows(table_schemas(metadata)))
 
 
 # ---------------------------------------------------------------- records under one schema

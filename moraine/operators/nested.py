@@ -3,12 +3,14 @@
 A document becomes rows of *relations*: the root is ``$``, every array of a document is a relation
 of its own, named by its path. Objects inside objects stay in their row under dotted names. Each
 row carries its surrogate key, its parent's key, the array's path in the parent row, and its
-ordinal in the array. The merged schema lists what any document had at each place.
+ordinal in the array; values of the parent that children need can be carried along, which saves a
+join. The merged schema lists what any document had at each place.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROOT = "$"
-_FLAT = "doc_key string, relation string, row_key string, parent_key string, array_path string, ordinal int, vals map<string,string>"
+_FLAT = "doc_key string, relation string, row_key string, parent_key string, array_path string, ordinal int, vals map<string,string>, carried map<string,string>"
 _FLAT_ARROW = pa.schema([
     ("doc_key", pa.string()), ("relation", pa.string()), ("row_key", pa.string()), ("parent_key", pa.string()),
-    ("array_path", pa.string()), ("ordinal", pa.int32()), ("vals", pa.map_(pa.string(), pa.string())),
+    ("array_path", pa.string()), ("ordinal", pa.int32()), ("vals", pa.map_(pa.string(), pa.string())), ("carried", pa.map_(pa.string(), pa.string())),
 ])
 
 
@@ -34,34 +36,39 @@ def _scalar(value) -> str | None:
     return value if isinstance(value, str) else json.dumps(value)
 
 
-def explode_document(doc_key: str, document) -> list[tuple]:
+def explode_document(doc_key: str, document, carry: re.Pattern | None = None) -> list[tuple]:
     """All rows of one parsed document; any depth, without recursion limits."""
     rows: list[tuple] = []
-    todo = [(ROOT, ROOT, None, None, 0, document)]
+    todo = [(ROOT, ROOT, None, None, 0, document, None)]
     while todo:
-        relation, row_key, parent_key, array_path, ordinal, value = todo.pop()
+        relation, row_key, parent_key, array_path, ordinal, value, carried = todo.pop()
         vals: list[tuple[str, str | None]] = []
+        arrays: list[tuple[str, list]] = []
         inner = [("", value)]
         while inner:
             path, item = inner.pop()
             if isinstance(item, dict):
                 inner.extend((_name(path, k), v) for k, v in item.items())
             elif isinstance(item, list):
-                child = f"{relation}/{path}"
-                todo.extend((child, f"{row_key}/{path}[{i}]", row_key, path, i, v) for i, v in enumerate(item))
+                arrays.append((path, item))
             else:
                 vals.append((path, _scalar(item)))
-        rows.append((doc_key, relation, row_key, parent_key, array_path, ordinal, vals))
+        rows.append((doc_key, relation, row_key, parent_key, array_path, ordinal, vals, carried))
+        down = [x for x in vals if carry.search(x[0])] if carry and arrays else None
+        for path, items in arrays:
+            todo.extend((f"{relation}/{path}", f"{row_key}/{path}[{i}]", row_key, path, i, v, down) for i, v in enumerate(items))
     return rows
 
 
-def flatten(docs: DataFrame, key: str, document: str) -> DataFrame:
+def flatten(docs: DataFrame, key: str, document: str, carry: str | None = None) -> DataFrame:
     """Rows of all relations of all documents, see the module's text.
 
     Null documents give no row; text that is no JSON gives one root row whose only value, named
     ``$error``, is the text. An empty array or object gives no child row. A scalar array element's
-    value is named by the empty string.
+    value is named by the empty string. ``carry`` is a pattern for names of values that a row hands
+    down to its children, as their ``carried``.
     """
+    pattern = re.compile(carry) if carry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +80,9 @@ def flatten(docs: DataFrame, key: str, document: str) -> DataFrame:
                     if t is None:
                         continue
                     try:
-                        rows += explode_document(k, json.loads(t))
+                        rows += explode_document(k, json.loads(t), pattern)
                     except ValueError:
-                        rows.append((k, ROOT, ROOT, None, None, 0, [("$error", t)]))
+                        rows.append((k, ROOT, ROOT, None, None, 0, [("$error", t)], None))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*rows), _FLAT_ARROW)], schema=_FLAT_ARROW
@@ -148,39 +155,36 @@ def schema_fields(schemas: DataFrame) -> DataFrame:
     the parent at the top is -1. Built on ``flatten``: struct fields are rows of array relations,
     elements, keys and values are values of the row of the field that encloses them.
     """
+    return schema_rows(schemas).where(F.col("field_id").isNotNull())
+
+
+def schema_rows(schemas: DataFrame) -> DataFrame:
+    """``schema_fields`` and, for each schema, one more row without a field id."""
     sep = "\u0001"
     docs = schemas.select(F.concat_ws(sep, "table_uuid", F.col("schema_id").cast("string")).alias("k"), "schema_json")
-    flat = flatten(docs, "k", "schema_json").where(F.col("array_path").isNull() | F.col("array_path").rlike(r"(^|\.)fields$"))
-    kind_at = lambda m, place: F.regexp_replace(F.coalesce(m[place], m[F.concat(place, F.lit(".type"))]), r"\s", "")
+    flat = flatten(docs, "k", "schema_json", carry=r"(^|-)id$").where(F.col("array_path").isNull() | F.col("array_path").rlike(r"(^|\.)fields$"))
     v = F.col("vals")
-    fields = flat.where("array_path is not null").select("doc_key", "row_key", "parent_key", "array_path", "vals")
-    above = F.regexp_replace("array_path", r"\.?fields$", "")
-    parents = fields.select("doc_key", F.col("row_key").alias("parent_key"), v.alias("pv"))
-    named = (
-        fields.withColumn("above", above)
-        .join(parents, ["doc_key", "parent_key"], "left")
-        .select(
-            "doc_key", v["id"].alias("field_id"),
-            F.when(F.col("above") == "", "-1").otherwise(F.col("pv")[_id_name(F.col("above"))]).alias("parent_field_id"),
-            v["name"].alias("name"), kind_at(v, F.lit("type")).alias("kind"),
-        )
-    )
     pattern = r"^(type(?:\.(?:element|key|value))*)\.(element|key|value)-id$"
-    inner = (
-        fields.select("doc_key", v, F.explode(F.map_keys("vals")).alias("place"))
-        .where(F.col("place").rlike(pattern))
-        .select("doc_key", v, "place", F.regexp_extract("place", pattern, 1).alias("owner"), F.regexp_extract("place", pattern, 2).alias("part"))
-        .select(
-            "doc_key", v[F.col("place")].alias("field_id"), v[_id_name(F.col("owner"))].alias("parent_field_id"),
-            F.col("part").alias("name"), kind_at(v, F.concat_ws(".", "owner", "part")).alias("kind"),
-        )
-    )
+
+    def kind_at(place: Column) -> Column:
+        return F.regexp_replace(F.coalesce(v[place], v[F.concat(place, F.lit(".type"))]), r"\s", "")
+
+    def found(field_id: Column, parent: Column, name: Column, kind: Column) -> Column:
+        return F.struct(field_id.cast("int").alias("field_id"), F.coalesce(parent.cast("int"), F.lit(-1)).alias("parent_field_id"), name.alias("name"), kind.alias("kind"))
+
+    above = F.regexp_replace("array_path", r"\.?fields$", "")
+    root = F.col("array_path").isNull()
+    own = found(F.when(~root, v["id"]), F.when(above != "", F.col("carried")[_id_name(above)]), v["name"], kind_at(F.lit("type")))
+
+    def part_of(place: Column) -> Column:
+        owner, part = F.regexp_extract(place, pattern, 1), F.regexp_extract(place, pattern, 2)
+        return found(v[place], v[_id_name(owner)], part, kind_at(F.concat_ws(".", owner, part)))
+
+    places = F.filter(F.map_keys("vals"), lambda place: place.rlike(pattern))
+    each = F.explode(F.concat(F.array(own), F.transform(places, part_of)))
     parts = F.split("doc_key", sep)
     return (
-        named.unionByName(inner)
-        .where(F.col("field_id").isNotNull())
-        .select(
-            parts[0].alias("table_uuid"), parts[1].cast("int").alias("schema_id"), F.col("field_id").cast("int").alias("field_id"),
-            F.coalesce(F.col("parent_field_id").cast("int"), F.lit(-1)).alias("parent_field_id"), "name", "kind",
-        )
-    )
+        flat.select(parts[0].alias("table_uuid"), parts[1].cast("int").alias("schema_id"), root.alias("root"), each.alias("f"))
+        .where("root or f.field_id is not null")
+        .select("table_uuid", "schema_id", "f.field_id", "f.parent_field_id", "f.name", "f.kind")
+    )

@@ -354,7 +354,7 @@ def test_schema_fields_and_changes(spark):
         7: (5, "value", "list"), 8: (7, "element", "decimal(9,2)"), 9: (-1, "s", "struct"), 10: (9, "in", "date"), 11: (-1, "d", "decimal(9,2)"),
     }
     assert len(got) == 11 + 11 + 7
-    changes = {tuple(r)[1:] for r in drift.schema_changes(schemas, fields).collect()}
+    changes = {tuple(r)[1:] for r in drift.schema_changes(nested.schema_rows(schemas)).collect()}
     assert changes == {(2, 1, "renamed"), (2, 3, "retyped"), (2, 10, "retyped"), (2, 12, "added"), *((2, i, "removed") for i in (4, 5, 6, 7, 8))}
     union = {r.field_id: [b.kind for b in r.branches] for r in drift.fuse_schemas(fields).where("table_uuid = 't'").collect()}
     assert union[3] == ["struct", "string"] and union[10] == ["date", "string"] and union[11] == ["decimal(9,2)"]
