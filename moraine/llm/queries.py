@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import leakage, packing, textform
@@ -31,4 +33,39 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_packed, p8_buckets, p9_found, p10_found)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _form_sql(column: str) -> str:
+    """The one form of a text in SQL: single characters are translated, then accents composed.
+
+    Letters that carry their accent already are translated as a whole, where the result is one
+    character; SQL has no way to decompose them first.
+    """
+    pairs: list[tuple[str, str]] = []
+    gone = ""
+    for cp, to in textform._table().items():
+        if to:
+            pairs.append((chr(cp), to))
+        else:
+            gone += chr(cp)
+    for cp in range(0xC0, 0x2000):
+        c = chr(cp)
+        whole = textform.form(c)
+        if len(unicodedata.normalize("NFD", c)) > 1 and whole != c and len(whole) == 1:
+            pairs.append((c, whole))
+    quoted = lambda t: t.replace("'", "''")
+    old, new = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return f"nfc_normalize(translate({column}, '{quoted(old + gone)}', '{quoted(new)}'))"
+
+
+def oracle_sql() -> dict[str, str]:
+    """The same results in plain SQL, where SQL can say them."""
+    grams = "list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))"
+    split = lambda text: f"regexp_extract_all(lower({_form_sql(text)}), '[\\p{{L}}\\p{{N}}]+')"
+    p9 = f"""WITH parts AS (SELECT item_id, question AS t FROM eval_items UNION ALL SELECT item_id, answer FROM eval_items),
+items AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, unnest({grams}) AS g FROM (SELECT item_id, {split('t')} AS w FROM parts)),
+docs AS (SELECT DISTINCT doc_id, unnest({grams}) AS g FROM (SELECT doc_id, {split('text')} AS w FROM documents))
+SELECT DISTINCT item_id, doc_id FROM items JOIN docs USING (g)"""
+    p10 = f"""WITH forms AS (SELECT doc_id, text, {_form_sql('text')} AS f FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text"""
+    return {"p9_found": p9, "p10_found": p10}

@@ -37,7 +37,7 @@ def _table() -> dict[int, str]:
         elif category == "Zs":
             table[cp] = " "
         elif unicodedata.decomposition(c).startswith("<wide>"):
-            table[cp] = unicodedata.normalize("NFKC", c)
+            table[cp] = chr(int(unicodedata.decomposition(c).split()[1], 16))
     for group, same in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS)):
         for a, b in zip(group, same, strict=True):
             if a not in "ЗЇ":  # a digit is no letter; the diaeresis is separate by now
