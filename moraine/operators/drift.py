@@ -152,6 +152,9 @@ def convert(value, source, target, path: str, spill: dict):
             else:
                 got[f["id"]] = convert(item, f["type"], now[f["id"]]["type"], str(f["id"]), spill)
         return {f["name"]: got[f["id"]] if f["id"] in got else f.get("initial-default") for f in target["fields"]}
+    if not isinstance(value, list if s == "list" else dict):
+        spill[f"{path}:json"] = value
+        return None
     if s == "list":
         return [convert(x, source["element"], target["element"], f"{target['element-id']}[{i}]", spill) for i, x in enumerate(value)]
     return {
@@ -168,13 +171,33 @@ def current_schemas(metadata: DataFrame) -> DataFrame:
     return metadata.groupBy("table_uuid").agg(latest.alias("schema_id"))
 
 
+def snapshot_schemas(snapshots: DataFrame, block: int = 4096) -> DataFrame:
+    """(table_uuid, snapshot_id, sid): each snapshot's schema id; where it is null, that of the last
+    snapshot before it, by sequence number, that has one. Null if there is none.
+
+    The last value before is carried in two levels, over blocks of sequence numbers and within a
+    block, so that one table with very many snapshots is not one task.
+    """
+    once = snapshots.groupBy("table_uuid", "snapshot_id").agg(F.max("sequence_number").alias("seq"), F.max("schema_id").alias("own"))
+    once = once.withColumn("block", F.floor(F.coalesce("seq", F.lit(0)) / block))
+    before = W.partitionBy("table_uuid").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        once.groupBy("table_uuid", "block")
+        .agg(F.max_by(F.when(F.col("own").isNotNull(), F.col("own")), F.when(F.col("own").isNotNull(), F.col("seq"))).alias("last_own"))
+        .select("table_uuid", "block", F.last("last_own", ignorenulls=True).over(before).alias("carry"))
+    )
+    within = W.partitionBy("table_uuid", "block").orderBy("seq", "snapshot_id").rowsBetween(W.unboundedPreceding, 0)
+    here = once.withColumn("here", F.last("own", ignorenulls=True).over(within))
+    return here.join(carried, ["table_uuid", "block"]).select("table_uuid", "snapshot_id", F.coalesce("here", "carry").alias("sid"))
+
+
 def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(table_uuid, file_path, row_pos, payload, branches): all records under their table's current schema.
 
     ``payload`` is JSON by the current names, in the current order, absent members null or at
     their initial default. ``branches`` maps place and type to values that the current type cannot
     hold, or whose field is gone; null where there is none. A record without a schema id takes its
-    file's snapshot's, else the current one. Repeated records count once. A record whose payload is
+    file's snapshot's (see ``snapshot_schemas``), else the current one. Repeated records count once. A record whose payload is
     null or no JSON object, or whose schema is unknown, keeps its text in branch ``$raw``.
     """
     schemas = table_schemas(metadata)
@@ -183,7 +206,7 @@ def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame,
     by_file = (
         entries.where("file_path is not null")
         .select("table_uuid", "file_path", F.coalesce("snapshot_id", "added_snapshot_id").alias("snapshot_id"), (F.col("status") == 1).alias("adds"))
-        .join(snapshots.groupBy("table_uuid", "snapshot_id").agg(F.max("schema_id").alias("sid")), ["table_uuid", "snapshot_id"])
+        .join(snapshot_schemas(snapshots), ["table_uuid", "snapshot_id"])
         .groupBy("table_uuid", "file_path")
         .agg(F.max_by("sid", F.struct("adds", "sid")).alias("file_schema"))
     )

@@ -377,6 +377,17 @@ def test_records_under_the_current_schema(spark):
     assert len(got) == 6
 
 
+def test_snapshots_without_schema_take_the_last_one_before(spark):
+    rng = random.Random(3)
+    rows = [(t, s * 10, None, s, 0, None, rng.choice([None, None, 1, 2, 3]), "x") for t in "ab" for s in rng.sample(range(100), 40)]
+    want, last = set(), {}
+    for r in sorted(rows, key=lambda r: r[3]):
+        last[r[0]] = r[6] if r[6] is not None else last.get(r[0])
+        want.add((r[0], r[1], last[r[0]]))
+    df = spark.createDataFrame(rows + rows[:5], SNAP)
+    assert set(tuples(drift.snapshot_schemas(df, block=7))) == set(tuples(drift.snapshot_schemas(df))) == want
+
+
 @pytest.mark.parametrize(
     ("value", "source", "target", "want"),
     [
@@ -390,6 +401,12 @@ def test_conversions_lose_nothing(value, source, target, want):
     assert drift.convert_scalar(value, source, target)[0] == want
 
 
+def test_values_that_break_their_schema_are_kept():
+    spill = {}
+    got = drift.convert({"items": 5, "s": [1], "id": 1}, S0, S0, "", spill)
+    assert got == {"id": 1, "items": None, "s": None, "d": None} and spill == {"2:json": 5, "9:json": [1]}
+
+
 def test_flattening_documents(spark):
     docs = [(1, '{"a": {"b": 1, "c.d": "x"}, "l": [{"v": 1.5, "k": [1, 2]}, {"v": null}], "e": []}'), (2, "nope"), (3, None), (4, "[[1],[]]"), (5, '{"l": [{"v": true}]}'), (6, "null")]
     flat = nested.flatten(spark.createDataFrame(docs, "id int, doc string"), "id", "doc")
