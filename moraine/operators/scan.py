@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..core.errors import InvalidData
 from ..core.session import small_frame
 from ..format.manifest import DATA, DELETE_PATH_ID, DELETE_POS_ID, EQUALITY_DELETES, Entry, require_parquet
-from ..format.types import FIELD_ID, PartitionSpec, Primitive, Schema, to_spark
+from ..format.types import FIELD_ID, Field, PartitionSpec, Primitive, Schema, to_spark
 from ..format.values import from_bytes
 from ..functions.paths import object_key, object_key_column
 from ..functions.transforms import transform_value
@@ -231,7 +231,7 @@ class ScanBuilder:
 
         fields = []
         for n in names:
-            f = self.schema.struct.by_name(n)
+            f = self.schema.struct.by_name(n) or self._dropped(n)
             if f is None:
                 raise InvalidData("no such column", column=n)
             meta = {FIELD_ID: f.id}
@@ -240,12 +240,48 @@ class ScanBuilder:
             fields.append(T.StructField(n, nullable(to_spark(f.type)), True, meta))
         return T.StructType(fields)
 
-    def _read(self, paths: list[str], names: list[str]) -> DataFrame:
+    def _any_field(self, field_id: int) -> Field:
+        """A field of the scan's schema, or of the newest other schema that has it."""
+        others = sorted(self.table.metadata.schemas.values(), key=lambda s: -s.schema_id)
+        for schema in (self.schema, *others):
+            if field_id in schema.paths:
+                return schema.find(field_id)
+        raise InvalidData("no such field", field_id=field_id)
+
+    def _column_of(self, field_id: int) -> str:
+        """The name under which a scan reads a field, dropped or not."""
+        here = next((f.name for f in self.schema.fields if f.id == field_id), None)
+        return here if here is not None else f"__field_{field_id}"
+
+    def _dropped(self, name: str) -> Field | None:
+        return self._any_field(int(name[8:])) if name.startswith("__field_") and name[8:].isdigit() else None
+
+    def _rebound(self) -> set[str]:
+        """Columns whose name, or that of a field inside, has stood for another field id in some schema.
+
+        Spark reads by field id, but pushes filters down by name. In a file of another time such a
+        name may be a different column, so these columns are read under names that no file has,
+        and their filters stay above the scan.
+        """
+        ids: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        for schema in self.table.metadata.schemas.values():
+            for field_id, path in schema.paths.items():
+                ids[path].add(field_id)
+        return {path[0] for path, found in ids.items() if len(found) > 1}
+
+    def _read(self, paths: list[str], names: list[str], *more: Column) -> DataFrame:
+        """The columns ``names`` of the files, and ``more`` columns of the reader."""
         spark = self.table.spark
         spark.conf.set(FIELD_ID_READ, "true")
         if self.batch_size:
             spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(self.batch_size))
-        return spark.read.schema(self._shape(names)).parquet(*paths)
+        shape, rebound = self._shape(names), self._rebound()
+        hidden = {f.name: f"__field_{f.metadata[FIELD_ID]}" for f in shape.fields if f.name in rebound}
+        physical = T.StructType([T.StructField(hidden.get(f.name, f.name), f.dataType, True, f.metadata) for f in shape.fields])
+        df = spark.read.schema(physical).parquet(*paths)
+        if not hidden and not more:
+            return df
+        return df.select(*(F.col(f"`{hidden.get(n, n)}`").alias(n) if n in hidden else F.col(f"`{n}`") for n in names), *more)
 
     # -- rows
 
@@ -296,10 +332,9 @@ class ScanBuilder:
             if not group:
                 continue
             keys = sorted({i for d in equality for i in d.file.equality_ids}) if merge else []
-            extra = [n for n in (self.schema.find(i).name for i in keys if i in self.schema.paths) if n not in names]
-            df = self._read([e.file.path for e in group], names + extra)
-            if merge or skip:
-                df = df.select("*", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(POS))
+            extra = [n for n in map(self._column_of, keys) if n not in names]
+            place = (F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(POS)) if merge or skip else ()
+            df = self._read([e.file.path for e in group], names + extra, *place)
             if skip:
                 df = df.where(F.col(POS) >= skip)
             if merge:
@@ -328,7 +363,7 @@ class ScanBuilder:
             by_ids[d.file.equality_ids].append(d)
         specs = self.table.metadata.specs
         for ids, files in by_ids.items():
-            fields = [self.schema.find(i) for i in ids]
+            fields = [self._any_field(i) for i in ids]
             shape = T.StructType([T.StructField(f"d_{f.id}", to_spark(f.type), True, {FIELD_ID: f.id}) for f in fields])
             for everywhere in (True, False):
                 chosen = [d for d in files if specs[d.file.spec_id].unpartitioned == everywhere and (everywhere or self._tuple(d) in reach)]
@@ -340,7 +375,7 @@ class ScanBuilder:
                 if not everywhere:
                     on = on & (F.col("d_part") == F.col("part"))
                 for f in fields:
-                    on = on & F.col(f"`{f.name}`").eqNullSafe(F.col(f"d_{f.id}"))
+                    on = on & F.col(f"`{self._column_of(f.id)}`").eqNullSafe(F.col(f"d_{f.id}"))
                 df = df.join(gone, on, "left_anti")
         return df
 

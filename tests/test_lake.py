@@ -490,3 +490,22 @@ def test_manifests_are_pruned_and_many_entries_are_decoded_by_executors(spark, c
     here = table.entries()
     monkeypatch.setattr(table_module, "DECODE_HERE", 0)
     assert table.entries() == here and len(here) == 4
+
+
+def test_filters_after_names_were_swapped(spark, catalog):
+    """A pushed filter must not prune by the column that had the name when the file was written."""
+    df = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 100_000).alias("b"), F.col("id").alias("k"))
+    table = make(catalog, df)
+    table.append(df)
+    for step in ({"a": "c"}, {"b": "a"}, {"c": "b"}):
+        table.update_schema(rename=step)
+    now = table.to_df()
+    assert now.where("a > 100500").count() == 499 and now.where("b < 10").count() == 10
+    assert table.new_scan().where("a", ">", 100_500).to_df().count() == 499
+    table.delete_where_equal(spark.createDataFrame([(100_001,)], "a long"), ["a"])
+    assert table.to_df().where("b < 10").count() == 9
+    plan = now.where("k < 5")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(k,5)" in plan and "__field_1" in plan  # other columns' filters still go down
+    table.update_schema(drop=["a"])
+    table.update_schema(add=[("a", "string")])
+    assert table.to_df().where("a = 'x'").count() == 0 and table.to_df().where("a is null").count() == 999
