@@ -177,7 +177,13 @@ class FileWriter:
         if not ids:
             raise InvalidData("an equality delete needs columns")
         fields = [self.schema.find(i) for i in ids]
-        rows = align(df, self.schema, (partition_col,) if partition_col else ()) if not self.spec.unpartitioned and partition_col is None else df
+        rows = df
+        if not self.spec.unpartitioned and partition_col is None:
+            # The keys and what the partition is made from; other columns need not be there.
+            sources = [self.schema.paths[p.source_id][0] for p in self.spec.fields]
+            needed = dict.fromkeys([*(f.name for f in fields), *sources])
+            kept = Schema(self.schema.schema_id, Struct(tuple(replace(self.schema.struct.by_name(n), required=False) for n in needed)))
+            rows = align(df, kept)
         shape = nullable(T.StructType([T.StructField(f.name, to_spark(f.type), True, {FIELD_ID: f.id}) for f in fields]))
         files = self._write(rows, shape, partition_col, [], self.config.delete_max_records)
         return [replace(f, content=EQUALITY_DELETES, equality_ids=tuple(ids)) for f in files]

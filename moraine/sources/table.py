@@ -240,10 +240,28 @@ class Table:
         return report
 
     def delete_where_equal(self, keys: DataFrame, columns: list[str]) -> Table:
-        """Delete all rows of earlier snapshots whose ``columns`` equal a row of ``keys``; null equals null."""
-        files = self.new_writer().equality_deletes(keys.distinct(), [self._field(c).id for c in columns])
+        """Delete all rows of earlier snapshots whose ``columns`` equal a row of ``keys``; null equals null.
+
+        In a partitioned table the delete reaches the partitions of the rows of ``keys``, if these have
+        the columns that the partition is made from, otherwise all.
+        """
+        writer = self.new_writer()
+        sources = {self.schema.paths[f.source_id][0] for f in self.spec.fields if f.transform.name != "void"}
+        if not sources <= set(keys.columns):
+            writer = self.new_writer()
+            writer.spec = self._global_spec()
+        files = writer.equality_deletes(keys.distinct(), [self._field(c).id for c in columns])
         return self.new_transaction().append_delete_file(*files).commit()
 
+    def _global_spec(self) -> PartitionSpec:
+        """A spec without fields, under which deletes concern the whole table; added if there is none."""
+        found = next((s for s in self.metadata.specs.values() if not s.fields), None)
+        if found is None:
+            spec = PartitionSpec(max(self.metadata.specs) + 1)
+            self._update([], [{"action": "add-spec", "spec": spec.to_json()}])
+            found = self.metadata.specs[spec.spec_id]
+        return found
+
     def delete_positions(self, positions: DataFrame) -> Table:
         """Delete rows by (file_path, pos), in any spelling of the path; unknown files are errors."""
         spec_of = self.metadata.specs

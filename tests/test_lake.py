@@ -509,3 +509,18 @@ def test_filters_after_names_were_swapped(spark, catalog):
     table.update_schema(drop=["a"])
     table.update_schema(add=[("a", "string")])
     assert table.to_df().where("a = 'x'").count() == 0 and table.to_df().where("a is null").count() == 999
+
+
+def test_equality_deletes_without_partition_columns_reach_all_partitions(spark, catalog):
+    df = spark.range(20).withColumn("p", F.col("id") % 3).withColumn("must", F.lit(1))
+    assert not df.schema["must"].nullable  # becomes a required column
+    table = make(catalog, df, ["p"])
+    table.append(df)
+    table.delete_where_equal(spark.createDataFrame([(4,), (5,), (99,)], "id long"), ["id"])
+    assert sorted(r.id for r in table.to_df().collect()) == [i for i in range(20) if i not in (4, 5)]
+    table.delete_where_equal(df.where("id in (6, 7)").select("id", "p"), ["id"])
+    table.append(df.where("id = 4"))
+    assert sorted(r.id for r in table.to_df().collect()) == [i for i in range(20) if i not in (5, 6, 7)]
+    assert table.metadata.default_spec_id == 0 and table.spec.fields
+    table.compact()
+    assert table.delete_files() == [] and table.to_df().count() == 17
