@@ -33,6 +33,9 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="moraine-")
     if current.isEmpty():
         context.setCheckpointDir(root)
+    if ":" not in root.split("/")[0]:  # no scheme: a folder of the cluster's default file system
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return root
 
 
