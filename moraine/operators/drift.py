@@ -197,7 +197,8 @@ def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame,
     ``payload`` is JSON by the current names, in the current order, absent members null or at
     their initial default. ``branches`` maps place and type to values that the current type cannot
     hold, or whose field is gone; null where there is none. A record without a schema id takes its
-    file's snapshot's (see ``snapshot_schemas``), else the current one. Repeated records count once. A record whose payload is
+    file's snapshot's (see ``snapshot_schemas``), else the current one. A record counts once if it is
+    repeated in all its columns; records that differ in any, also at one position, are all kept. A record whose payload is
     null or no JSON object, or whose schema is unknown, keeps its text in branch ``$raw``.
     """
     schemas = table_schemas(metadata)
@@ -210,7 +211,7 @@ def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame,
         .groupBy("table_uuid", "file_path")
         .agg(F.max_by("sid", F.struct("adds", "sid")).alias("file_schema"))
     )
-    once = records.select("table_uuid", "file_path", "row_pos", F.col("schema_id").cast("bigint").alias("schema_id"), "payload").dropDuplicates(["table_uuid", "file_path", "row_pos"])
+    once = records.select("table_uuid", "file_path", "row_pos", F.col("schema_id").cast("bigint").alias("schema_id"), "payload").dropDuplicates()
     plans = schemas.join(target, "table_uuid").select("table_uuid", F.col("schema_id").cast("bigint").alias("schema_id"), F.col("schema_json").alias("source"), "target")
     sure = once.join(by_file, ["table_uuid", "file_path"], "left").join(cur.select("table_uuid", F.col("schema_id").alias("cur_id")), "table_uuid", "left")
     sure = sure.select("table_uuid", "file_path", "row_pos", F.coalesce("schema_id", "file_schema", "cur_id").cast("bigint").alias("schema_id"), "payload")

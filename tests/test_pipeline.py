@@ -377,6 +377,15 @@ def test_records_under_the_current_schema(spark):
     assert len(got) == 6
 
 
+def test_records_that_differ_at_one_position_are_all_kept(spark):
+    meta = spark.createDataFrame([("m1", "t", 1, json.dumps([S0, S2]), 2, "n")], META)
+    rows = [("t", "f", 0, 2, '{"ID": 1}'), ("t", "f", 0, 2, '{"ID": 2}'), ("t", "f", 0, 0, '{"ID": 1}'), ("t", "f", None, 2, '{"ID": 3}'), ("t", "f", None, 2, '{"ID": 4}'), ("t", "f", 1, None, None)]
+    records = spark.createDataFrame(rows * 2, "table_uuid string, file_path string, row_pos long, schema_id int, payload string")
+    got = drift.unified_records(records, meta, spark.createDataFrame([], ENTRY), spark.createDataFrame([], SNAP)).collect()
+    ids = sorted((-1 if r.row_pos is None else r.row_pos, r.payload and json.loads(r.payload)["ID"] or 0, str(r.branches)) for r in got)
+    assert ids == [(-1, 3, "None"), (-1, 4, "None"), (0, 0, "{'ID:json': '1'}"), (0, 1, "None"), (0, 2, "None"), (1, 0, "None")]
+
+
 def test_snapshots_without_schema_take_the_last_one_before(spark):
     rng = random.Random(3)
     rows = [(t, s * 10, None, s, 0, None, rng.choice([None, None, 1, 2, 3]), "x") for t in "ab" for s in rng.sample(range(100), 40)]
