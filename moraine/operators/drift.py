@@ -119,11 +119,25 @@ def convert_scalar(value, source: str, target: str):
     return None, False
 
 
-def convert(value, source, target, path: str, spill: dict):
+def _member(name: str) -> str:
+    """A name that no schema has, as part of a place; quoted if it could be read as an id."""
+    return json.dumps(name, ensure_ascii=False) if name[:1] == '"' or name[:1].isdigit() else name
+
+
+def _entry(key: str) -> str:
+    """A map's key in brackets; quoted if it could end them."""
+    unclear = key[:1] == '"' or "]" in key
+    return f"[{json.dumps(key, ensure_ascii=False) if unclear else key}]"
+
+
+def convert(value, source, target, path: str, spill: dict, within: str = ""):
     """``value`` of type ``source`` as type ``target``; what does not fit goes to ``spill``.
 
-    Fields are matched by id, so renames follow; fields the target lacks spill under their old name.
-    Spill keys are the place and the tag of the branch, e.g. ``12:decimal(9,2)``.
+    Fields are matched by id, so renames follow; fields the target lacks spill under their id, members
+    that the schema lacks under their name. Spill keys are the place and the tag of the branch, e.g.
+    ``12:decimal(9,2)``. Each list and map around a value adds the element's index or the entry's key to
+    its place, e.g. ``3[0].8[k].12:int``, so every value has a key of its own. ``within`` is that
+    part of the place. A map's entry whose key the target cannot hold, or holds already, spills.
     """
     if value is None:
         return None
@@ -145,24 +159,29 @@ def convert(value, source, target, path: str, spill: dict):
         for name, item in value.items():
             f = old.get(name)
             if f is None:
-                spill[f"{path}.{name}:json" if path else f"{name}:json"] = item
+                spill[f"{path}.{_member(name)}:json" if path else f"{_member(name)}:json"] = item
             elif f["id"] not in now:
                 if item is not None:
-                    spill[f"{f['id']}:{_kind(f['type'])}"] = item
+                    spill[f"{within}{f['id']}:{_kind(f['type'])}"] = item
             else:
-                got[f["id"]] = convert(item, f["type"], now[f["id"]]["type"], str(f["id"]), spill)
+                got[f["id"]] = convert(item, f["type"], now[f["id"]]["type"], f"{within}{f['id']}", spill, within)
         return {f["name"]: got[f["id"]] if f["id"] in got else f.get("initial-default") for f in target["fields"]}
     if not isinstance(value, list if s == "list" else dict):
         spill[f"{path}:json"] = value
         return None
     if s == "list":
-        return [convert(x, source["element"], target["element"], f"{target['element-id']}[{i}]", spill) for i, x in enumerate(value)]
-    return {
-        str(convert_scalar(k, _kind(source["key"]), _kind(target["key"]))[0] if isinstance(source["key"], str) else k): convert(
-            x, source["value"], target["value"], f"{target['value-id']}[{k}]", spill
-        )
-        for k, x in value.items()
-    }
+        places = [f"{within}{target['element-id']}[{i}]" for i in range(len(value))]
+        return [convert(x, source["element"], target["element"], place, spill, f"{place}.") for x, place in zip(value, places)]
+    got = {}
+    for k, x in value.items():
+        place, fits, key = f"{within}{target['value-id']}{_entry(k)}", True, k
+        if isinstance(source["key"], str):
+            key, fits = convert_scalar(k, _kind(source["key"]), _kind(target["key"]))
+        if not fits or str(key) in got:
+            spill[f"{place}:{_kind(source['value'])}"] = x
+        else:
+            got[str(key)] = convert(x, source["value"], target["value"], place, spill, f"{place}.")
+    return got
 
 
 def current_schemas(metadata: DataFrame) -> DataFrame:

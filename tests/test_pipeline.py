@@ -416,6 +416,36 @@ def test_values_that_break_their_schema_are_kept():
     assert got == {"id": 1, "items": None, "s": None, "d": None} and spill == {"2:json": 5, "9:json": [1]}
 
 
+def test_every_value_inside_lists_and_maps_has_a_branch_of_its_own(spark):
+    def nest(kind, gone):
+        inner = {"type": "struct", "fields": [fld(4, "a", kind), *([fld(5, "b", "int")] if gone else [])]}
+        grid = {"type": "list", "element-id": 6, "element": {"type": "list", "element-id": 7, "element": inner}}
+        return [fld(1, "l", {"type": "list", "element-id": 3, "element": inner}), fld(2, "m", {"type": "map", "key-id": 8, "key": "string", "value-id": 9, "value": inner}), fld(10, "g", grid)]
+
+    old, new = schema_json(0, nest("string", True)), schema_json(1, nest("int", False))
+    payload = {
+        "l": [{"a": "x", "b": 1}, {"a": "y", "b": 2}, {"a": "3"}], "m": {"k": {"a": "u", "b": 3}, "n": {"a": "v", "c": 4}, "k].4:string": {"a": "w"}},
+        "g": [[{"a": "p"}, {"a": "q"}], [{"a": "r"}]], "3[0].4:string": 7, "5": 8,
+    }
+    meta = spark.createDataFrame([("m1", "t", 1, json.dumps([old, new]), 1, "n")], META)
+    records = spark.createDataFrame([("t", "f", 0, 0, json.dumps(payload))], "table_uuid string, file_path string, row_pos long, schema_id int, payload string")
+    (got,) = drift.unified_records(records, meta, spark.createDataFrame([], ENTRY), spark.createDataFrame([], SNAP)).collect()
+    assert json.loads(got.payload) == {"l": [{"a": None}, {"a": None}, {"a": 3}], "m": {k: {"a": None} for k in payload["m"]}, "g": [[{"a": None}] * 2, [{"a": None}]]}
+    assert got.branches == {
+        "3[0].4:string": "x", "3[0].5:int": "1", "3[1].4:string": "y", "3[1].5:int": "2", "9[k].4:string": "u", "9[k].5:int": "3", "9[n].4:string": "v", "9[n].c:json": "4",
+        '9["k].4:string"].4:string': "w", "6[0].7[0].4:string": "p", "6[0].7[1].4:string": "q", "6[1].7[0].4:string": "r", '"3[0].4:string":json': "7", '"5":json': "8",
+    }
+
+
+def test_map_entries_whose_keys_do_not_fit_are_kept():
+    def table(key):
+        return schema_json(0, [fld(1, "m", {"type": "map", "key-id": 2, "key": key, "value-id": 3, "value": "int"})])
+
+    spill = {}
+    got = drift.convert({"m": {"1": 10, "01": 11, "a": 12, "b": 13}}, table("string"), table("int"), "", spill)
+    assert got == {"m": {"1": 10}} and spill == {"3[01]:int": 11, "3[a]:int": 12, "3[b]:int": 13}
+
+
 def test_flattening_documents(spark):
     docs = [(1, '{"a": {"b": 1, "c.d": "x"}, "l": [{"v": 1.5, "k": [1, 2]}, {"v": null}], "e": []}'), (2, "nope"), (3, None), (4, "[[1],[]]"), (5, '{"l": [{"v": true}]}'), (6, "null")]
     flat = nested.flatten(spark.createDataFrame(docs, "id int, doc string"), "id", "doc")
