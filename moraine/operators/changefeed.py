@@ -205,7 +205,8 @@ def apply_feed(
 
     Returns the bucketed table, whose rows carry a ``file_id``, and the files by that number. Order of
     arrival does not matter: sequence numbers decide. Repeated feed rows count once; rows of files
-    that no manifest knows are ignored, as are deletes that hit nothing. Paths are replaced by
+    that no manifest knows are ignored, as are deletes that hit nothing and data rows without a position;
+    a delete needs no position of its own. Paths are replaced by
     numbers once, so everything after the first join moves numbers only.
     """
 
@@ -215,10 +216,10 @@ def apply_feed(
 
     files = written(feed_files(entries, snapshots, feed), "files")
     wanted = ["table_uuid", "file_path", "row_pos", *FIELDS.values(), "del_path", "del_offset"]
-    known = feed.where(F.col("file_path").isNotNull() & F.col("row_pos").isNotNull()).select(*wanted)
+    known = feed.where(F.col("file_path").isNotNull()).select(*wanted)
     tagged = (
         known.join(files.drop("object"), ["table_uuid", "file_path"])  # a large file can be split here
-        .where("content <> 0 or not removed")
+        .where("content <> 0 or row_pos is not null and not removed")
         .select(
             "content", "file_id", "table_uuid", "row_pos", *FIELDS.values(), "sequence", "equality_ids",
             F.when(F.col("content") == 1, canonical_path(F.col("del_path"))).alias("object"), "del_offset",

@@ -156,6 +156,15 @@ def test_change_feed_against_brute_force(spark):
     assert table.read().count() == 0
 
 
+def test_deletes_need_no_position_of_their_own(spark):
+    files = [("s3://w/b/d", 1, 0, None), ("s3://w/b/p", 2, 1, None), ("s3://w/b/e", 2, 2, [1])]
+    entries = spark.createDataFrame([entry("t", path, 1, None, seq, seq, content, ids=ids) for path, seq, content, ids in files], ENTRY)
+    row = lambda path, pos, key, *at: ("t", path, pos, key, None, None, *(at or (None, None)), None, 7)
+    feed = [*(row("s3://w/b/d", i, i) for i in range(4)), row("s3://w/b/d", None, 9), row("s3://w/b/p", None, None, "s3://w/b/d", 0), row("s3://w/b/e", None, 2)]
+    table, names = changefeed.apply_feed(spark, entries, spark.createDataFrame([], SNAP), spark.createDataFrame(feed, FEED), scratch_path(spark, "feed"))
+    assert sorted(tuples(table.read().join(names, "file_id").select("file_path", "row_pos"))) == [("s3://w/b/d", 1), ("s3://w/b/d", 3)]
+
+
 def test_only_touched_buckets_are_written_again(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("v"))
     table = changefeed.BucketedTable(spark, str(tmp_path / "t"), ["k"])
