@@ -23,6 +23,10 @@ CYRILLIC = "АВЕЅЗІЇЈКМНОРСТУХҮҺӀԌԚԜ" "аеѕіјорос
 CYRILLIC_AS = "ABES3IÏJKMHOPCTYXYhIGQW" "aesijopocyxhldqwyv"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳͿ" "οϲνι"
 GREEK_AS = "ABEZHIKMNOPTYXCjJ" "ocvi"
+# Greek letters that look like a Cyrillic but no Latin one, and the Izhitsa. Apart from the table,
+# of which the SQL is made: the SQL leaves these letters as they are.
+TWINS = "ΓΠΦΨψ" "Ѵ"
+TWINS_AS = "ГПФѰѱ" "V"
 
 
 @lru_cache
@@ -45,11 +49,16 @@ def _table() -> dict[int, str]:
     return table
 
 
+@lru_cache
+def _letters() -> dict[int, str]:
+    return {**_table(), **{ord(a): b for a, b in zip(TWINS, TWINS_AS, strict=True)}}
+
+
 def mapped(text: str) -> str:
     """``text`` with accents decomposed, look-alikes, widths and spaces mapped, invisibles gone."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", text).translate(_table())
+    return unicodedata.normalize("NFD", text).translate(_letters())
 
 
 def form(text: str | None) -> str | None:

@@ -34,6 +34,14 @@ def test_form_of_known_cases():
     assert textform.form(None) is None and textform.form("") == ""
 
 
+def test_form_of_lookalikes_without_a_latin_twin(spark):
+    for a, b in (("\u0413", "\u0393"), ("\u041f", "\u03a0"), ("\u0424", "\u03a6"), ("\u0470", "\u03a8"), ("\u0471", "\u03c8"), ("\u0474", "V"), ("\u0403", "\u0393\u0301")):
+        assert textform.form(a) == textform.form(b) and textform.form(f"x{a}y z") == textform.form(f"x{b}y z"), (a, b)
+    assert textform.form("\u041f\u0424") == "\u041f\u0424"
+    members = textform.lookalike_members(docs_df(spark, ["a \u0413\u041f", "a \u0393\u03a0", "a \u0424", "a \u03a6", "a \u0433"]))
+    assert sorted(tuple(r) for r in textform.lookalike_pairs(members).collect()) == [(0, 1), (2, 3)]
+
+
 @given(st.text(alphabet="aeоо́ё̈́Ａ１​  ²б", max_size=12))
 def test_form_is_stable(text):
     once = textform.form(text)
