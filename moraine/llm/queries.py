@@ -28,11 +28,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(_docs(spark, d), items).select("item_id", "doc_id").distinct()
 
 
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold no leaked passage."""
+    docs, items = _docs(spark, d), spark.read.parquet(f"{d}/eval_items.parquet")
+    return leakage.clean_documents(docs, leakage.leaked_passages(docs, items)).select("doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.lookalike_pairs(textform.lookalike_members(_docs(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_buckets, p9_found, p10_found)}
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in the one form, with the document that stands for all of its look."""
+    docs = _docs(spark, d)
+    members = textform.canonical_members(docs, textform.lookalike_members(docs))
+    return textform.canonical_documents(docs).join(members, "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p8_packed, p8_buckets, p9_found, p9_clean, p10_found, p10_forms)}
 
 
 def _form_sql(column: str) -> str:

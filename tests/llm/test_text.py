@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from moraine.llm import leakage, packing, textform
+from moraine.llm import leakage, packing, queries, textform
 
 DOC = "doc_id long, text string, form string, class_id long"
 
@@ -42,6 +42,15 @@ def test_form_of_lookalikes_without_a_latin_twin(spark):
     assert sorted(tuple(r) for r in textform.lookalike_pairs(members).collect()) == [(0, 1), (2, 3)]
 
 
+def test_clean_documents_and_forms_are_queries_over_whole_tables(spark, tmp_path):
+    passage = "one two three four five six seven eight"
+    docs_df(spark, [f"x {passage} y", "\u0441\u043eру", "copy", None, "short"]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "s", passage, "no")], "item_id int, suite string, question string, answer string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert sorted(r[0] for r in queries.QUERIES["p9_clean"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+    got = {r.doc_id: (r.form, r.canonical_id) for r in queries.QUERIES["p10_forms"](spark, str(tmp_path)).collect()}
+    assert got == {0: (f"x {passage} y", 0), 1: ("copy", 1), 2: ("copy", 1), 3: (None, 3), 4: ("short", 4)}
+
+
 @given(st.text(alphabet="aeоо́ё̈́Ａ１​  ²б", max_size=12))
 def test_form_is_stable(text):
     once = textform.form(text)
