@@ -19,7 +19,7 @@ from ..core.errors import InvalidData
 from ..core.session import cut
 from ..format.manifest import DataFile
 from ..format.types import FIELD_ID
-from .scan import FIELD_ID_READ, attach_by_file
+from .scan import FIELD_ID_READ, PATH, POS, attach_by_file
 from .write import PKEY, SEQ_COLUMN, SEQ_ID, FileWriter, align, partition_key_of, with_partition
 
 INSERT, DELETE = 1, 2
@@ -46,15 +46,49 @@ class ChangeReport:
         return sum(f.record_count for f in self.equality_deletes)
 
 
+def delete_older(table, writer: FileWriter, rows: DataFrame, keys: list[int], partition_col: str | None = None) -> tuple[list[DataFile], list[DataFile]]:
+    """(equality delete files, position delete files) that delete the rows of earlier snapshots whose
+    ``keys`` equal those of ``rows`` and that lie in the same partition.
+
+    The partition is that of the current spec, also for rows in files of other specs, which a delete
+    file under the current spec cannot reach. If the partition follows from the keys, one delete over
+    the whole table says the same; otherwise the rows of such files are looked up and marked one by one.
+    """
+    schema, spec = writer.schema, writer.spec
+    names = [schema.find(i).name for i in keys]
+    sources = {f.source_id for f in spec.fields if f.transform.name != "void"}
+    only_keys = [F.col(f"`{n}`") for n in dict.fromkeys(names)]
+    others = [] if spec.unpartitioned else table.files_of_other_specs(spec.spec_id)
+    if others and sources <= set(keys):
+        everywhere = table.new_writer()
+        everywhere.spec = table.global_spec()
+        return everywhere.equality_deletes(rows.select(*only_keys), keys), []
+    if not sources and partition_col is None:
+        rows = rows.select(*only_keys)
+    equality = writer.equality_deletes(rows, keys, partition_col)
+    if not others:
+        return equality, []
+    known = {schema.paths[i][0] for i in sources} | set(names)
+    kept = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c in known or c == partition_col))
+    gone = with_partition(kept, schema, spec, partition_col).select(PKEY, *(c.alias(f"k{i}") for i, c in enumerate(only_keys))).distinct()
+    have = with_partition(table.read_files(others, sorted(known)), schema, spec)
+    same = have[PKEY] == gone[PKEY]
+    for i, n in enumerate(dict.fromkeys(names)):
+        same = same & have[f"`{n}`"].eqNullSafe(gone[f"k{i}"])
+    hits = have.join(gone, same, "left_semi").select(F.col(PATH).alias("file_path"), F.col(POS).alias("pos"))
+    return equality, table.position_files(hits, others)
+
+
 def write_changes(
-    writer: FileWriter, changes: DataFrame, op: str, seq: str, keys: list[int], partition_col: str | None = None, upsert: bool = False
+    table, changes: DataFrame, op: str, seq: str, keys: list[int], partition_col: str | None = None, upsert: bool = False
 ) -> ChangeReport:
     """Write ``changes``: the table's columns, ``op`` (1 insert, 2 delete) and ``seq``, a total order.
 
     ``keys`` are field ids; null keys equal each other. Other op codes, null or repeated sequence
     values are errors. Deletes need their key and, in a partitioned table, the columns that the
-    partition is made from.
+    partition is made from; they reach the rows of that partition, whatever the spec of their files.
     """
+    writer = table.new_writer()
     schema, spec = writer.schema, writer.spec
     if not keys:
         raise InvalidData("changes need key columns")
@@ -82,16 +116,13 @@ def write_changes(
     unseen = (F.col(op) == DELETE) & fresh
     if upsert:  # the first event of a key also replaces what older snapshots have
         unseen = unseen | ((F.col(op) == INSERT) & F.col("__before").isNull())
-    equality = tagged.where(unseen)
-    spec_source = [f.source_id for f in spec.fields]
-    columns = equality if spec_source and partition_col is None else equality.select(*(F.col(f"`{n}`") for n in names), *([partition_col] if partition_col else []))
-    equality_files = writer.equality_deletes(columns, keys, partition_col)
+    equality_files, elsewhere = delete_older(table, writer, tagged.where(unseen), keys, partition_col)
 
     dead = inserts.where(F.col("__after").isNotNull()).select(F.col(SEQ_COLUMN).alias("s"), PKEY, *(F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names)))
     positions: list[DataFile] = []
     if data:
         positions = _position_files(writer, data, dead, names)
-    return ChangeReport(data, positions, equality_files)
+    return ChangeReport(data, positions + elsewhere, equality_files)
 
 
 def _position_files(writer: FileWriter, data: list[DataFile], dead: DataFrame, names: list[str]) -> list[DataFile]:

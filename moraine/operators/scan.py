@@ -26,7 +26,7 @@ from .write import nullable
 
 FIELD_ID_READ = "spark.sql.parquet.fieldId.read.enabled"
 OPS = ("=", "<", "<=", ">", ">=", "in", "is null", "is not null")
-PATH, POS = "__file", "__pos"
+PATH, POS, GROUP = "__file", "__pos", "__group"
 
 
 @dataclass(frozen=True)
@@ -142,6 +142,45 @@ def attach_by_file(df: DataFrame, path_column: str, rows: list[tuple], ddl: str)
     return joined.withColumn(first, F.coalesce(F.col(first), lost)).drop("raw")
 
 
+class _Hull:
+    """What equality deletes of the same fields in one place have in common: the newest sequence, and
+    between which values each field lies."""
+
+    def __init__(self):
+        self.sequence, self.nulls, self.low, self.high, self.files = 0, set(), {}, {}, 0
+
+    def add(self, d: Entry) -> None:
+        self.sequence = max(self.sequence, d.sequence)
+        for i in d.file.equality_ids:
+            if d.file.null_counts.get(i) != 0:
+                self.nulls.add(i)
+            for hull, bounds in ((self.low, d.file.lower_bounds), (self.high, d.file.upper_bounds)):
+                hull.setdefault(i, []).append(bounds.get(i))
+        self.files += 1
+
+    def _edges(self, i: int, kind) -> tuple | None:
+        lows, highs = self.low[i], self.high[i]
+        if None in lows or None in highs:
+            return None
+        if self.files > 1:  # reduce once, later calls find one value each
+            self.low[i] = lows = [min(lows, key=lambda b: from_bytes(kind, b))]
+            self.high[i] = highs = [max(highs, key=lambda b: from_bytes(kind, b))]
+        return from_bytes(kind, lows[0]), from_bytes(kind, highs[0])
+
+    def may_meet(self, e: Entry, ids: tuple[int, ...], kinds: dict) -> bool:
+        """False only if no row of the data file can equal a row of the deletes."""
+        if self.sequence <= e.sequence:
+            return False
+        for i in ids:
+            kind = kinds[i]
+            if i in self.nulls or not isinstance(kind, Primitive) or kind.name in ("float", "double"):
+                continue
+            edges, low, high = self._edges(i, kind), e.file.lower_bounds.get(i), e.file.upper_bounds.get(i)
+            if edges and low is not None and high is not None and (from_bytes(kind, high) < edges[0] or from_bytes(kind, low) > edges[1]):
+                return False
+        return True
+
+
 class ScanBuilder:
     """Knobs of a scan; every one returns the builder. ``to_df`` gives the rows."""
 
@@ -308,48 +347,66 @@ class ScanBuilder:
             out = out.where(c)
         return out.select(*(F.col(f"`{n}`") for n in names))
 
-    def _parts(self, data: list[Entry], deletes: list[Entry], names: list[str], skip: int) -> list[DataFrame]:
-        position = [d for d in deletes if d.file.content != EQUALITY_DELETES]
-        equality = [d for d in deletes if d.file.content == EQUALITY_DELETES]
-        specs = self.table.metadata.specs
-        by_tuple: dict[tuple, int] = {}
-        newest_global = 0
-        for d in equality:
-            if specs[d.file.spec_id].unpartitioned:
-                newest_global = max(newest_global, d.sequence)
-            else:
-                key = self._tuple(d)
-                by_tuple[key] = max(by_tuple.get(key, 0), d.sequence)
+    def reached(self, data: list[Entry], deletes: list[Entry], named: set[str] | None = None) -> set[int]:
+        """``id`` of each data entry that a delete may reach, by sequence, partition and key bounds.
+
+        ``named``: the data files that position deletes name, if that is known.
+        """
         newest_pos: dict[tuple, int] = {}
-        for d in position:
-            newest_pos[self._tuple(d)] = max(newest_pos.get(self._tuple(d), 0), d.sequence)
-        clean, dirty = [], []
+        hulls: dict[tuple | None, dict[tuple, _Hull]] = defaultdict(dict)
+        for d in deletes:
+            if d.file.content != EQUALITY_DELETES:
+                newest_pos[self._tuple(d)] = max(newest_pos.get(self._tuple(d), 0), d.sequence)
+                continue
+            where = None if self.table.metadata.specs[d.file.spec_id].unpartitioned else self._tuple(d)
+            hulls[where].setdefault(d.file.equality_ids, _Hull()).add(d)
+        kinds = {i: self._any_field(i).type for by_ids in hulls.values() for ids in by_ids for i in ids}
+        hit: set[int] = set()
         for e in data:
-            hit = newest_pos.get(self._tuple(e), 0) >= e.sequence or max(by_tuple.get(self._tuple(e), 0), newest_global) > e.sequence
-            (dirty if hit else clean).append(e)
+            where = self._tuple(e)
+            if newest_pos.get(where, 0) >= e.sequence and (named is None or object_key(e.file.path) in named):
+                hit.add(id(e))
+            elif any(h.may_meet(e, ids, kinds) for place in (None, where) for ids, h in hulls.get(place, {}).items()):
+                hit.add(id(e))
+        return hit
+
+    def _parts(self, data: list[Entry], deletes: list[Entry], names: list[str], skip: int, groups: dict[int, int] | None = None) -> list[DataFrame]:
+        """The rows of ``data`` without what ``deletes`` delete, files that no delete reaches apart.
+
+        With ``groups``, a number by ``id`` of each entry, the rows also have that number, as ``GROUP``.
+        """
+        position = [d for d in deletes if d.file.content != EQUALITY_DELETES]
+        equality = [d for d in deletes if d.file.content == EQUALITY_DELETES]
+        hit = self.reached(data, deletes)
         out = []
-        for group, merge in ((clean, False), (dirty, True)):
+        for merge in (False, True):
+            group = [e for e in data if (id(e) in hit) == merge]
             if not group:
                 continue
             keys = sorted({i for d in equality for i in d.file.equality_ids}) if merge else []
             extra = [n for n in map(self._column_of, keys) if n not in names]
             place = (F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(POS)) if merge or skip else ()
+            if groups is not None and not merge:
+                place = (F.col("_metadata.file_path").alias(PATH),)
             df = self._read([e.file.path for e in group], names + extra, *place)
             if skip:
                 df = df.where(F.col(POS) >= skip)
             if merge:
-                df = self._without_deleted(df, group, position, equality)
-            out.append(df.select(*(F.col(f"`{n}`") for n in names)))
+                df = self._without_deleted(df, group, position, equality, groups)
+            elif groups is not None:
+                df = attach_by_file(df, PATH, [(e.file.path, groups[id(e)]) for e in group], f"{GROUP} int")
+            out.append(df.select(*(F.col(f"`{n}`") for n in names), *([GROUP] if groups is not None else [])))
         return out
 
     def _tuple(self, e: Entry) -> tuple:
         return (e.file.spec_id, *((k, repr(v)) for k, v in sorted(e.file.partition.items())))
 
-    def _without_deleted(self, df: DataFrame, data: list[Entry], position: list[Entry], equality: list[Entry]) -> DataFrame:
+    def _without_deleted(self, df: DataFrame, data: list[Entry], position: list[Entry], equality: list[Entry], groups: dict[int, int] | None = None) -> DataFrame:
         spark = self.table.spark
         tuples: dict[tuple, int] = {}
         number = lambda e: tuples.setdefault(self._tuple(e), len(tuples))
-        df = attach_by_file(df, PATH, [(e.file.path, i, e.sequence, number(e)) for i, e in enumerate(data)], "file_no int, seq bigint, part int").drop(PATH)
+        facts = [(e.file.path, i, e.sequence, number(e), groups[id(e)] if groups else 0) for i, e in enumerate(data)]
+        df = attach_by_file(df, PATH, facts, f"file_no int, seq bigint, part int, {GROUP} int").drop(PATH)
         known = small_frame(spark, [(object_key(e.file.path), i) for i, e in enumerate(data)], "k string, d_no int")
         reach = {self._tuple(e) for e in data}
         position = [d for d in position if self._tuple(d) in reach]

@@ -25,9 +25,10 @@ from ..format.types import FIELD_ID, PartitionSpec, Primitive, Schema, SortOrder
 from ..format.values import to_bytes
 from ..functions.transforms import micros_of, transform_column
 
-PART, PKEY = "__partition", "__pkey"
+PART, PKEY, GROUP = "__partition", "__pkey", "__group"
+#: Rows of a first write that are measured to learn how many fill a file.
+PROBE_ROWS = 4096
 SEQ_COLUMN, SEQ_ID = "__change_seq", 2147483447
-_NULL = "\x00"
 TIMESTAMP_TYPE = "spark.sql.parquet.outputTimestampType"
 
 
@@ -88,12 +89,13 @@ def partition_columns(schema: Schema, spec: PartitionSpec) -> list[tuple[str, Pr
 
 
 def _key_text(c: Column, t: Primitive) -> Column:
-    """Text that tells any two values of the type apart."""
+    """Text that tells any two values of the type apart, also beside others: its length comes first."""
     if t.name in ("timestamp", "timestamptz"):
         c = micros_of(c, t)
     elif t.name in ("binary", "uuid") or t.fixed_length is not None:
         c = F.hex(c)
-    return F.coalesce(c.cast("string"), F.lit(_NULL))
+    text = c.cast("string")
+    return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
 
 def with_partition(df: DataFrame, schema: Schema, spec: PartitionSpec, partition_col: str | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def with_partition(df: DataFrame, schema: Schema, spec: PartitionSpec, partition
         parts = [(n, t, F.col(f"`{partition_col}`.`{n}`").cast(to_spark(t))) for n, t, _ in parts]
     packed = df.withColumn(PART, F.struct(*(c.alias(n) for n, _, c in parts)))
     text = [_key_text(F.col(f"{PART}.`{n}`"), t) for n, t, _ in parts]
-    return packed.withColumn(PKEY, F.md5(F.concat_ws("\x1f", *text)))
+    return packed.withColumn(PKEY, F.md5(F.concat(F.lit(""), *text)))
 
 
 def python_value(t: Primitive, v):
@@ -131,7 +133,8 @@ class Written:
 class FileWriter:
     """Writes files of one kind for one table state."""
 
-    def __init__(self, spark, location: str, schema: Schema, spec: PartitionSpec, properties: dict, config: TableConfig, partition_id: int = 0, task: int = 0):
+    def __init__(self, spark, location: str, schema: Schema, spec: PartitionSpec, properties: dict, config: TableConfig, partition_id: int = 0, task: int = 0, bytes_per_row: float = 0.0):
+        self.bytes_per_row = bytes_per_row
         self.spark, self.schema, self.spec, self.config = spark, schema, spec, config
         self.folder = data_folder(location, properties)
         self.storage = Storage(spark)
@@ -148,12 +151,61 @@ class FileWriter:
         for k in keep:
             shape = shape.add(T.StructField(k, T.LongType(), True, {FIELD_ID: SEQ_ID}))
         order = self._sort_columns(sort)
-        files = self._write(rows, shape, partition_col, order, self.config.rows_per_file)
+        files = self._write(rows, shape, partition_col, order, self._rows_per_file(rows, shape))
         self._check(files)
         if sort is not None and sort.fields:
             files = [replace(f, sort_order_id=sort.order_id) for f in files]
         return files
 
+    def single(self, df: DataFrame) -> DataFile | None:
+        """All rows of ``df``, of one partition, in one file whatever its size; None for no rows."""
+        rows = align(df, self.schema).coalesce(1)
+        files = self._write(rows, nullable(self.schema.to_spark()), None, [], 0, spread=False)
+        if len(files) > 1:
+            for f in files:
+                self.storage.delete(f.path)
+            raise InvalidData("rows of several partitions do not fit into one file", files=len(files))
+        self._check(files)
+        return files[0] if files else None
+
+    def groups(self, df: DataFrame, places: list[tuple[int, dict]]) -> list[DataFile]:
+        """One file for each number in the column ``GROUP``: ``places`` has its (spec id, partition tuple)."""
+        keyed = df.withColumn(PKEY, F.col(GROUP).cast("string")).repartition(max(1, len(places)), GROUP)
+        files = self._write(keyed, nullable(self.schema.to_spark()), None, [], 0, places, spread=False)
+        self._check(files)
+        return files
+
+    def _rows_per_file(self, rows: DataFrame, shape: T.StructType) -> int:
+        """How many rows fill a file of the target size, and no more than the settings allow; 0 for any number.
+
+        The size of a row is what the table's rows took so far, or, in an empty table, what the first
+        ``PROBE_ROWS`` rows take as Parquet.
+        """
+        if not self.config.target_file_size:
+            return self.config.rows_per_file
+        size = self.bytes_per_row or self._probe(rows, shape)
+        fitting = max(1, int(self.config.target_file_size / size)) if size else 0
+        return min(x for x in (fitting, self.config.rows_per_file) if x) if fitting or self.config.rows_per_file else 0
+
+    def _probe(self, rows: DataFrame, shape: T.StructType) -> float:
+        names, codec = [f.name for f in shape.fields], self.config.compression.lower()
+
+        def measure(batches):
+            import pyarrow as pa
+            import pyarrow.parquet as pq
+
+            held = list(batches)
+            n = sum(b.num_rows for b in held)
+            sink = pa.BufferOutputStream()
+            if n:
+                pq.write_table(pa.Table.from_batches(held), sink, compression=codec if codec in ("snappy", "gzip", "zstd", "brotli") else "none" if codec == "uncompressed" else "snappy")
+                meta = pq.ParquetFile(pa.BufferReader(sink.getvalue())).metadata
+                size = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["n", "bytes"])
+
+        found = rows.select(*(F.col(f"`{n}`") for n in names)).limit(PROBE_ROWS).coalesce(1).mapInArrow(measure, "n bigint, bytes bigint").first()
+        return found.bytes / found.n if found else 0.0
+
     def _sort_columns(self, sort: SortOrder | None) -> list[Column]:
         out = []
         for s in sort.fields if sort else ():
@@ -206,7 +258,7 @@ class FileWriter:
 
     # -- the job
 
-    def _write(self, rows: DataFrame, shape: T.StructType, partition_col: str | None, order: list[Column], max_rows: int, places: list[tuple[int, dict]] | None = None) -> list[DataFile]:
+    def _write(self, rows: DataFrame, shape: T.StructType, partition_col: str | None, order: list[Column], max_rows: int, places: list[tuple[int, dict]] | None = None, spread: bool = True) -> list[DataFile]:
         began = time.perf_counter()
         staging = join(self.folder, f"w-{uuid.uuid4().hex}")
         self.spark.conf.set(TIMESTAMP_TYPE, "TIMESTAMP_MICROS")
@@ -232,7 +284,7 @@ class FileWriter:
                 parted = parted.observe(seen, F.collect_set(F.struct(PKEY, PART)).alias("tuples"))
             else:
                 parted, tuples = rows, {str(i): place for i, place in enumerate(places)}
-            out = parted.hint("rebalance", F.col(PKEY)).sortWithinPartitions(PKEY, *order)
+            out = (parted.hint("rebalance", F.col(PKEY)) if spread else parted).sortWithinPartitions(PKEY, *order)
             shaped(out, PKEY).write.options(**options).partitionBy(PKEY).parquet(staging)
             found = []
             for name, is_dir in self.storage.listing(staging):

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import reduce
 
+import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +17,13 @@ from ..core.config import TableConfig
 from ..core.errors import InvalidData
 from ..core.session import small_frame
 from ..core.storage import Storage, join, read_object
-from ..format.manifest import DATA, DELETED, DataFile, Entry, ManifestFile, decode_list, decode_manifest, inherit
+from ..format.manifest import DATA, DELETED, POSITION_DELETES, DataFile, Entry, ManifestFile, decode_list, decode_manifest, inherit
 from ..format.metadata import MAIN, TableMetadata
 from ..format.types import PartitionSpec, SortOrder, Struct, Transform, evolve, to_spark
 from ..functions.paths import object_key, object_key_column
-from ..operators.changes import ChangeReport, write_changes
-from ..operators.scan import ScanBuilder
+from ..operators.changes import ChangeReport, delete_older, write_changes
+from ..operators.compaction import least_loaded
+from ..operators.scan import PATH, POS, ScanBuilder
 from ..operators.transaction import Transaction
 from ..operators.write import FileWriter, partition_key_of
 
@@ -217,7 +221,14 @@ class Table:
 
     def new_writer(self, partition_id: int = 0, config: TableConfig | None = None) -> FileWriter:
         self.tasks += 1
-        return FileWriter(self.spark, self.location, self.schema, self.spec, self.metadata.properties, config or self.config, partition_id, self.tasks)
+        return FileWriter(self.spark, self.location, self.schema, self.spec, self.metadata.properties, config or self.config, partition_id, self.tasks, self._bytes_per_row())
+
+    def _bytes_per_row(self) -> float:
+        """What a row took so far, by the current snapshot's summary; 0 if there is none or its files are
+        too small to tell, because little files are mostly overhead."""
+        s = self.current_snapshot()
+        size, rows, files = (sum(int(s.summary.get(f"total-{k}", 0)) for k in keys) if s else 0 for keys in (("files-size",), ("records",), ("data-files", "delete-files")))
+        return size / rows if rows and files and size / files * 4 >= self.config.target_file_size else 0.0
 
     def new_transaction(self, branch: str = MAIN) -> Transaction:
         return Transaction(self, branch)
@@ -234,7 +245,7 @@ class Table:
     def apply_changes(self, changes: DataFrame, op: str, seq: str, keys: list[str], partition_col: str | None = None, upsert: bool = False, summary: dict | None = None) -> ChangeReport:
         """Apply inserts (1) and deletes (2) in the order of ``seq`` as one snapshot."""
         ids = [self._field(k).id for k in keys]
-        report = write_changes(self.new_writer(), changes, op, seq, ids, partition_col, upsert)
+        report = write_changes(self, changes, op, seq, ids, partition_col, upsert)
         tx = self.new_transaction().append_data_file(*report.data).append_delete_file(*report.position_deletes, *report.equality_deletes)
         tx.set_summary(**(summary or {})).commit()
         return report
@@ -248,12 +259,23 @@ class Table:
         writer = self.new_writer()
         sources = {self.schema.paths[f.source_id][0] for f in self.spec.fields if f.transform.name != "void"}
         if not sources <= set(keys.columns):
-            writer = self.new_writer()
-            writer.spec = self._global_spec()
-        files = writer.equality_deletes(keys.distinct(), [self._field(c).id for c in columns])
-        return self.new_transaction().append_delete_file(*files).commit()
+            writer.spec = self.global_spec()
+        equality, positions = delete_older(self, writer, keys.distinct(), [self._field(c).id for c in columns])
+        return self.new_transaction().append_delete_file(*equality, *positions).commit()
+
+    def files_of_other_specs(self, spec_id: int) -> list[Entry]:
+        """Live data files of the current snapshot that were written under another spec."""
+        if self.current_snapshot() is None:
+            return []
+        wanted = lambda m: m.spec_id != spec_id and m.content == DATA and m.added_files + m.existing_files > 0
+        return [e for e in self.live_entries(wanted=wanted) if e.file.content == DATA]
 
-    def _global_spec(self) -> PartitionSpec:
+    def read_files(self, entries: list[Entry], names: list[str]) -> DataFrame:
+        """Columns of the current schema from the given data files, with each row's file and position."""
+        place = (F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(POS))
+        return self.new_scan()._read([e.file.path for e in entries], names, *place)
+
+    def global_spec(self) -> PartitionSpec:
         """A spec without fields, under which deletes concern the whole table; added if there is none."""
         found = next((s for s in self.metadata.specs.values() if not s.fields), None)
         if found is None:
@@ -264,20 +286,25 @@ class Table:
 
     def delete_positions(self, positions: DataFrame) -> Table:
         """Delete rows by (file_path, pos), in any spelling of the path; unknown files are errors."""
-        spec_of = self.metadata.specs
-        data = self.data_files()
+        files = self.position_files(positions, [e for e in self.live_entries() if e.file.content == DATA])
+        return self.new_transaction().append_delete_file(*files).commit()
+
+    def position_files(self, positions: DataFrame, data: list[Entry]) -> list[DataFile]:
+        """Position delete files for rows of ``data``, one set per partition; one pass over ``positions``."""
         groups: dict[tuple, list[DataFile]] = defaultdict(list)
-        for f in data:
-            groups[partition_key_of(spec_of[f.spec_id], spec_of[f.spec_id].struct(self.schema), f.partition)].append(f)
+        for e in data:
+            spec = self.metadata.specs[e.file.spec_id]
+            groups[partition_key_of(spec, spec.struct(self.schema), e.file.partition)].append(e.file)
         known = small_frame(self.spark, [(object_key(f.path), f.path, n) for n, fs in enumerate(groups.values()) for f in fs], "k string, known_path string, part int")
         named = positions.select(F.col("file_path").alias("given"), F.col("pos").cast("bigint").alias("pos")).withColumn("k", object_key_column(F.col("given")))
-        placed = named.join(known, "k", "left")
-        if not placed.where("part is null").isEmpty():
-            raise InvalidData("position delete on a file that is not in the table")
-        places = [(files[0].spec_id, files[0].partition) for files in groups.values()]
-        rows = placed.select(F.col("known_path").alias("file_path"), "pos", "part")
-        files = self.new_writer().position_deletes(rows, places)
-        return self.new_transaction().append_delete_file(*files).commit()
+        lost = F.raise_error(F.concat(F.lit("position delete on a file that is not in the table: "), F.coalesce("given", F.lit("null")))).cast("int")
+        rows = named.join(known, "k", "left").select(F.col("known_path").alias("file_path"), "pos", F.coalesce("part", lost).alias("part"))
+        try:
+            return self.new_writer().position_deletes(rows, [(files[0].spec_id, files[0].partition) for files in groups.values()])
+        except PySparkException as e:
+            if "position delete on a file" in str(e):
+                raise InvalidData("position delete on a file that is not in the table", e) from e
+            raise
 
     def overwrite(self, df: DataFrame) -> Table:
         """Replace all rows by those of ``df`` in one snapshot."""
@@ -288,8 +315,11 @@ class Table:
     def compact(self, small_bytes: int | None = None, target_bytes: int | None = None) -> int:
         """Merge small files of each partition and fold deletes in; returns how many files went.
 
-        With delete files about, every data file is rewritten and the delete files go; otherwise
-        only files below ``small_bytes`` of partitions that have at least two of them.
+        Rewritten are the data files that a delete reaches, and files below ``small_bytes`` of
+        partitions that have at least two of them; the others stay. The files of a partition go, longest
+        first, to the least loaded of as many groups as their bytes fill ``target_bytes``, and each
+        group becomes one file. Delete files go, because afterwards they reach nothing. Files of
+        older specs are written anew under the current one, by the rolling of a write.
         """
         if self.current_snapshot() is None:
             return 0
@@ -297,28 +327,52 @@ class Table:
         small = small_bytes or target * 3 // 4
         live = self.live_entries()
         data, deletes = [e for e in live if e.file.content == DATA], [e for e in live if e.file.content != DATA]
-        if deletes:
-            chosen = data
-        else:
-            groups: dict[str, list[Entry]] = defaultdict(list)
-            for e in data:
-                if e.file.size < small:
-                    groups[f"{e.file.spec_id}{sorted((k, repr(v)) for k, v in e.file.partition.items())}"].append(e)
-            chosen = [e for es in groups.values() if len(es) > 1 for e in es]
-        if not chosen:
-            return 0
         scan = self.new_scan()
-        parts = scan._parts(chosen, deletes, [f.name for f in self.schema.fields], 0)
-        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        size = sum(e.file.size for e in chosen)
-        writer = self.new_writer()
-        if writer.spec.unpartitioned:
-            df = df.coalesce(max(1, -(-size // target)))
-        files = writer.data(df)
-        gone = [e.file.path for e in (*chosen, *deletes)]
+        reached = scan.reached(data, deletes, self._paths_with_deletes(deletes))
+        tuples: dict[tuple, list[Entry]] = defaultdict(list)
+        for e in data:
+            tuples[scan._tuple(e)].append(e)
+        chosen: dict[tuple, list[Entry]] = {}
+        for key, entries in tuples.items():
+            little = [e for e in entries if e.file.size < small]
+            picked = [e for e in entries if id(e) in reached or (len(little) > 1 and e.file.size < small)]
+            if picked:
+                chosen[key] = picked
+        if not chosen and not deletes:
+            return 0
+        groups: list[tuple[list[Entry], tuple[int, dict]]] = []
+        elsewhere: list[Entry] = []
+        for entries in chosen.values():
+            first = entries[0].file
+            if first.spec_id != self.spec.spec_id:
+                elsewhere += entries
+                continue
+            sizes = np.array([e.file.size for e in entries], dtype=np.int64)
+            owner = least_loaded(sizes, max(1, round(int(sizes.sum()) / target)))
+            for g in range(int(owner.max()) + 1):
+                members = [e for e, o in zip(entries, owner) if o == g]
+                if members:
+                    groups.append((members, (first.spec_id, first.partition)))
+        names = [f.name for f in self.schema.fields]
+        files: list[DataFile] = []
+        if groups:
+            numbers = {id(e): n for n, (members, _) in enumerate(groups) for e in members}
+            parts = scan._parts([e for members, _ in groups for e in members], deletes, names, 0, numbers)
+            files += self.new_writer(config=replace(self.config, target_file_size=target)).groups(reduce(DataFrame.unionByName, parts), [place for _, place in groups])
+        if elsewhere:
+            parts = scan._parts(elsewhere, deletes, names, 0)
+            files += self.new_writer(config=replace(self.config, target_file_size=target)).data(reduce(DataFrame.unionByName, parts))
+        gone = [e.file.path for e in (*(e for entries in chosen.values() for e in entries), *deletes)]
         self.new_transaction().append_data_file(*files).remove_files(*gone).rewrite().commit(retries=0)
         return len(gone)
 
+    def _paths_with_deletes(self, deletes: list[Entry]) -> set[str]:
+        """The data files that position deletes name; as many as there are files at most."""
+        files = [e.file.path for e in deletes if e.file.content == POSITION_DELETES]
+        if not files:
+            return set()
+        return {object_key(r[0]) for r in self.spark.read.schema("file_path string").parquet(*files).distinct().collect()}
+
     # -- evolution and history
 
     def _field(self, name: str):

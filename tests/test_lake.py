@@ -4,10 +4,13 @@ import datetime as dt
 import json
 import random
 import threading
+import uuid
 from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,13 +264,15 @@ def replay(calls, keys):
     return sorted(map(str, rows))
 
 
-@pytest.mark.parametrize("parts", [[], ["id"]])
-def test_random_delta_streams_equal_a_replay(spark, catalog, parts):
+@pytest.mark.parametrize("parts,later", [([], []), (["id"], []), (["id"], [[("key", "bucket[2]")], ["id", "key"]])])
+def test_random_delta_streams_equal_a_replay(spark, catalog, parts, later):
     rng = random.Random(5)
     value = lambda: rng.choice([1, 2, None])
     calls = [[(rng.choice([1, 1, 2]), (value(), rng.choice([1, 2, 3, None]), rng.randrange(100))) for _ in range(40)] for _ in range(3)]
     table = make(catalog, spark.createDataFrame([], DELTA), parts)
-    for events in calls:
+    for n, events in enumerate(calls):
+        if n and later:
+            table.update_spec(later[n - 1])
         table.apply_changes(changes(spark, events), "op", "seq", ["id", "key"])
     want = replay(calls, (0, 1))
     assert sorted(str(tuple(r)) for r in table.to_df().collect()) == want
@@ -524,3 +529,80 @@ def test_equality_deletes_without_partition_columns_reach_all_partitions(spark,
     assert table.metadata.default_spec_id == 0 and table.spec.fields
     table.compact()
     assert table.delete_files() == [] and table.to_df().count() == 17
+
+
+def test_deletes_after_a_spec_change(spark, catalog):
+    df = spark.range(12).select("id", (F.col("id") % 3).alias("k"), F.lit("old").alias("v"))
+    table = make(catalog, df, ["k"])
+    table.append(df)
+    table.update_spec([("id", "bucket[4]")])
+    gone = spark.createDataFrame([(1, 1, "x", 2, 1), (2, 2, "x", 2, 2)], "id long, k long, v string, op int, seq long")
+    table.apply_changes(gone, "op", "seq", ["id"])
+    table.delete_where_equal(spark.createDataFrame([(3,)], "id long"), ["id"])
+    table.apply_changes(spark.createDataFrame([(4, None, "new", 1, 1)], "id long, k long, v string, op int, seq long"), "op", "seq", ["id"], upsert=True)
+    found = sorted((r.id, r.v) for r in table.to_df().collect())
+    assert found == [(0, "old"), (4, "new")] + [(i, "old") for i in range(5, 12)]
+    table.compact()
+    assert table.delete_files() == [] and sorted((r.id, r.v) for r in table.to_df().collect()) == found
+
+
+def test_partition_of_a_delete_after_a_spec_change(spark, catalog):
+    """The partition does not follow from the keys: rows of older specs are marked where the current partition is the same."""
+    df = spark.createDataFrame([(1, "a", 10), (1, "b", 20), (2, "a", 30)], "id long, p string, v long")
+    table = make(catalog, df, [("v", "bucket[2]")])
+    table.append(df)
+    table.update_spec(["p"])
+    report = table.apply_changes(spark.createDataFrame([(1, "b", None, 2, 1)], "id long, p string, v long, op int, seq long"), "op", "seq", ["id"])
+    assert sorted(tuple(r) for r in table.to_df().collect()) == [(1, "a", 10), (2, "a", 30)] and report.positions == 1
+    table.delete_where_equal(spark.createDataFrame([(1, "a"), (2, "b")], "id long, p string"), ["id"])
+    assert [tuple(r) for r in table.to_df().collect()] == [(2, "a", 30)]
+
+
+TEXTS = st.lists(st.tuples(*[st.one_of(st.none(), st.text(alphabet="ab\x1f\x00:-0123", max_size=4))] * 2), min_size=1, max_size=12)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=TEXTS)
+def test_partition_tuples_stay_apart(spark, catalog, rows):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate([("a\x1fb", "c"), ("a", "b\x1fc"), (None, ""), ("", None), *rows])], "p string, q string, i long")
+    table = make(catalog, df, ["p", "q"], f"db.t{uuid.uuid4().hex}")
+    table.append(df)
+    want = {}
+    for r in df.collect():
+        want[r.p, r.q] = want.get((r.p, r.q), 0) + 1
+    got = {}
+    for f in table.data_files():
+        got[f.partition["p"], f.partition["q"]] = got.get((f.partition["p"], f.partition["q"]), 0) + f.record_count
+    assert got == want
+    assert table.new_scan().with_partition_value({"p": "a\x1fb", "q": "c"}).to_df().count() == want["a\x1fb", "c"]
+
+
+def test_files_are_rolled_at_the_target_size(spark, catalog):
+    df = spark.range(200_000).select("id", F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("t"))
+    table = make(catalog, df)
+    table.config = TableConfig(target_file_size=1_000_000)
+    for _ in range(2):  # by a probe, then by what the table holds
+        table.append(df.coalesce(1))
+    sizes = sorted(f.size for f in table.data_files())
+    assert len(sizes) > 10 and sizes[-1] < 1_300_000 and sizes[2] > 600_000
+    one = table.new_writer().single(df)
+    assert one.record_count == 200_000 and one.size > 5_000_000 and table.new_writer().single(df.where("id < 0")) is None
+
+
+def test_compaction_rewrites_what_deletes_reach(spark, catalog):
+    df = spark.range(40_000).select("id", (F.col("id") % 4).alias("k"), F.md5(F.col("id").cast("string")).alias("t"))
+    table = make(catalog, df, ["k"])
+    table.append(df)
+    assert len(table.data_files()) == 4
+    before = {f.path for f in table.data_files()}
+    table.delete_where_equal(spark.createDataFrame([(2, 2)], "id long, k long"), ["id"])
+    table.compact(small_bytes=1)
+    assert len({f.path for f in table.data_files()} - before) == 1 and table.delete_files() == [] and table.to_df().count() == 39_999
+    scan = table.new_scan()
+    table.delete_where_equal(spark.createDataFrame([(50_000,)], "id long"), ["id"])  # outside all bounds
+    assert scan.reached([e for e in table.live_entries() if e.file.content == 0], [e for e in table.live_entries() if e.file.content]) == set()
+    for _ in range(6):
+        table.append(df.where("id < 2000"))
+    table.compact(small_bytes=1 << 20, target_bytes=300_000)
+    sizes = sorted(f.size for f in table.data_files())
+    assert table.to_df().count() == 39_999 + 12_000 and table.delete_files() == [] and all(90_000 < s < 600_000 for s in sizes) and len(sizes) <= 12
