@@ -3,70 +3,93 @@
 All schemas of a table are fused by field id into one union schema. A field keeps every type it
 ever had as a *branch* with a tag; records are read under the current schema, values of other
 branches are converted where the conversion loses nothing and kept in their typed branch where it
-would. Comparing which alternatives a schema brings gives the list of changes.
+would. Which alternatives appear and disappear from schema to schema is the list of changes.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from decimal import Context, Decimal, InvalidOperation
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..core.session import cut_table
-from .nested import schema_rows, table_schemas
+from .nested import parse, schema_rows, table_schemas
 
 
-def fuse_schemas(fields: DataFrame) -> DataFrame:
-    """(table_uuid, field_id, branches): the union schema.
+def schema_steps(present: DataFrame) -> DataFrame:
+    """(table_uuid, schema_id, pos, after): each schema's place in its table's order of ids, from 0, and
+    the next id; ``present`` has the distinct (table_uuid, schema_id)."""
+    w = W.partitionBy("table_uuid").orderBy("schema_id")
+    return present.select("table_uuid", "schema_id", (F.row_number().over(w) - 1).alias("pos"), F.lead("schema_id").over(w).alias("after"))
+
 
-    ``branches`` has one entry (tag, kind, names, schema_ids) per type the field ever had, ordered by
-    first appearance; a field with one branch never conflicted.
+def fuse_schemas(fields: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(table_uuid, field_id, branches): the union schema of each table.
+
+    ``branches`` has one entry (tag, kind, names, schema_ids, uses) per type the field ever had, ordered by
+    first appearance; a field with one branch never conflicted. ``uses`` tells of each schema with
+    the branch (pos, schema_id, after, name), see ``schema_steps``.
     """
-    alternatives = fields.groupBy("table_uuid", "field_id", "kind").agg(
-        F.array_sort(F.collect_set("schema_id")).alias("schema_ids"), F.array_sort(F.collect_set("name")).alias("names")
-    )
-    entry = F.struct(F.element_at("schema_ids", 1).alias("since"), "kind", "names", "schema_ids")
+    if steps is None:
+        steps = schema_steps(fields.select("table_uuid", "schema_id").distinct())
+    use = F.struct("pos", "schema_id", "after", "name")
+    alternatives = fields.join(steps, ["table_uuid", "schema_id"]).groupBy("table_uuid", "field_id", "kind").agg(F.array_sort(F.collect_set(use)).alias("uses"))
+    entry = F.struct(F.col("uses")[0]["schema_id"].alias("since"), "kind", "uses")
     listed = alternatives.groupBy("table_uuid", "field_id").agg(F.array_sort(F.collect_list(entry)).alias("b"))
-    tagged = F.transform("b", lambda x, i: F.struct(i.alias("tag"), x["kind"].alias("kind"), x["names"].alias("names"), x["schema_ids"].alias("schema_ids")))
+    tagged = F.transform("b", lambda x, i: F.struct(
+        i.alias("tag"), x["kind"].alias("kind"), F.array_sort(F.array_distinct(x["uses"]["name"])).alias("names"),
+        F.array_distinct(x["uses"]["schema_id"]).alias("schema_ids"), x["uses"].alias("uses"),
+    ))
     return listed.select("table_uuid", "field_id", tagged.alias("branches"))
 
 
+def branch_changes(fused: DataFrame) -> DataFrame:
+    """(table_uuid, schema_id, field_id, change): which alternatives appear and disappear in a union schema.
+
+    The uses of all branches of a field are put into the order of the schemas. A field that is absent
+    before a use is added there, one absent after it removed from the next schema on; where two uses
+    follow each other, another name is a rename and another branch a retype. Of several fields with one
+    id in one schema the last by name and type counts.
+    """
+    flat = F.flatten(F.transform("branches", lambda b: F.transform(b["uses"], lambda u: F.struct(
+        u["pos"].alias("pos"), u["name"].alias("name"), b["tag"].alias("tag"), u["schema_id"].alias("schema_id"), u["after"].alias("after"),
+    ))))
+    ordered = fused.select("table_uuid", "field_id", F.array_sort(flat).alias("u"))
+    once = ordered.withColumn("u", F.filter("u", lambda x, i: ~F.get("u", i + 1)["pos"].eqNullSafe(x["pos"])))
+
+    def at(use, i):
+        before, next_ = F.get("u", i - 1), F.get("u", i + 1)
+        follows = F.coalesce(before["pos"] + 1 == use["pos"], F.lit(False))
+        change = lambda what, schema: F.struct(schema.alias("schema_id"), F.lit(what).alias("change"))
+        return F.array_compact(F.array(
+            F.when((use["pos"] > 0) & ~follows, change("added", use["schema_id"])),
+            F.when(use["after"].isNotNull() & ~F.coalesce(next_["pos"] == use["pos"] + 1, F.lit(False)), change("removed", use["after"])),
+            F.when(follows & ~before["name"].eqNullSafe(use["name"]), change("renamed", use["schema_id"])),
+            F.when(follows & (before["tag"] != use["tag"]), change("retyped", use["schema_id"])),
+        ))
+
+    each = once.select("table_uuid", "field_id", F.explode(F.flatten(F.transform("u", at))).alias("c"))
+    return each.select("table_uuid", "c.schema_id", "field_id", "c.change")
+
+
 def schema_changes(rows: DataFrame) -> DataFrame:
     """(table_uuid, schema_id, field_id, change): added, removed, renamed and retyped fields.
 
-    ``rows`` as ``schema_rows`` gives them. Each schema is compared with the one with the next lower
+    ``rows`` as ``schema_rows`` gives them; they are fused into one union schema per table, whose
+    branches tell the changes. Each schema is compared with the one with the next lower
     id present for its table; the lowest has no changes. Names are compared exactly; a nested type
     only by struct, list or map. A field renamed and retyped at once gives two rows.
     """
     rows = cut_table(rows)  # needed for the order of the schemas and for their fields
-    present = rows.where("field_id is null").select("table_uuid", "schema_id").distinct()
-    w = W.partitionBy("table_uuid").orderBy("schema_id")
-    steps = present.select("table_uuid", "schema_id", F.lag("schema_id").over(w).alias("before"), F.lead("schema_id").over(w).alias("after"))
-    # A field stands for itself in its schema and for what was before in the next one.
-    roles = F.array(
-        F.struct(F.when(F.col("before").isNotNull(), F.col("schema_id")).alias("schema_id"), F.lit(1).alias("now")),
-        F.struct(F.col("after").alias("schema_id"), F.lit(0).alias("now")),
-    )
-    known = rows.where("field_id is not null").join(steps, ["table_uuid", "schema_id"])
-    sides = known.select("table_uuid", "field_id", "name", "kind", F.explode(roles).alias("r")).select("table_uuid", "r.schema_id", "field_id", "name", "kind", "r.now")
-    side = lambda c, n: F.max(F.when(F.col("now") == n, F.col(c)))
-    pairs = sides.where("schema_id is not null").groupBy("table_uuid", "schema_id", "field_id").agg(
-        F.max("now").alias("is_now"), F.min("now").alias("is_old"), side("name", 1).alias("n1"), side("name", 0).alias("n0"),
-        side("kind", 1).alias("k1"), side("kind", 0).alias("k0"),
-    )
-    both = (F.col("is_now") == 1) & (F.col("is_old") == 0)
-    found = F.array(
-        F.when(F.col("is_old") == 1, F.lit("added")),
-        F.when(F.col("is_now") == 0, F.lit("removed")),
-        F.when(both & ~F.col("n0").eqNullSafe(F.col("n1")), F.lit("renamed")),
-        F.when(both & ~F.col("k0").eqNullSafe(F.col("k1")), F.lit("retyped")),
-    )
-    return pairs.select("table_uuid", "schema_id", "field_id", F.explode(F.array_compact(found)).alias("change"))
+    steps = schema_steps(rows.where("field_id is null").select("table_uuid", "schema_id").distinct())
+    return branch_changes(fuse_schemas(rows.where("field_id is not null"), steps))
 
 
 def lake_schema_changes(metadata: DataFrame) -> DataFrame:
@@ -87,7 +110,7 @@ def convert_scalar(value, source: str, target: str):
     """(converted, True), or (None, False) if ``target`` cannot hold the value without loss."""
     if value is None or source == target:
         return value, True
-    text = value if isinstance(value, str) else json.dumps(value)
+    text = value if isinstance(value, str) else str(value) if isinstance(value, Decimal) else json.dumps(value)
     try:
         if target == "string":
             return text, True
@@ -97,7 +120,11 @@ def convert_scalar(value, source: str, target: str):
             if number == number.to_integral_value() and -(2**bits) <= number < 2**bits:
                 return int(number), True
         elif target in ("float", "double"):
-            return float(Decimal(text)), True
+            number = float(text)
+            if target == "float" and math.isfinite(number):
+                number = float(str(np.float32(number)))  # the shortest text of the 32-bit number
+            if not math.isfinite(number) and source in ("float", "double") or Decimal(repr(number)) == Decimal(text):
+                return number, True
         elif target.startswith("decimal"):
             precision, scale = map(int, target[8:-1].split(","))
             number = Decimal(text)
@@ -130,6 +157,17 @@ def _entry(key: str) -> str:
     return f"[{json.dumps(key, ensure_ascii=False) if unclear else key}]"
 
 
+def dump(value) -> str:
+    """JSON text; decimals, which are numbers that no float holds, in full."""
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except TypeError:
+        pass
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{dump(v)}" for k, v in value.items()) + "}"
+    return "[" + ",".join(map(dump, value)) + "]" if isinstance(value, list) else str(value)
+
+
 def convert(value, source, target, path: str, spill: dict, within: str = ""):
     """``value`` of type ``source`` as type ``target``; what does not fit goes to ``spill``.
 
@@ -248,13 +286,12 @@ def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame,
                 parsed[text] = json.loads(text)
             return parsed[text]
 
-        dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
         for batch in batches:
             out, odd = [], []
             for text, source, target_ in zip(*(batch.column(c).to_pylist() for c in ("payload", "source", "target"))):
                 spill: dict = {}
                 try:
-                    value = json.loads(text) if text is not None else None
+                    value = parse(text) if text is not None else None
                 except ValueError:
                     value = None
                 if not isinstance(value, dict) or source is None or target_ is None:

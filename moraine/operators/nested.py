@@ -5,6 +5,9 @@ of its own, named by its path. Objects inside objects stay in their row under do
 row carries its surrogate key, its parent's key, the array's path in the parent row, and its
 ordinal in the array; values of the parent that children need can be carried along, which saves a
 join. The merged schema lists what any document had at each place.
+
+A value is text with one letter before it that tells its JSON type (``KINDS``), so a string of digits
+never becomes a number, and no number loses a digit.
 """
 
 from __future__ import annotations
@@ -12,12 +15,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core.session import cut_table
+
 ROOT = "$"
+#: Letter before a value, and what it means. ``long`` numbers up to 2^53 are told from larger ones, because
+#: only they fit into a double; an ``exact`` number fits neither 64 bits nor a double.
+KINDS = {"b": "boolean", "l": "long", "L": "large long", "i": "integer of 38 digits", "d": "double", "e": "exact", "s": "string"}
 _FLAT = "doc_key string, relation string, row_key string, parent_key string, array_path string, ordinal int, vals map<string,string>, carried map<string,string>"
 _FLAT_ARROW = pa.schema([
     ("doc_key", pa.string()), ("relation", pa.string()), ("row_key", pa.string()), ("parent_key", pa.string()),
@@ -30,10 +39,34 @@ def _name(prefix: str, key: str) -> str:
     return f"{prefix}.{key}" if prefix else key
 
 
+def exact_number(text: str):
+    """A JSON number with a point or exponent: a float if that is the same number, else a decimal."""
+    number = float(text)
+    return number if Decimal(repr(number)) == Decimal(text) else Decimal(text)
+
+
+def parse(text: str):
+    return json.loads(text, parse_float=exact_number)
+
+
 def _scalar(value) -> str | None:
+    """A value's letter and text."""
     if value is None:
         return None
-    return value if isinstance(value, str) else json.dumps(value)
+    if isinstance(value, str):
+        return "s" + value
+    if isinstance(value, bool):
+        return "btrue" if value else "bfalse"
+    if isinstance(value, int):
+        size = abs(value)
+        letter = "l" if size <= 2**53 else "L" if -(2**63) <= value < 2**63 else "i" if size < 10**38 else "e"
+        return f"{letter}{value}"
+    return f"e{value}" if isinstance(value, Decimal) else f"d{json.dumps(value)}"
+
+
+def plain(c: Column) -> Column:
+    """A value's text without its letter."""
+    return F.substring(c, 2, (1 << 31) - 1)
 
 
 def explode_document(doc_key: str, document, carry: re.Pattern | None = None) -> list[tuple]:
@@ -80,9 +113,9 @@ def flatten(docs: DataFrame, key: str, document: str, carry: str | None = None)
                     if t is None:
                         continue
                     try:
-                        rows += explode_document(k, json.loads(t), pattern)
+                        rows += explode_document(k, parse(t), pattern)
                     except ValueError:
-                        rows.append((k, ROOT, ROOT, None, None, 0, [("$error", t)], None))
+                        rows.append((k, ROOT, ROOT, None, None, 0, [("$error", "s" + t)], None))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*rows), _FLAT_ARROW)], schema=_FLAT_ARROW
@@ -92,37 +125,45 @@ def flatten(docs: DataFrame, key: str, document: str, carry: str | None = None)
 
 
 def merged_schema(flat: DataFrame) -> DataFrame:
-    """(relation, name, kinds, documents): every place of any document, and what was found there.
+    """(relation, name, kinds, cells): every place of any document, which types of value were found
+    there (names of ``KINDS``, in alphabetical order), and how many values; null values tell no type.
 
     Its size follows the number of different places, not that of documents.
     """
-    kind = (
-        F.when(F.col("v").isNull(), "null")
-        .when(F.col("v").isin("true", "false"), "boolean")
-        .when(F.col("v").rlike(r"^-?\d{1,18}$"), "long")
-        .when(F.col("v").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), "double")
-        .otherwise("string")
-    )
-    cells = flat.select("doc_key", "relation", F.explode("vals").alias("name", "v"))
+    names = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    cells = flat.select("relation", F.explode("vals").alias("name", "v"))
     return (
-        cells.groupBy("relation", "name", kind.alias("kind"))
+        cells.groupBy("relation", "name", F.left("v", F.lit(1)).alias("kind"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("relation", "name")
-        .agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.sum("n").alias("cells"))
+        .agg(F.array_sort(F.collect_set(names[F.col("kind")])).alias("kinds"), F.sum("n").alias("cells"))
     )
 
 
+def column_type(kinds: set[str]) -> str:
+    """The narrowest type that holds all values of the kinds without loss; a string where there is none."""
+    if kinds == {"boolean"}:
+        return "boolean"
+    if kinds and kinds <= {"long", "large long"}:
+        return "bigint"
+    if kinds and kinds <= {"long", "large long", "integer of 38 digits"}:
+        return "decimal(38,0)"
+    if kinds and kinds <= {"long", "double"}:
+        return "double"
+    return "string"
+
+
 def relation_table(flat: DataFrame, relation: str, schema: DataFrame | None = None) -> DataFrame:
-    """One relation as a flat, typed table: keys, ordinal, then a column per place.
+    """One relation as a flat, typed table: keys, ordinal, then a column per place of the merged schema.
 
-    A column is long, double or boolean if nothing else was found in it, otherwise string. The
-    column list comes from the merged schema, whose rows for one relation are collected.
+    A column has the narrowest type that holds every value found in it (``column_type``); strings stay
+    strings, whatever they look like, and values of mixed types stay texts. The rows of the merged
+    schema for one relation, its columns, are collected.
     """
     schema = merged_schema(flat) if schema is None else schema
     cols: list[Column] = []
-    for name, kinds in sorted((r["name"], set(r["kinds"]) - {"null"}) for r in schema.where(F.col("relation") == relation).collect()):
-        kind = "bigint" if kinds == {"long"} else "double" if kinds and kinds <= {"long", "double"} else "boolean" if kinds == {"boolean"} else "string"
-        cols.append(F.col("vals")[name].cast(kind).alias(name or "value"))
+    for name, kinds in sorted((r["name"], set(r["kinds"])) for r in schema.where(F.col("relation") == relation).collect()):
+        cols.append(plain(F.col("vals")[name]).cast(column_type(kinds)).alias(name or "value"))
     return flat.where(F.col("relation") == relation).select("doc_key", "row_key", "parent_key", "ordinal", *cols)
 
 
@@ -152,39 +193,51 @@ def schema_fields(schemas: DataFrame) -> DataFrame:
     key and value of every schema, at any depth.
 
     ``kind`` is struct, list or map for nested types, otherwise the primitive type without spaces;
-    the parent at the top is -1. Built on ``flatten``: struct fields are rows of array relations,
-    elements, keys and values are values of the row of the field that encloses them.
+    the parent at the top is -1. Struct fields are rows of the array relations of ``flatten``; elements,
+    keys and values are values of the row of the field that encloses them, at the places that
+    the merged schema of all documents lists for the relation.
     """
     return schema_rows(schemas).where(F.col("field_id").isNotNull())
 
 
+SEPARATOR = "\u0001"
+
+
+def flat_schemas(schemas: DataFrame) -> DataFrame:
+    """Rows of all relations of the schemas, keyed by table and schema id; ids are handed down."""
+    key = F.concat_ws(SEPARATOR, "table_uuid", F.col("schema_id").cast("string"))
+    return flatten(schemas.select(key.alias("k"), "schema_json"), "k", "schema_json", carry=r"(^|-)id$")
+
+
 def schema_rows(schemas: DataFrame) -> DataFrame:
     """``schema_fields`` and, for each schema, one more row without a field id."""
-    sep = "\u0001"
-    docs = schemas.select(F.concat_ws(sep, "table_uuid", F.col("schema_id").cast("string")).alias("k"), "schema_json")
-    flat = flatten(docs, "k", "schema_json", carry=r"(^|-)id$").where(F.col("array_path").isNull() | F.col("array_path").rlike(r"(^|\.)fields$"))
+    fields = F.col("array_path").isNull() | F.col("array_path").rlike(r"(^|\.)fields$")
+    flat = cut_table(flat_schemas(schemas).where(fields).select("doc_key", "relation", "array_path", "vals", "carried"))
     v = F.col("vals")
     pattern = r"^(type(?:\.(?:element|key|value))*)\.(element|key|value)-id$"
+    # Where elements, keys and values are, by relation: a merged schema is as small as the structure is.
+    places = merged_schema(flat).where(F.col("name").rlike(pattern)).groupBy("relation").agg(F.collect_list("name").alias("places"))
 
     def kind_at(place: Column) -> Column:
-        return F.regexp_replace(F.coalesce(v[place], v[F.concat(place, F.lit(".type"))]), r"\s", "")
+        return F.regexp_replace(F.coalesce(plain(v[place]), plain(v[F.concat(place, F.lit(".type"))])), r"\s", "")
 
     def found(field_id: Column, parent: Column, name: Column, kind: Column) -> Column:
         return F.struct(field_id.cast("int").alias("field_id"), F.coalesce(parent.cast("int"), F.lit(-1)).alias("parent_field_id"), name.alias("name"), kind.alias("kind"))
 
     above = F.regexp_replace("array_path", r"\.?fields$", "")
     root = F.col("array_path").isNull()
-    own = found(F.when(~root, v["id"]), F.when(above != "", F.col("carried")[_id_name(above)]), v["name"], kind_at(F.lit("type")))
+    own = found(F.when(~root, plain(v["id"])), F.when(above != "", plain(F.col("carried")[_id_name(above)])), plain(v["name"]), kind_at(F.lit("type")))
 
     def part_of(place: Column) -> Column:
         owner, part = F.regexp_extract(place, pattern, 1), F.regexp_extract(place, pattern, 2)
-        return found(v[place], v[_id_name(owner)], part, kind_at(F.concat_ws(".", owner, part)))
+        return found(plain(v[place]), plain(v[_id_name(owner)]), part, kind_at(F.concat_ws(".", owner, part)))
 
-    places = F.filter(F.map_keys("vals"), lambda place: place.rlike(pattern))
-    each = F.explode(F.concat(F.array(own), F.transform(places, part_of)))
-    parts = F.split("doc_key", sep)
+    here = F.filter(F.coalesce("places", F.array().cast("array<string>")), lambda place: v[place].isNotNull())
+    each = F.explode(F.concat(F.array(own), F.transform(here, part_of)))
+    parts = F.split("doc_key", SEPARATOR)
     return (
-        flat.select(parts[0].alias("table_uuid"), parts[1].cast("int").alias("schema_id"), root.alias("root"), each.alias("f"))
+        flat.join(places, "relation", "left")
+        .select(parts[0].alias("table_uuid"), parts[1].cast("int").alias("schema_id"), root.alias("root"), each.alias("f"))
         .where("root or f.field_id is not null")
         .select("table_uuid", "schema_id", "f.field_id", "f.parent_field_id", "f.name", "f.kind")
     )

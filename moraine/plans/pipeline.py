@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.session import scratch_path
+from ..core.session import cut_table, scratch_path
 from ..operators import changefeed, compaction, drift, hierarchy, incremental, nested, references
 
 
@@ -81,7 +81,8 @@ def p5_union(spark: SparkSession, d: str) -> DataFrame:
     schemas = nested.table_schemas(load(spark, d, "table_metadata"))
     fused = drift.fuse_schemas(nested.schema_fields(schemas))
     return fused.select("table_uuid", "field_id", F.posexplode("branches").alias("tag", "b")).select(
-        "table_uuid", "field_id", "tag", F.col("b.kind").alias("kind"), F.element_at("b.schema_ids", 1).alias("since_schema_id")
+        "table_uuid", "field_id", "tag", F.col("b.kind").alias("kind"), F.element_at("b.schema_ids", 1).alias("since_schema_id"),
+        F.size("b.schema_ids").alias("schemas"), F.array_join("b.names", ",").alias("names"),
     )
 
 
@@ -94,6 +95,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return fields.select("table_uuid", "schema_id", "field_id", "parent_field_id").distinct()
 
 
+def p6_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The merged schema of all schema documents: every place, the types of its values, how many."""
+    flat = nested.flat_schemas(nested.table_schemas(load(spark, d, "table_metadata")))
+    return nested.merged_schema(flat).select("relation", "name", F.array_join("kinds", ",").alias("kinds"), "cells")
+
+
+def p6_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The typed tables of the fields of schemas and of structs in them, with parent key and ordinal."""
+    flat = cut_table(nested.flat_schemas(nested.table_schemas(load(spark, d, "table_metadata"))))
+    schema = cut_table(nested.merged_schema(flat))
+    out = None
+    for relation in ("$/fields", "$/fields/type.fields", "$/fields/type.element.fields"):
+        rows = nested.relation_table(flat, relation, schema)
+        have = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("id", "name", "required", "doc", "type")]
+        keys = F.split("doc_key", nested.SEPARATOR)
+        part = rows.select(keys[0].alias("table_uuid"), keys[1].cast("int").alias("schema_id"), F.lit(relation).alias("relation"), "row_key", "parent_key", "ordinal", *have)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     snapshots, log, entries, listing = load(spark, d, "snapshots", "metadata_log", "manifest_entries", "stored_files")
     return references.orphan_references(references.lake_references(snapshots, log, entries), listing)
@@ -104,5 +125,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_ledger, p2_found, p3_found, p3_groups, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p6_found, p7_found, p7_report,
+    p1_found, p1_ledger, p2_found, p3_found, p3_groups, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p6_found, p6_schema, p6_relations, p7_found, p7_report,
 )}

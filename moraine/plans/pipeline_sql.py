@@ -135,11 +135,30 @@ UNION ALL SELECT table_uuid, schema_id, field_id, 'renamed' FROM pairs WHERE nf
 UNION ALL SELECT table_uuid, schema_id, field_id, 'retyped' FROM pairs WHERE nf = of AND nk <> ok"""
 
 P5_UNION = f"""WITH RECURSIVE {_FIELDS},
-first AS (SELECT table_uuid, field_id, kind, min(schema_id) AS since_schema_id FROM kinds GROUP BY ALL)
-SELECT table_uuid, field_id, CAST(row_number() OVER (PARTITION BY table_uuid, field_id ORDER BY since_schema_id, kind) - 1 AS INT) AS tag, kind, since_schema_id FROM first"""
+first AS (SELECT table_uuid, field_id, kind, min(schema_id) AS since_schema_id, CAST(count(DISTINCT schema_id) AS INT) AS schemas,
+  array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM kinds GROUP BY ALL)
+SELECT table_uuid, field_id, CAST(row_number() OVER (PARTITION BY table_uuid, field_id ORDER BY since_schema_id, kind) - 1 AS INT) AS tag, * EXCLUDE (table_uuid, field_id) FROM first"""
 
 P6 = f"WITH RECURSIVE {_FIELDS} SELECT DISTINCT table_uuid, schema_id, field_id, parent_field_id FROM fields"
 
+_TREE = """docs AS (SELECT table_uuid, unnest(json_extract(schemas_json, '$[*]')) AS s FROM table_metadata),
+schemas AS (SELECT table_uuid, CAST(s ->> '$."schema-id"' AS INT) AS schema_id, max(s::VARCHAR)::JSON AS s FROM docs GROUP BY ALL),
+cells AS (SELECT table_uuid, schema_id, j.atom, j.value, j.type, replace(j.fullkey, '"', '') AS k FROM schemas, json_tree(s) j)"""
+
+P6_SCHEMA = f"""WITH {_TREE},
+named AS (SELECT type, regexp_replace(replace(k, '$.', '$/'), '\\[\\d+\\]\\.?', '/', 'g') AS k FROM cells WHERE type NOT IN ('OBJECT', 'ARRAY')),
+places AS (SELECT regexp_extract(k, '^(.*)/([^/]*)$', 1) AS relation, regexp_extract(k, '^(.*)/([^/]*)$', 2) AS name,
+  CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'long' WHEN 'BIGINT' THEN 'long' END AS kind FROM named)
+SELECT relation, name, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, count(*) AS cells FROM places GROUP BY ALL"""
+
+P6_RELATIONS = f"""WITH {_TREE},
+rows AS (SELECT table_uuid, schema_id, replace(replace(k, '$.', '$/'), '].', ']/') AS row_key, value AS v FROM cells WHERE type = 'OBJECT'),
+placed AS (SELECT *, regexp_replace(row_key, '\\[\\d+\\]', '', 'g') AS relation FROM rows)
+SELECT table_uuid, schema_id, relation, row_key, regexp_replace(row_key, '/[^/]*$', '') AS parent_key, CAST(regexp_extract(row_key, '\\[(\\d+)\\]$', 1) AS INT) AS ordinal,
+  CAST(v ->> '$.id' AS BIGINT) AS id, v ->> '$.name' AS name, CAST(v ->> '$.required' AS BOOLEAN) AS required, v ->> '$.doc' AS doc,
+  CASE WHEN json_type(v, '$.type') = 'VARCHAR' THEN v ->> '$.type' END AS type
+FROM placed WHERE relation IN ('$/fields', '$/fields/type.fields', '$/fields/type.element.fields') AND row_key LIKE '%]'"""
+
 P7 = f"""WITH {_SNAPS},
 refs AS (
   SELECT 'snapshots' AS ref_table, table_uuid, manifest_list AS ref_path, min(timestamp_ms) AS at_ms FROM snapshots WHERE manifest_list IS NOT NULL GROUP BY ALL
@@ -167,6 +186,8 @@ ORACLE_SQL = {
     "p5_found": P5,
     "p5_union": P5_UNION,
     "p6_found": P6,
+    "p6_schema": P6_SCHEMA,
+    "p6_relations": P6_RELATIONS,
     "p7_found": P7,
     "p7_report": P7_REPORT,
 }

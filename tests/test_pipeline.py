@@ -365,6 +365,8 @@ def test_schema_fields_and_changes(spark):
     assert len(got) == 11 + 11 + 7
     changes = {tuple(r)[1:] for r in drift.schema_changes(nested.schema_rows(schemas)).collect()}
     assert changes == {(2, 1, "renamed"), (2, 3, "retyped"), (2, 10, "retyped"), (2, 12, "added"), *((2, i, "removed") for i in (4, 5, 6, 7, 8))}
+    odd = spark.createDataFrame([("t", s, *f) for s, f in [(1, (None, None, None)), (1, (1, "a", "int")), (1, (1, "b", "int")), (1, (2, "x", "int")), (4, (None, None, None)), (6, (None, None, None)), (6, (1, "b", "long")), (6, (2, "y", "long"))]], "table_uuid string, schema_id int, field_id int, name string, kind string")
+    assert {tuple(r)[1:] for r in drift.schema_changes(odd).collect()} == {(4, 1, "removed"), (4, 2, "removed"), (6, 1, "added"), (6, 2, "added")}
     union = {r.field_id: [b.kind for b in r.branches] for r in drift.fuse_schemas(fields).where("table_uuid = 't'").collect()}
     assert union[3] == ["struct", "string"] and union[10] == ["date", "string"] and union[11] == ["decimal(9,2)"]
 
@@ -413,6 +415,8 @@ def test_snapshots_without_schema_take_the_last_one_before(spark):
         ("1.55", "decimal(9,2)", "decimal(9,1)", None), (True, "boolean", "string", "true"), ("x", "string", "boolean", None), ("2020-01-01", "date", "timestamp", "2020-01-01T00:00:00"),
         ("2020-01-01T00:00:00", "timestamp", "date", "2020-01-01"), ("2020-01-01T01:00:00", "timestamp", "date", None), ("2020-01-01T00:00:00+00:00", "timestamptz", "timestamp", "2020-01-01T00:00:00"), (None, "int", "date", None),
         ("9" * 36 + ".12", "string", "decimal(38,2)", "9" * 36 + ".12"),
+        (2**53 + 1, "long", "double", None), (2**53, "long", "double", 2.0**53), ("0.1", "decimal(9,1)", "double", 0.1), ("0.1234567890123456789", "decimal(38,19)", "double", None),
+        (1 / 3, "double", "float", None), (0.5, "double", "float", 0.5), (16777217, "int", "float", None), ("x", "string", "double", None), (1e300, "double", "float", None),
     ],
 )
 def test_conversions_lose_nothing(value, source, target, want):
@@ -466,6 +470,14 @@ def test_flattening_documents(spark):
     assert [(r.parent_key, r.ordinal, r.value) for r in inner.orderBy("ordinal").collect()] == [("$/l[0]", 0, 1), ("$/l[0]", 1, 2)]
     root = nested.relation_table(flat, "$")
     assert "a.b" in root.columns and "a.c\\.d" in root.columns and root.where("doc_key = '2'").first()["$error"] == "nope"
+    values = ['"01234"', "1234567890123456789", '"true"', "true", "12345678901234567890123", "0.1", "0.12345678901234567890123", "1" * 50, "1e999", "3"]
+    typed = nested.flatten(spark.createDataFrame([(i, f'{{"v{i}": {v}, "w": {v}}}') for i, v in enumerate(values)], "id int, doc string"), "id", "doc")
+    one = nested.relation_table(typed, "$")
+    kinds = {f.name: f.dataType.simpleString() for f in one.schema}
+    assert [kinds[f"v{i}"] for i in range(10)] == ["string", "bigint", "string", "boolean", "decimal(38,0)", "double", "string", "string", "string", "bigint"]
+    found = {r.doc_key: r for r in one.collect()}
+    assert [str(found[str(i)][f"v{i}"]) for i in range(10)] == ["01234", values[1], "true", "True", values[4], "0.1", values[6], values[7], "1E+999", "3"]
+    assert kinds["w"] == "string" and found["0"].w == "01234" and found["1"].w == values[1]
     deep = "[" * 900 + "1" + "]" * 900
     assert nested.flatten(spark.createDataFrame([(1, deep)], "id int, doc string"), "id", "doc").count() == 901
 
