@@ -121,9 +121,12 @@ def convert_scalar(value, source: str, target: str):
                 return int(number), True
         elif target in ("float", "double"):
             number = float(text)
-            if target == "float" and math.isfinite(number):
-                number = float(str(np.float32(number)))  # the shortest text of the 32-bit number
-            if not math.isfinite(number) and source in ("float", "double") or Decimal(repr(number)) == Decimal(text):
+            if not math.isfinite(number):
+                return (number, True) if source in ("float", "double") else (None, False)
+            if target == "float":
+                with np.errstate(over="ignore"):
+                    number = float(str(np.float32(number)))  # the shortest text of the 32-bit number
+            if math.isfinite(number) and Decimal(repr(number)) == Decimal(text):
                 return number, True
         elif target.startswith("decimal"):
             precision, scale = map(int, target[8:-1].split(","))

@@ -8,14 +8,17 @@ a work item is
 * ``leased``  - else, inside that of a running lease which has not expired,
 * ``pending`` - else; expired, failed and rolled-back leases give their items back.
 
-``ledger_states`` computes that for all consumers at once on event tables of any size;
-``WorkLedger`` is the durable form that workers use to lease and complete work.
+``ledger_states`` computes that for all consumers at once on event tables of any size. Two durable forms
+lease and complete work: ``WorkLedger`` one interval of one consumer and table, ``BatchLedger`` all pending
+work of all consumers as one job. Both keep a numbered log of events (``EventLog``), and in both
+readers see the output of completed leases only.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +30,8 @@ from ..core.storage import Storage, join
 
 #: Sequence numbers per block of the two-level running sum.
 BLOCK = 4096
-#: Copies of the (small) subscription rows that spread a hot table's sequence numbers.
-SALTS = 8
+#: Events after which a log writes down its state, so that nobody has to read them all again.
+STATE_EVERY = 64
 
 
 def table_changes(entries: DataFrame, snapshots: DataFrame, repeated: bool = False) -> DataFrame:
@@ -107,11 +110,9 @@ def ledger_states(
     """
     leases = lease_states(events)
     subs = events.select("consumer", "table_uuid").distinct()
-    spread = F.pmod(F.xxhash64("sequence"), F.lit(SALTS))
     todo = (
         points.select("table_uuid", "sequence")
-        .withColumn("salt", spread)
-        .join(subs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["table_uuid", "salt"])
+        .join(subs, "table_uuid")  # a union and a shuffle follow, so adaptive execution may split a hot table
         .select("consumer", "table_uuid", F.col("sequence").alias("pos"), F.lit(0).alias("done"), F.lit(0).alias("held"), F.lit(1).alias("is_item"))
     )
     closed = leases.where((F.col("state") == "succeeded") & F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("hi") > F.col("lo")))
@@ -162,12 +163,14 @@ def ledger_states(
 def unprocessed_changes(entries: DataFrame, snapshots: DataFrame, events: DataFrame) -> DataFrame:
     """(consumer, table_uuid, file_path, status) that no successful run has processed, each once.
 
-    Repeated entries are dropped at the end only: both joins then are followed by a shuffle, so
+    These are the changes of the ledger's items that are pending or leased, its clock standing at the
+    newest event: a live lease is no success yet. Repeated entries are dropped at the end only: both joins then are followed by a shuffle, so
     adaptive execution may split a snapshot that holds a large part of all entries.
     """
     changes = table_changes(entries, snapshots, repeated=True)
     points = changes.select("table_uuid", "sequence").distinct()
-    open_points = ledger_states(points, events).where(F.col("state") != "done").drop("state")
+    now = events.agg(F.max("logged_ms")).first()[0]  # one number
+    open_points = ledger_states(points, events, now or 0).where(F.col("state") != "done").drop("state")
     return (
         changes.join(open_points, ["table_uuid", "sequence"])
         .select("consumer", "table_uuid", "file_path", "status")
@@ -175,6 +178,36 @@ def unprocessed_changes(entries: DataFrame, snapshots: DataFrame, events: DataFr
     )
 
 
+class EventLog:
+    """A numbered log in a shared folder: one object per event, created exclusively.
+
+    The number is the order of events, the creation the lock. Every ``STATE_EVERY`` events the state,
+    folded from all events so far by ``fold``, is written beside them; a reader takes the newest
+    state and the events after it. States say the same as the events, so it does not matter who
+    writes one, or whether it was written twice.
+    """
+
+    def __init__(self, storage: Storage, folder: str, empty: dict, fold):
+        self.storage, self.folder, self.empty, self.fold = storage, folder, empty, fold
+
+    def read(self) -> tuple[int, dict]:
+        """(number of events, state)."""
+        names = {n for n, is_dir in self.storage.listing(self.folder) if not is_dir and n.endswith(".json")}
+        states = sorted(n for n in names if n.startswith("state-"))
+        count, state = json.loads(self.storage.read(join(self.folder, states[-1]))) if states else (0, json.loads(json.dumps(self.empty)))
+        while f"{count:012d}.json" in names:
+            state = self.fold(state, json.loads(self.storage.read(join(self.folder, f"{count:012d}.json"))))
+            count += 1
+        return count, state
+
+    def append(self, number: int, event: dict) -> None:
+        if not self.storage.create(join(self.folder, f"{number:012d}.json"), json.dumps(event, sort_keys=True).encode()):
+            raise CommitConflict("another worker wrote to the ledger first", event=number)
+        if (number + 1) % STATE_EVERY == 0:
+            count, state = self.read()
+            self.storage.create(join(self.folder, f"state-{count:012d}.json"), json.dumps([count, state]).encode())
+
+
 @dataclass(frozen=True)
 class Lease:
     consumer: str
@@ -185,13 +218,34 @@ class Lease:
     expires_ms: int
 
 
+def _fold_work(state: dict, event: dict) -> dict:
+    """The state of one consumer and table: the newest lease, intervals done, intervals to be retried."""
+    span = [event["lo"], event["hi"]]
+    if event["state"] == "leased":
+        state["lease"] = {k: event[k] for k in ("token", "lo", "hi", "expires_ms")} | {"open": True}
+        return state
+    state["lease"]["open"] = False
+    if event["state"] == "done":
+        state["done"].append(span)
+        state["outputs"].append(event["output"])
+        spans: list[list[int]] = []
+        for lo, hi in sorted(state["done"]):
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        state["done"] = spans
+    return state
+
+
 class WorkLedger:
-    """Durable ledger in a folder shared by all workers.
+    """Durable ledger of intervals in a folder shared by all workers.
 
-    One numbered object per event, created exclusively: the number is the order of events, the
-    creation the lock. A lease gets the next token of its (consumer, table); a writer whose token
-    is not the newest, or whose lease has expired, is rejected. Work goes to ``output_path``,
-    which depends only on the interval, so a retry overwrites what a crashed attempt left.
+    A lease gets the next token of its (consumer, table); a writer whose token is not the newest, or
+    whose lease has expired, is rejected. An interval that was leased and not completed is leased again
+    with the same bounds. Each attempt writes to ``output_path``, a folder named by interval and
+    token, so neither a crashed nor a stale attempt can touch what another wrote; the event that completes
+    a lease names the folder, and ``outputs`` lists these only.
     """
 
     def __init__(self, root: str, spark: SparkSession | None = None, lease_ms: int = 6 * 3600 * 1000, clock=None):
@@ -200,60 +254,55 @@ class WorkLedger:
         self.spark = spark
         self._clock = clock or (lambda: int(time.time() * 1000))
 
-    def _folder(self, consumer: str, table_uuid: str) -> str:
-        return join(self.root, "events", consumer, table_uuid)
-
-    def events(self, consumer: str, table_uuid: str) -> list[dict]:
-        folder = self._folder(consumer, table_uuid)
-        names = sorted(n for n, is_dir in self.storage.listing(folder) if not is_dir and n.endswith(".json"))
-        return [json.loads(self.storage.read(join(folder, n))) for n in names]
-
-    def _append(self, consumer: str, table_uuid: str, number: int, event: dict) -> None:
-        name = join(self._folder(consumer, table_uuid), f"{number:012d}.json")
-        body = json.dumps({"consumer": consumer, "table_uuid": table_uuid, **event}, sort_keys=True).encode()
-        if not self.storage.create(name, body):
-            raise CommitConflict("another worker wrote to the ledger first", event=number)
+    def _log(self, consumer: str, table_uuid: str) -> EventLog:
+        return EventLog(self.storage, join(self.root, "events", consumer, table_uuid), {"lease": None, "done": [], "outputs": []}, _fold_work)
 
     def watermark(self, consumer: str, table_uuid: str) -> int:
         """Everything up to here is done, without a gap."""
-        spans = sorted((e["lo"], e["hi"]) for e in self.events(consumer, table_uuid) if e["state"] == "done")
-        end = 0
-        for lo, hi in spans:
-            if lo > end:
-                break
-            end = max(end, hi)
-        return end
+        done = self._log(consumer, table_uuid).read()[1]["done"]
+        return done[0][1] if done and done[0][0] <= 0 else 0
+
+    def outputs(self, consumer: str, table_uuid: str) -> list[str]:
+        """The folders that completed leases wrote, in their order."""
+        return self._log(consumer, table_uuid).read()[1]["outputs"]
 
     def lease(self, consumer: str, table_uuid: str, upto: int, limit: int | None = None) -> Lease | None:
-        """Take the oldest interval not done; None if all is done or somebody holds a live lease."""
-        history, now = self.events(consumer, table_uuid), self._clock()
-        newest = {e["token"]: e for e in history}
-        if any(e["state"] == "leased" and e["expires_ms"] > now for e in newest.values()):
+        """Take the oldest interval not done; None if all is done or somebody holds a live lease.
+
+        An interval that an earlier lease did not complete keeps its bounds, whatever ``upto`` and
+        ``limit`` are.
+        """
+        log, now = self._log(consumer, table_uuid), self._clock()
+        count, state = log.read()
+        last = state["lease"]
+        if last and last["open"] and last["expires_ms"] > now:
             return None
-        lo = self.watermark(consumer, table_uuid)
-        if lo >= upto:
+        done = state["done"]
+        lo = done[0][1] if done and done[0][0] <= 0 else 0
+        if last and last["lo"] == lo and not any(a <= last["lo"] and last["hi"] <= b for a, b in done):
+            hi = last["hi"]
+        elif lo >= upto:
             return None
-        later = [e["lo"] for e in newest.values() if e["state"] == "done" and e["lo"] > lo]
-        hi = min([upto, *later, *([lo + limit] if limit else [])])
-        token = max(newest, default=0) + 1
-        expires = now + self.lease_ms
-        self._append(consumer, table_uuid, len(history), {"token": token, "state": "leased", "lo": lo, "hi": hi, "expires_ms": expires})
+        else:
+            later = [a for a, _ in done if a > lo]
+            hi = min([upto, *later, *([lo + limit] if limit else [])])
+        token, expires = (last["token"] if last else 0) + 1, now + self.lease_ms
+        log.append(count, {"token": token, "state": "leased", "lo": lo, "hi": hi, "expires_ms": expires})
         return Lease(consumer, table_uuid, token, lo, hi, expires)
 
-    def _finish(self, lease: Lease, state: str) -> None:
-        history = self.events(lease.consumer, lease.table_uuid)
-        newest = max((e["token"] for e in history), default=0)
-        if lease.token != newest:
-            raise CommitConflict("stale fencing token", token=lease.token, newest=newest)
-        last = [e for e in history if e["token"] == lease.token][-1]
-        if last["state"] == state == "done":
-            return  # a retried completion
-        if last["state"] != "leased":
-            raise InvalidData("lease is closed", state=last["state"])
-        if state == "done" and self._clock() >= lease.expires_ms:
+    def _finish(self, lease: Lease, result: str) -> None:
+        log = self._log(lease.consumer, lease.table_uuid)
+        count, state = log.read()
+        last = state["lease"]
+        if lease.token != last["token"]:
+            raise CommitConflict("stale fencing token", token=lease.token, newest=last["token"])
+        if not last["open"]:
+            if result == "done" and self.output_path(lease) in state["outputs"][-1:]:
+                return  # a retried completion
+            raise InvalidData("lease is closed", token=lease.token)
+        if result == "done" and self._clock() >= lease.expires_ms:
             raise CommitConflict("lease expired", token=lease.token)
-        event = {"token": lease.token, "state": state, "lo": lease.lo, "hi": lease.hi, "expires_ms": lease.expires_ms}
-        self._append(lease.consumer, lease.table_uuid, len(history), event)
+        log.append(count, {"token": lease.token, "state": result, "lo": lease.lo, "hi": lease.hi, "output": self.output_path(lease)})
 
     def complete(self, lease: Lease) -> None:
         self._finish(lease, "done")
@@ -262,7 +311,7 @@ class WorkLedger:
         self._finish(lease, "released")
 
     def output_path(self, lease: Lease) -> str:
-        return join(self.root, "output", lease.consumer, lease.table_uuid, f"{lease.lo:020d}-{lease.hi:020d}")
+        return join(self.root, "output", lease.consumer, lease.table_uuid, f"{lease.lo:020d}-{lease.hi:020d}", f"attempt-{lease.token:08d}")
 
     def run(self, consumer: str, changes: DataFrame, table_uuid: str, upto: int, process) -> int | None:
         """Lease, process and complete one interval; returns its end, None if there was nothing.
@@ -281,3 +330,119 @@ class WorkLedger:
             raise
         self.complete(lease)
         return lease.hi
+
+
+# ---------------------------------------------------------------- all consumers at once
+
+
+@dataclass(frozen=True)
+class BatchLease:
+    """``items`` is the folder with the leased intervals, ``output`` the one this attempt writes to."""
+
+    token: int
+    items: str
+    output: str
+    expires_ms: int
+
+
+def _fold_batch(state: dict, event: dict) -> dict:
+    if event["state"] == "leased":
+        state["lease"] = {k: event[k] for k in ("token", "items", "expires_ms")} | {"open": True}
+        return state
+    state["lease"]["open"] = False
+    if event["state"] == "done":
+        state["done"].append(event["items"])
+        state["outputs"].append(event["output"])
+    return state
+
+
+class BatchLedger:
+    """Durable ledger that leases the pending work of all consumers and tables together.
+
+    A lease is a folder of intervals (consumer, table_uuid, lo, hi), one for each gap in what is
+    done, cut at blocks of ``BLOCK`` sequence numbers; computing, processing and completing it is one job
+    each, whatever the number of consumers and tables. Tokens, expiry, retries with the same intervals
+    and attempt folders are those of ``WorkLedger``. ``history`` are the events of runs before the ledger.
+    """
+
+    def __init__(self, root: str, spark: SparkSession, history: DataFrame, lease_ms: int = 6 * 3600 * 1000, clock=None):
+        self.root, self.spark, self.history, self.lease_ms = root, spark, history, lease_ms
+        self.storage = Storage(spark)
+        self._clock = clock or (lambda: int(time.time() * 1000))
+        self.log = EventLog(self.storage, join(root, "events"), {"lease": None, "done": [], "outputs": []}, _fold_batch)
+
+    def events(self) -> DataFrame:
+        """The history and the intervals of completed leases, as ``ledger_states`` takes them."""
+        names = ["run_id", "consumer", "table_uuid", "from_sequence", "to_sequence", "run_status", "logged_ms"]
+        old = self.history.select(*names)
+        done = self.log.read()[1]["done"]
+        if not done:
+            return old
+        # Numbers of their own for the intervals: those of the history are not negative.
+        own = F.struct("consumer", "table_uuid", "lo", "hi")
+        return old.unionByName(self._items(done).select(
+            (-1 - F.xxhash64(own).bitwiseAND(F.lit((1 << 62) - 1))).alias("run_id"), "consumer", "table_uuid", F.col("lo").alias("from_sequence"),
+            F.col("hi").alias("to_sequence"), F.lit("succeeded").alias("run_status"), F.lit(0).cast("bigint").alias("logged_ms"),
+        ))
+
+    def _items(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema("consumer string, table_uuid string, block bigint, lo bigint, hi bigint").parquet(*folders)
+
+    def lease(self, changes: DataFrame) -> BatchLease | None:
+        """Take all pending work; None if there is none or somebody holds a live lease.
+
+        ``changes`` has (table_uuid, sequence, ...). Work that an earlier lease did not complete is
+        leased again as it was, new work waits for the next lease.
+        """
+        count, state = self.log.read()
+        last, now = state["lease"], self._clock()
+        if last and last["open"] and last["expires_ms"] > now:
+            return None
+        token = (last["token"] if last else 0) + 1
+        if last and last["items"] not in state["done"]:
+            items = last["items"]
+        else:
+            items = join(self.root, "leases", f"{token:08d}-{uuid.uuid4().hex}")
+            points = changes.select("table_uuid", "sequence").distinct()
+            states = ledger_states(points, self.events())
+            spot = W.partitionBy("consumer", "table_uuid", "block").orderBy("sequence")
+            runs = states.withColumn("block", F.floor(F.col("sequence") / BLOCK)).withColumn("turn", (F.col("state") != F.lag("state", 1, "").over(spot)).cast("int"))
+            runs = runs.withColumn("run", F.sum("turn").over(spot)).where("state <> 'done'")
+            gaps = runs.groupBy("consumer", "table_uuid", "block", "run").agg((F.min("sequence") - 1).alias("lo"), F.max("sequence").alias("hi"))
+            gaps.select("consumer", "table_uuid", "block", "lo", "hi").write.parquet(items)
+            if self._items([items]).isEmpty():
+                return None
+        lease = BatchLease(token, items, join(self.root, "output", f"attempt-{token:08d}"), now + self.lease_ms)
+        self.log.append(count, {"token": token, "state": "leased", "items": items, "expires_ms": lease.expires_ms})
+        return lease
+
+    def work(self, lease: BatchLease, changes: DataFrame) -> DataFrame:
+        """The leased changes: ``changes`` with a ``consumer``, each change once per consumer."""
+        return (
+            changes.withColumn("block", F.floor(F.col("sequence") / BLOCK))
+            .join(self._items([lease.items]), ["table_uuid", "block"])
+            .where("sequence > lo and sequence <= hi")
+            .drop("block", "lo", "hi")
+        )
+
+    def _finish(self, lease: BatchLease, result: str) -> None:
+        count, state = self.log.read()
+        last = state["lease"]
+        if lease.token != last["token"]:
+            raise CommitConflict("stale fencing token", token=lease.token, newest=last["token"])
+        if not last["open"]:
+            if result == "done" and lease.output in state["outputs"][-1:]:
+                return  # a retried completion
+            raise InvalidData("lease is closed", token=lease.token)
+        if result == "done" and self._clock() >= lease.expires_ms:
+            raise CommitConflict("lease expired", token=lease.token)
+        self.log.append(count, {"token": lease.token, "state": result, "items": lease.items, "output": lease.output})
+
+    def complete(self, lease: BatchLease) -> None:
+        self._finish(lease, "done")
+
+    def release(self, lease: BatchLease) -> None:
+        self._finish(lease, "released")
+
+    def outputs(self) -> list[str]:
+        return self.log.read()[1]["outputs"]

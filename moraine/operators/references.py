@@ -33,8 +33,14 @@ def object_index(listing: DataFrame) -> DataFrame:
     )
 
 
-#: Parents that one range holds at most, about.
-RANGE_PARENTS = 50_000
+#: Rows of a range, parents and references together: few, while there are not very many ranges ...
+SMALL_RANGE, MANY_RANGES = 1 << 15, 20_000
+#: ... and at most so many, about, in any case.
+LARGE_RANGE = 1_000_000
+
+
+def range_number(rows: int, at_least: int) -> int:
+    return max(at_least, min(-(-rows // SMALL_RANGE), MANY_RANGES), -(-rows // LARGE_RANGE))
 
 
 def _range_of(key: Column, ranges: int) -> Column:
@@ -43,18 +49,18 @@ def _range_of(key: Column, ranges: int) -> Column:
     return F.floor((key.cast("double") + F.lit(float(2**63))) / F.lit(float(width))).cast("int")
 
 
-def probe_references(refs: DataFrame, objects: DataFrame, parents: int) -> DataFrame:
+def probe_references(refs: DataFrame, objects: DataFrame, rows: int) -> DataFrame:
     """Give every reference its ``state``: missing, deleted, late or found.
 
     ``refs`` has ref_table, table_uuid, ref_path, at_ms and object; ``objects`` the columns of
-    ``object_index``; ``parents`` is an upper bound of its rows and sets the number of ranges. Both
-    sides are cut into the same ranges of a 64-bit key. A task first reads the parents of its range,
+    ``object_index``; ``rows`` is an upper bound of both together and sets the number of ranges. Both
+    sides are cut into the same ranges of a 64-bit key, one range to a task. A task first reads the parents of its range,
     which are unique and therefore bounded, into sorted arrays; then batches of references stream
     past and are looked up by binary search, so any number of references may share a key. Hits are
     confirmed on the object's name: equal hashes of different names do no harm. A null time is
     never late.
     """
-    ranges = max(parallelism(refs.sparkSession), -(-parents // RANGE_PARENTS))
+    ranges = range_number(rows, parallelism(refs.sparkSession))
     key = F.xxhash64("object")
     none = lambda kind: F.lit(None).cast(kind)
     have = objects.select(
@@ -65,7 +71,7 @@ def probe_references(refs: DataFrame, objects: DataFrame, parents: int) -> DataF
         F.lit(1).alias("tag"), key.alias("k"), "object", none("bigint").alias("created_ms"), none("bigint").alias("deleted_ms"),
         "ref_table", "table_uuid", "ref_path", F.col("at_ms").cast("bigint").alias("at_ms"),
     )
-    both = have.unionByName(want).repartition(ranges, _range_of(F.col("k"), ranges)).sortWithinPartitions("tag", "k")
+    both = have.unionByName(want).repartitionById(ranges, _range_of(F.col("k"), ranges)).sortWithinPartitions("tag", "k")
     schema = "ref_table string, table_uuid string, ref_path string, at_ms bigint, state string"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +157,13 @@ def lake_references(snapshots: DataFrame, metadata_log: DataFrame, entries: Data
     )
 
 
-def orphan_references(refs: DataFrame, listing: DataFrame) -> DataFrame:
+def orphan_references(refs: DataFrame, listing: DataFrame, most: int) -> DataFrame:
     """(ref_table, table_uuid, ref_path, period, state) of references that are not found.
 
+    ``most`` is an upper bound of the references, which sets how finely the work is cut.
     ``period`` is the UTC month of the reference's time as YYYY-MM, null when there is no time.
     """
-    probed = probe_references(refs, object_index(listing), listing.count()).where("state <> 'found'")
+    probed = probe_references(refs, object_index(listing), listing.count() + most).where("state <> 'found'")
     period = F.date_format(F.timestamp_millis("at_ms"), "yyyy-MM")
     return probed.select("ref_table", "table_uuid", "ref_path", period.alias("period"), "state")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core.errors import CommitConflict
 from ..core.session import cut_table, scratch_path
 from ..operators import changefeed, compaction, drift, hierarchy, incremental, nested, references
 
@@ -28,12 +29,58 @@ def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
     return states.groupBy("consumer", "state").agg(F.count(F.lit(1)).alias("items"))
 
 
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    """All unprocessed changes worked off through the durable ledger, with failures on the way.
+
+    The first attempt writes part of its output and dies, the second one finishes its output after its
+    lease has expired, the third completes. Readers see what completed leases wrote: each change once.
+    """
+    entries, snapshots, runs = load(spark, d, "manifest_entries", "snapshots", "consumer_runs")
+    changes = cut_table(incremental.table_changes(entries, snapshots))
+    now = [1_000]
+    ledger = incremental.BatchLedger(scratch_path(spark, "ledger"), spark, runs, lease_ms=100, clock=lambda: now[0])
+    columns = ("consumer", "table_uuid", "file_path", "status")
+    dead = ledger.lease(changes)
+    if dead is None:
+        return spark.createDataFrame([], "consumer string, table_uuid string, file_path string, status int")
+    ledger.work(dead, changes).where("status = 2").select(*columns).write.parquet(dead.output)
+    now[0] += 200
+    late = ledger.lease(changes)
+    ledger.work(late, changes).select(*columns).write.parquet(late.output)
+    now[0] += 200
+    for lease in (dead, late):
+        try:
+            ledger.complete(lease)
+            raise AssertionError("a stale lease was completed")
+        except CommitConflict:
+            pass
+    last = ledger.lease(changes)
+    ledger.work(last, changes).select(*columns).write.parquet(last.output)
+    ledger.complete(last)
+    if ledger.lease(changes) is not None:
+        raise AssertionError("work is left after all was done")
+    return spark.read.parquet(*ledger.outputs()).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     entries, snapshots, rows = load(spark, d, "manifest_entries", "snapshots", "delta_rows")
     table, files = changefeed.apply_feed(spark, entries, snapshots, rows, scratch_path(spark, "feed"))
     return table.read().select("file_id", "row_pos").join(files.select("file_id", "file_path"), "file_id").select("file_path", "row_pos")
 
 
+def p2_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows from two feeds: what arrived in the later half of the time comes first."""
+    entries, snapshots, rows = load(spark, d, "manifest_entries", "snapshots", "delta_rows")
+    at = F.unix_micros("arrived_at")
+    edge = rows.agg(F.min(at), F.max(at)).first()  # two numbers
+    late = at > F.lit(((edge[0] or 0) + (edge[1] or 0)) // 2)
+    root = scratch_path(spark, "feeds")
+    for part in (rows.where(late), rows.where(~F.coalesce(late, F.lit(False)))):
+        table, _ = changefeed.apply_feed(spark, entries, snapshots, part, root)
+    files = changefeed.feed_files(entries, snapshots, rows)  # those of both feeds
+    return table.read().select("file_id", "row_pos").join(files.select("file_id", "file_path"), "file_id").select("file_path", "row_pos")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     files = compaction.live_files(load(spark, d, "manifest_entries"))
     return compaction.plan_compaction(files).select("table_uuid", "file_path")
@@ -117,7 +164,8 @@ def p6_relations(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     snapshots, log, entries, listing = load(spark, d, "snapshots", "metadata_log", "manifest_entries", "stored_files")
-    return references.orphan_references(references.lake_references(snapshots, log, entries), listing)
+    most = snapshots.count() + log.count() + entries.count()  # by the files' footers
+    return references.orphan_references(references.lake_references(snapshots, log, entries), listing, most)
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
@@ -125,5 +173,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_ledger, p2_found, p3_found, p3_groups, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p6_found, p6_schema, p6_relations, p7_found, p7_report,
+    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p6_found, p6_schema, p6_relations, p7_found, p7_report,
 )}

@@ -178,7 +178,9 @@ P7_REPORT = f"SELECT ref_table, table_uuid, period, state, count(*) AS orphans F
 ORACLE_SQL = {
     "p1_found": P1,
     "p1_ledger": P1_LEDGER,
+    "p1_runs": P1,
     "p2_found": P2,
+    "p2_feeds": P2,
     "p3_found": P3,
     "p4_found": P4,
     "p4_descendants": P4_DESCENDANTS,

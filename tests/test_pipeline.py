@@ -90,28 +90,77 @@ def test_work_ledger_survives_failures(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         ledger.run("c", rows, "t", 4, crash)
-    assert ledger.run("c", rows, "t", 4, work) == 4 and done[-1][1] == [1, 2, 3, 4]
-    a = ledger.lease("c", "t", 10)
-    assert (a.lo, a.hi, a.token) == (4, 10, 3) and ledger.lease("c", "t", 10) is None
+    assert ledger.run("c", rows, "t", 9, work) == 4 and done[-1][1] == [1, 2, 3, 4]  # the bounds of the attempt that failed
+    a = ledger.lease("c", "t", 8)
+    assert (a.lo, a.hi, a.token) == (4, 8, 3) and ledger.lease("c", "t", 10) is None
     now[0] += 200  # the holder of a is thought dead
-    b = ledger.lease("c", "t", 8)
-    assert ledger.output_path(b) != ledger.output_path(a)
+    b = ledger.lease("c", "t", 10)
+    assert (b.lo, b.hi) == (4, 8) and ledger.output_path(b) != ledger.output_path(a)
     with pytest.raises(CommitConflict):
         ledger.complete(a)
     ledger.complete(b)
     ledger.complete(b)
+    with pytest.raises(CommitConflict):
+        ledger.complete(a)
     assert ledger.watermark("c", "t") == 8
     c = ledger.lease("c", "t", 10)
     now[0] += 200
     with pytest.raises(CommitConflict):
         ledger.complete(c)  # too late, though nobody took over
+    ledger.release(c)
     with pytest.raises(InvalidData):
         ledger.release(c)
-        ledger.release(c)
     assert ledger.run("c", rows, "t", 10, work) == 10 and done[-1][1] == [9, 10] and ledger.run("c", rows, "t", 10, work) is None
     assert ledger.run("other", rows, "t", 10, work) == 10 and done[-1][1] == list(range(1, 11))
 
 
+def test_retries_show_each_record_once(spark, tmp_path, monkeypatch):
+    """A crash after writing, then a larger range, then a stale writer: readers see each record once."""
+    monkeypatch.setattr(incremental, "STATE_EVERY", 2)
+    now = [1000]
+    ledger = incremental.WorkLedger(str(tmp_path / "ledger"), spark, lease_ms=100, clock=lambda: now[0])
+    rows = spark.createDataFrame([("t", s) for s in range(1, 13)], "table_uuid string, sequence long")
+    part = lambda x: rows.where(f"sequence > {x.lo} and sequence <= {x.hi}")
+    a = ledger.lease("c", "t", 5)
+    part(a).coalesce(1).write.parquet(ledger.output_path(a))
+    now[0] += 200
+    b = ledger.lease("c", "t", 8)
+    part(b).coalesce(1).write.parquet(ledger.output_path(b))
+    ledger.complete(b)
+    rows.coalesce(1).write.mode("overwrite").parquet(ledger.output_path(a))  # the stale worker goes on writing
+    for upto in (8, 10, 12):
+        x = ledger.lease("c", "t", upto)
+        part(x).coalesce(1).write.parquet(ledger.output_path(x))
+        ledger.complete(x)
+    seen = sorted(r.sequence for r in spark.read.parquet(*ledger.outputs("c", "t")).collect())
+    assert seen == list(range(1, 13)) and ledger.watermark("c", "t") == 12 and ledger.lease("c", "t", 12) is None
+    names = [n for n, _ in ledger.storage.listing(ledger._log("c", "t").folder)]
+    assert sum(n.startswith("state-") for n in names) == 4
+
+
+def test_batch_ledger_does_all_consumers(spark, tmp_path):
+    now = [1000]
+    runs = spark.createDataFrame([(1, "c", "t", 0, 2, "succeeded", 10), (2, "c", "t", 4, 5, "succeeded", 10), (3, "d", "u", 0, 1, "failed", 1), (4, "d", "t", None, None, "running", 1)], RUN)
+    rows = spark.createDataFrame([(t, s, f"{t}{s}") for t in "tu" for s in (1, 2, 3, 4, 5, 6, 5000, 9000)], "table_uuid string, sequence long, file_path string")
+    ledger = incremental.BatchLedger(str(tmp_path / "ledger"), spark, runs, lease_ms=100, clock=lambda: now[0])
+    first = ledger.lease(rows.where("sequence < 5000"))
+    assert ledger.lease(rows) is None
+    now[0] += 200
+    again = ledger.lease(rows)
+    assert again.items == first.items and again.output != first.output
+    with pytest.raises(CommitConflict):
+        ledger.complete(first)
+    got = tuples(ledger.work(again, rows).select("consumer", "file_path"))
+    assert got == sorted([("c", f"t{s}") for s in (3, 4, 6)] + [("d", f"{t}{s}") for t in "tu" for s in range(1, 7)])
+    ledger.work(again, rows).write.parquet(again.output)
+    ledger.complete(again)
+    last = ledger.lease(rows)
+    assert tuples(ledger.work(last, rows).select("consumer", "sequence")) == sorted([("c", 5000), ("c", 9000)] + [("d", 5000), ("d", 9000)] * 2)
+    ledger.work(last, rows).write.parquet(last.output)
+    ledger.complete(last)
+    assert ledger.lease(rows) is None and spark.read.parquet(*ledger.outputs()).count() == 15 + 6
+
+
 # ---------------------------------------------------------------- 2: change feed
 
 FEED = "table_uuid string, file_path string, row_pos long, row_id long, row_key long, row_value long, del_path string, del_offset long, arrived_at timestamp, content int"
@@ -166,22 +215,41 @@ def test_deletes_need_no_position_of_their_own(spark):
 
 
 def test_only_touched_buckets_are_written_again(spark, tmp_path):
-    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("v"))
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("sequence"), F.lit("a").alias("v"), F.lit(False).alias("deleted"))
     table = changefeed.BucketedTable(spark, str(tmp_path / "t"), ["k"])
-    table.create(rows.unionByName(rows), 16)
+    table.create(rows.drop("deleted").schema, 16)
+    assert table.apply(rows.unionByName(rows)) == 1 and table.read().count() == 1000
     before = table.manifest()["files"]
-    assert table.read().count() == 1000
-    version = table.apply_victims(spark.createDataFrame([(7,), (7,), (-1,)], "k long"))
+    assert len(before) == 16 and all(len(fs) == 1 for fs in before.values())
+    changes = spark.createDataFrame([(7, 2, None, True, 0), (7, 2, None, True, 0), (-1, 1, None, True, 0), (8, 5, "b", False, 0), (8, 4, "c", False, 0), (9, 0, "late", False, 0)], "k long, sequence long, v string, deleted boolean, clash int")
+    version = table.apply(changes)
     after = table.manifest(version)["files"]
-    changed = {b for b in before if before[b] != after.get(b)}
-    assert table.read().count() == 999 and table.read(0).count() == 1000 and 1 <= len(changed) <= 2
-    assert table.apply_victims(spark.createDataFrame([], "k long")) == 2 and table.read().count() == 999
+    assert 1 <= len({b for b in before if before[b] != after.get(b)}) <= 4
+    assert {r.k: r.v for r in table.read().where("k in (-1, 7, 8, 9)").collect()} == {8: "b", 9: "a"} and table.read(1).count() == 1000
+    assert table.apply(changes.limit(0)) == 3 and table.read().count() == 999
     with pytest.raises(CommitConflict):
-        table._commit(2, {})
+        table._commit(3, {})
+    with pytest.raises(InvalidData):
+        changefeed.BucketedTable(spark, str(tmp_path / "u"), ["x"]).create(rows.schema, 4)
     table.expire()
     assert table.read().count() == 999
 
 
+def test_feeds_in_any_order_equal_a_replay(spark, tmp_path):
+    rng = random.Random(8)
+    changes = [(rng.choice([None, *range(12)]), rng.choice("ab"), s, rng.randrange(100), rng.random() < 0.3) for s in range(200)]
+    want = {}
+    for k, part, s, v, gone in changes:
+        want[k, part] = None if gone else v
+    rng.shuffle(changes)
+    shape = "k long, part string, sequence long, v long, deleted boolean"
+    table = changefeed.BucketedTable(spark, str(tmp_path / "t"), ["k", "part"])
+    table.create(spark.createDataFrame([], "k long, part string, sequence long, v long").schema, 4)
+    for lo in range(0, 200, 70):
+        table.apply(spark.createDataFrame(changes[lo : lo + 80], shape))  # some come twice
+    assert {(r.k, r.part): r.v for r in table.read().collect()} == {k: v for k, v in want.items() if v is not None}
+
+
 # ---------------------------------------------------------------- 3: compaction
 
 
@@ -520,10 +588,10 @@ def test_orphans_against_brute_force(spark):
             want.add((table, t, p, None if at is None else "1970-01", state))
     frames = spark.createDataFrame(snaps, SNAP), spark.createDataFrame(log, "table_uuid string, timestamp_ms long, metadata_file string"), spark.createDataFrame(entries, ENTRY)
     stored = spark.createDataFrame(listing, "file_path string, file_size_in_bytes long, created_ms long, deleted_ms long, listed_ms long")
-    found = references.orphan_references(references.lake_references(*frames), stored)
+    found = references.orphan_references(references.lake_references(*frames), stored, 500)
     assert set(tuples(found)) == want and found.count() == len(want)
     assert references.orphan_report(found).agg(F.sum("orphans")).first()[0] == len(want)
-    none = references.orphan_references(references.lake_references(*frames), stored.limit(0))
+    none = references.orphan_references(references.lake_references(*frames), stored.limit(0), 500)
     assert {r.state for r in none.collect()} == {"missing"}
 
 
