@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text: suffix arrays over shards of the corpus.
 
-Each shard of documents becomes one sequence of word numbers, whose suffixes are sorted. Every
-suffix of every test text is looked up by binary search; hits of at least ``min_words`` are
-extended to the longest verbatim match. A word that occurs in no test text matches nothing, so
-suffixes that meet one within their first ``min_words`` words are left out of the array.
+Each shard of documents becomes one sequence of word numbers, whose suffixes are sorted by doubling
+prefixes, together with those of the test texts, as far as these follow. Every suffix of every test text is
+looked up by binary search; the keys of the doubled prefixes give the longest verbatim match.
+Suffixes that share no ``min_words`` words with a test text match nothing and are left out of the array.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from .textform import form
 
 MIN_WORDS = 8
 #: Words of corpus text per shard, about; a document is never cut.
-SHARD_WORDS = 4_000_000
-#: Words of test text that one pass over the corpus carries to the executors (16 MB of numbers).
-BLOCK_WORDS = 2_000_000
+SHARD_WORDS = 2_000_000
+#: Words of test text that one pass over the corpus carries to the executors (8 MB of numbers).
+BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -52,68 +52,77 @@ class TestTexts:
         self.items = np.array(self.items, dtype=np.int64)
 
 
-def _suffix_keys(ids: np.ndarray, split: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, key): suffixes with ``length`` numbers before a 0, and keys that order them.
+def _doubled(ids: np.ndarray, split: int, length: int) -> list[tuple[int, np.ndarray]]:
+    """[(span, key)] with growing spans: ``key`` numbers the first ``span`` words of each suffix in their
+    order, 0 where a 0 comes before. Equal keys mean equal words.
 
-    Equal keys mean that the first ``length`` words are equal; prefix doubling over both texts at
-    once, so that keys of corpus and test suffixes compare.
+    Spans double up to ``length`` over both texts at once, so keys of corpus and test suffixes compare.
+    From ``length`` on, only suffixes keep a key that share these words with one on the other
+    side; spans double until there is none. That orders the suffixes as far as the other side follows.
     """
-    good = ids != 0
-    span, key = 1, ids.copy()
-    while span < length:
-        step = min(span, length - span)
-        both = np.zeros(len(ids), dtype=bool)
-        both[: len(ids) - step] = good[: len(ids) - step] & good[step:]
-        at = np.flatnonzero(both)
-        top = int(key.max()) + 1 if len(key) else 1
-        pair = key[at] * top + key[at + step]
-        _, rank = np.unique(pair, return_inverse=True)
+    _, first = np.unique(ids, return_inverse=True)
+    key = np.where(ids != 0, first + 1, 0)
+    span, levels = 1, []
+    while True:
+        if span >= length:
+            there = np.zeros(int(key.max()) + 1, dtype=np.int8)
+            there[key[:split]] |= 1
+            there[key[split:]] |= 2
+            there[0] = 0
+            key = np.where(there[key] == 3, key, 0)
+            if not key.any():
+                return levels
+        levels.append((span, key.astype(np.int32)))
+        step = min(span, length - span) if span < length else span
+        ahead = np.zeros(len(ids), dtype=np.int64)
+        ahead[: max(0, len(ids) - step)] = key[step:]
+        at = np.flatnonzero((key > 0) & (ahead > 0))
+        _, rank = np.unique(key[at].astype(np.int64) * (int(key.max()) + 1) + ahead[at], return_inverse=True)
         key = np.zeros(len(ids), dtype=np.int64)
         key[at] = rank + 1
-        good = both
         span += step
-    at = np.flatnonzero(good)
-    return at, key[at]
 
 
-def search_shard(corpus: np.ndarray, test: TestTexts, min_words: int = MIN_WORDS, chunk: int = 2_000_000):
-    """Yield (test position, corpus position, words) of the longest matches of ``min_words`` or more.
+def search_shard(corpus: np.ndarray, test: TestTexts, min_words: int = MIN_WORDS, chunk: int = 1_000_000):
+    """Yield (test position, corpus position, words) of the longest matches of ``min_words`` or more,
+    in the order of test positions, at most ``chunk`` at once.
 
-    Both texts end with a 0. A match is reported once, where it begins.
+    Both texts end with a 0. A match is reported once, where it begins: the suffix array is sorted by the
+    first ``min_words`` words and then by the word before, so the suffixes that only go on with a match which
+    began earlier are a range that the search leaves out. A passage that many documents share thus costs
+    one match for each of them, whatever its length.
     """
     split = len(corpus)
     ids = np.concatenate([corpus, test.ids])
-    at, key = _suffix_keys(ids, split, min_words)
-    ours = at < split
-    pos, keys = at[ours], key[ours]
-    order = np.argsort(keys, kind="stable")  # the suffix array of the shard, by its first words
-    pos, keys = pos[order], keys[order]
-    want, wanted = at[~ours], key[~ours]
-    lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-    hits = np.flatnonzero(hi > lo)
-    counts = (hi - lo)[hits]
-    ends = np.cumsum(counts)
-    begin = 0
-    while begin < len(hits):
-        base = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, base + chunk)))
-        n = counts[begin:stop]
-        t = np.repeat(want[hits[begin:stop]], n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        c = pos[np.repeat(lo[hits[begin:stop]], n) + offset]
-        # Keep beginnings: the words before differ, or there is none.
-        before_t = np.where(t > split, ids[t - 1], 0)
-        before_c = np.where(c > 0, ids[np.maximum(c - 1, 0)], 0)
-        new = (before_t != before_c) | (before_t == 0)
-        t, c = t[new], c[new]
-        size = np.full(len(t), min_words, dtype=np.int64)
-        open_ = np.arange(len(t))
-        while len(open_):
-            a, b = ids[t[open_] + size[open_]], ids[c[open_] + size[open_]]
-            open_ = open_[(a == b) & (a != 0)]
-            size[open_] += 1
+    levels = _doubled(ids, split, min_words)
+    longer = [(span, key) for span, key in levels if span >= min_words]
+    if not longer:
+        return
+    shorter = [(span, key) for span, key in levels if span < min_words]
+    key = longer[0][1].astype(np.int64)
+    before = np.concatenate([[0], ids[:-1]])
+    top = int(before.max()) + 1
+    pos, want = np.flatnonzero(key[:split]), split + np.flatnonzero(key[split:])
+    pos = pos[np.lexsort((*(k[pos] for _, k in reversed(longer[1:])), before[pos], key[pos]))]  # the suffix array
+    heads, spots = key[pos], key[pos] * top + before[pos]
+    lo, hi = np.searchsorted(heads, key[want], "left"), np.searchsorted(heads, key[want], "right")
+    spot = key[want] * top + before[want]
+    skip_lo, skip_hi = np.searchsorted(spots, spot, "left"), np.searchsorted(spots, spot, "right")
+    starts = before[want] == 0
+    skip_lo, skip_hi = np.where(starts, hi, skip_lo), np.where(starts, hi, skip_hi)
+    ends = np.cumsum((skip_lo - lo) + (hi - skip_hi))
+    total = int(ends[-1]) if len(ends) else 0
+    for begin in range(0, total, chunk):
+        pair = np.arange(begin, min(begin + chunk, total))
+        owner = np.searchsorted(ends, pair, "right")
+        row = lo[owner] + pair - np.where(owner > 0, ends[owner - 1], 0)
+        row = np.where(row < skip_lo[owner], row, row - skip_lo[owner] + skip_hi[owner])
+        t, c = want[owner], pos[row]
+        size = np.zeros(len(t), dtype=np.int64)
+        for span, k in [*reversed(longer), *reversed(shorter)]:
+            a = k[t + size]
+            size += np.where((a > 0) & (a == k[c + size]), span, 0)
         yield t - split, c, size
-        begin = stop
 
 
 _MATCH = "item_id bigint, part string, doc_id bigint, matched_words int, item_word int, doc_word int"
@@ -123,26 +132,30 @@ def _search(test: TestTexts, min_words: int, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = test.vocabulary.get
 
+        def rows(which, doc, size, t, c, docs, starts) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(which), 100_000):
+                cut_ = slice(lo, lo + 100_000)
+                w, d = which[cut_], doc[cut_]
+                columns = (test.items[w], pa.array(test.parts, pa.string()).take(pa.array(w)), docs[d], size[cut_], t[cut_] - test.starts[w], c[cut_] - starts[d])
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(columns, kinds)], names=[x.split()[0] for x in _MATCH.split(", ")])
+
         def flush(parts: list[np.ndarray], docs: list[int], starts: list[int]) -> Iterator[pa.RecordBatch]:
-            corpus = np.concatenate(parts)
-            doc_starts = np.array(starts, dtype=np.int64)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            """The longest match of each test text in each document. Matches come by test text, so of all
+            texts but the last one seen the result is complete."""
+            corpus, docs, starts = np.concatenate(parts), np.array(docs, dtype=np.int64), np.array(starts, dtype=np.int64)
+            held = [np.empty(0, dtype=np.int64)] * 5
             for t, c, size in search_shard(corpus, test, min_words):
-                which = np.searchsorted(test.starts, t, "right") - 1
-                doc = np.searchsorted(doc_starts, c, "right") - 1
+                found = (np.searchsorted(test.starts, t, "right") - 1, np.searchsorted(starts, c, "right") - 1, size, t, c)
+                which, doc, size, t, c = (np.concatenate(x) for x in zip(held, found))
                 order = np.lexsort((c, t, -size, doc, which))
                 first = np.ones(len(order), dtype=bool)
-                w, d = which[order], doc[order]
-                first[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-                for k in order[first]:
-                    found = (int(size[k]), int(-(t[k] - test.starts[which[k]])), int(-(c[k] - doc_starts[doc[k]])))
-                    spot = (int(which[k]), int(doc[k]))
-                    if found > best.get(spot, (0, 0, 0)):
-                        best[spot] = found
-            if best:
-                rows = [(int(test.items[w]), test.parts[w], docs[d], n, -i, -j) for (w, d), (n, i, j) in best.items()]
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _MATCH.split(", ")])
+                first[1:] = (np.diff(which[order]) != 0) | (np.diff(doc[order]) != 0)
+                best = order[first]
+                last = which[best] == which.max()
+                yield from rows(*(x[best[~last]] for x in (which, doc, size, t, c)), docs, starts)
+                held = [x[best[last]] for x in (which, doc, size, t, c)]
+            yield from rows(*held, docs, starts)
 
         parts, docs, starts, size = [], [], [], 0
         for batch in batches:

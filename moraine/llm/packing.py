@@ -54,14 +54,18 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return base.mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
+def capacities(containers: DataFrame) -> dict[str, int]:
+    """Capacity by container kind; of several the least, those of no or negative capacity left out. A list
+    of a few rows, which is a setting and not data."""
+    rows = containers.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("cap")).collect()
+    return {r.container_kind: int(r.cap) for r in rows}
+
+
 def pieces(counts: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, doc_id, piece, start_token, n_tokens): only texts above the capacity are cut,
     into full containers and one rest."""
-    kinds = containers.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("cap")).distinct()
-    # The list of container kinds is a setting of a few rows; it is collected for a plain projection.
-    specs = [(r[0], int(r[1])) for r in kinds.collect()]
     out = None
-    for kind, cap in specs:
+    for kind, cap in sorted(capacities(containers).items()):
         last = F.greatest(F.ceil(F.col("n_tokens") / cap) - 1, F.lit(0))
         part = counts.select("doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0).cast("bigint"), last))).select(
             F.lit(kind).alias("container_kind"), "doc_id", F.col("pos").alias("piece"), (F.col("col") * cap).alias("start_token"),
@@ -216,7 +220,7 @@ def pack(counts: DataFrame, containers: DataFrame, plan=best_fit_plan) -> DataFr
     """
     counts = cut(counts)
     items = pieces(counts, containers)
-    caps = {r[0]: int(r[1]) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().collect()}
+    caps = capacities(containers)
     # At most the sum of the capacities in rows, whatever the corpus.
     hist: dict[str, dict[int, int]] = {k: {} for k in caps}
     for kind, length, n in items.groupBy("container_kind", "n_tokens").count().collect():
@@ -252,6 +256,7 @@ def pack(counts: DataFrame, containers: DataFrame, plan=best_fit_plan) -> DataFr
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, containers, tokens, fill): how much of the space is used."""
     used = packed.groupBy("container_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return used.join(containers.select("container_kind", "capacity_tokens").distinct(), "container_kind").select(
+    caps = containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity_tokens"))
+    return used.join(caps, "container_kind").select(
         "container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill")
     )

@@ -1,32 +1,35 @@
 """Visually identical text with different characters.
 
-``form`` brings one string to the canonical form; ``lookalike_classes`` finds the texts of a corpus
+``form`` brings one string to the canonical form; ``lookalike_members`` finds the texts of a corpus
 that look the same: look-alike-mapped values are grouped under Spark's accent-sensitive Unicode
 collation, each class gets a canonical member, which is joined back.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.session import cut
 
-# Letters of the Cyrillic and Greek alphabets and the Latin letters they look like.
-CYRILLIC = "АВЕЅЗІЇЈКМНОРСТУХҮҺӀԌԚԜ" "аеѕіјоросухһӏԁԛԝүѵ"
-CYRILLIC_AS = "ABES3IÏJKMHOPCTYXYhIGQW" "aesijopocyxhldqwyv"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳͿ" "οϲνι"
-GREEK_AS = "ABEZHIKMNOPTYXCjJ" "ocvi"
-# Greek letters that look like a Cyrillic but no Latin one, and the Izhitsa. Apart from the table,
-# of which the SQL is made: the SQL leaves these letters as they are.
-TWINS = "ΓΠΦΨψ" "Ѵ"
-TWINS_AS = "ГПФѰѱ" "V"
+# Letters of the Latin, Cyrillic and Greek alphabets that are printed alike, a class to a
+# word, the letter that stands for it first. Unicode's list of confusable characters has each class as
+# one (but Q, capital shha, the small palochka and the small letters with descender, which belong here too); of that list only letters of one case and of the same printed form are taken here, so alpha and a,
+# rho and p, the capital I and the small l, or a letter and a digit, stay different.
+LETTERS = """
+AΑА BΒВ CСϹ EΕЕ FϜ GԌ HΗН IΙІӀ JЈͿ KΚК MΜМϺ NΝ OΟО PΡР QԚ SЅ TΤТ VѴ WԜ XΧХ YΥУҮ ZΖ ÆӔ ƏӘ
+aа cсϲ dԁ eе hһҺ iіι jјϳ lӏ oоο pр qԛ sѕ vνѵ wԝ xх yуү æӕ əәǝ
+ГΓ ПΠ ФΦ ѰΨ ѱψ ИͶ ΛɅ ΣƩ ƆϽ ɔͻ ƐԐ ɛԑ ƷӠ ʒӡ ꙄƧ ꙅƨ ƟѲӨ ɵѳө ÞϷ þϸ ⱵͰ ꙌꞶ ωꙍꞷ χꭓ γɣ αɑ δẟ βꞵ
+ҚⱩ қⱪ ҢⱧ ңⱨ ҰɎ ұɏ ꚘꝎ ꚙꝏ гᴦ вʙ нʜ мᴍ тᴛ кᴋ яᴙ
+""".split()
 
 
 @lru_cache
@@ -42,23 +45,16 @@ def _table() -> dict[int, str]:
             table[cp] = " "
         elif unicodedata.decomposition(c).startswith("<wide>"):
             table[cp] = chr(int(unicodedata.decomposition(c).split()[1], 16))
-    for group, same in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS)):
-        for a, b in zip(group, same, strict=True):
-            if a not in "ЗЇ":  # a digit is no letter; the diaeresis is separate by now
-                table[ord(a)] = b
+    for same in LETTERS:
+        table |= {ord(c): same[0] for c in same[1:]}
     return table
 
 
-@lru_cache
-def _letters() -> dict[int, str]:
-    return {**_table(), **{ord(a): b for a, b in zip(TWINS, TWINS_AS, strict=True)}}
-
-
 def mapped(text: str) -> str:
     """``text`` with accents decomposed, look-alikes, widths and spaces mapped, invisibles gone."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", text).translate(_letters())
+    return unicodedata.normalize("NFD", text).translate(_table())
 
 
 def form(text: str | None) -> str | None:
@@ -68,20 +64,29 @@ def form(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", mapped(text))
 
 
-def _map_batches(column: str, fn):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.schema.get_field_index(column)
-            values = pa.array([None if t is None else fn(t) for t in batch.column(i).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "mapped"])
+_OTHER = re.compile(r"[^!-~]+")
 
-    return run
 
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
-def with_mapped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, mapped); null texts give no row."""
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, string_id, key): digests of each text, and of the printable ASCII characters that it has
+    once it is mapped; null texts give no row.
+
+    Texts of one form share the key, because mapping ends in decomposed characters. Texts are read
+    once and stay where they are.
+    """
     base = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return base.mapInArrow(_map_batches("text", mapped), "doc_id bigint, text string, mapped string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ids, keys = [_digest(t) for t in texts], [_digest(_OTHER.sub("", mapped(t)))[:8] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "string_id", "key"])
+
+    return base.mapInArrow(run, "doc_id bigint, string_id binary, key binary")
 
 
 def canonical_documents(docs: DataFrame) -> DataFrame:
@@ -96,50 +101,49 @@ def canonical_documents(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "doc_id bigint, form string")
 
 
-def _skeleton(mapped_text: Column) -> Column:
-    """A key that texts equal under the collation share: their digits and plain punctuation."""
-    return F.xxhash64(F.regexp_replace(mapped_text, r"[^0-9 \n,.:()\[\]{}_/'\"!?-]+", ""))
-
-
 def lookalike_members(docs: DataFrame) -> DataFrame:
     """(class_id, doc_id, variant): the documents of classes with at least two different strings.
 
-    ``class_id`` is the least doc_id of the class's canonical member, the least string of the class;
-    ``variant`` the least doc_id with the very same string. Texts are first narrowed by a short key
-    that all members of a class share, so only possible members' texts move. Then the mapped values
-    are grouped under the collation UNICODE, whose equality is that of the Unicode root at accent
-    and case level. Since that collation also ignores control characters, classes are split by an
-    exact comparison of the composed form.
+    ``class_id`` is the least doc_id of the class, ``variant`` the least doc_id with the very same string.
+    Copies are folded to one string, and strings narrowed by a short key that all members of a class share, so
+    only the texts of possible members move. Their mapped values are grouped under the collation
+    UNICODE, whose equality is that of the Unicode root at accent and case level. Since that
+    collation also ignores control characters, classes are split by an exact comparison of the composed form.
     """
-    m = with_mapped(docs).withColumn("string_id", F.md5("text"))
-    keyed = m.withColumn("s", _skeleton(F.col("mapped")))
-    shared = keyed.groupBy("s").agg(F.min("string_id").alias("lo"), F.max("string_id").alias("hi")).where("lo <> hi").select("s")
-    near = keyed.join(shared, "s", "left_semi")
-    # One row per different string; copies are folded before the collation has to compare them.
-    strings = cut(
-        near.groupBy("string_id").agg(F.min("doc_id").alias("variant"), F.first("mapped").alias("mapped"), F.first("text").alias("text"))
-    )
+    ids = cut(keyed_texts(docs))
+    strings = ids.groupBy("key", "string_id").agg(F.min("doc_id").alias("variant"))
+    shared = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    near = strings.join(shared, "key", "left_semi").select("variant", "string_id")
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("variant"), "text").join(near, "variant")
+    values = cut(texts.mapInArrow(_map_candidates, "variant bigint, string_id binary, mapped string"))
     under = F.collate("mapped", "UNICODE")
-    classes = (
-        strings.groupBy(under.alias("look"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("text"), F.col("variant"))).alias("least"))
-        .where("n > 1")
-        .select("look", F.col("least.variant").alias("class_id"))
-    )
-    placed = strings.join(classes, under == F.col("look")).select("class_id", "variant", "string_id", "mapped")
-    exact = placed.mapInArrow(_exact, "class_id bigint, variant bigint, string_id string, form string")
+    classes = values.groupBy(under.alias("look")).agg(F.count(F.lit(1)).alias("n"), F.min("variant").alias("class_id")).where("n > 1").select("look", "class_id")
+    placed = values.join(classes, under == F.col("look")).select("class_id", "variant", "string_id", "mapped")
+    exact = placed.mapInArrow(_exact, "class_id bigint, variant bigint, string_id binary, form binary")
     # Split by the composed form, and drop classes of which one string is left.
-    exact = exact.withColumn("form", F.md5("form"))
     sure = exact.groupBy("class_id", "form").agg(F.count(F.lit(1)).alias("n"), F.min("variant").alias("sub_id")).where("n > 1")
     sure = exact.join(sure, ["class_id", "form"]).select(F.col("sub_id").alias("class_id"), "variant", "string_id")
-    ids = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("string_id"))
-    return ids.join(sure, "string_id").select("class_id", "doc_id", "variant")
+    return ids.drop("key").join(sure, "string_id").select("class_id", "doc_id", "variant")
+
+
+def _map_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns variant, text, string_id; rows of repeated doc_ids with another text are not meant."""
+    for batch in batches:
+        rows = [(v, s, mapped(t)) for v, t, s in zip(*(batch.column(c).to_pylist() for c in ("variant", "text", "string_id"))) if _digest(t) == s]
+        columns = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.string()))], names=["variant", "string_id", "mapped"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [unicodedata.normalize("NFC", t) for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.string())], names=["class_id", "variant", "string_id", "form"])
+        values = [_digest(unicodedata.normalize("NFC", t)) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary())], names=["class_id", "variant", "string_id", "form"])
+
+
+def lookalike_classes(members: DataFrame) -> DataFrame:
+    """(class_id, doc_id, variant, size): one row per document of a class, with the class's documents counted."""
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    return members.join(sizes, "class_id").select("class_id", "doc_id", "variant", "size")
 
 
 def lookalike_pairs(members: DataFrame) -> DataFrame:

@@ -51,6 +51,32 @@ def test_clean_documents_and_forms_are_queries_over_whole_tables(spark, tmp_path
     assert got == {0: (f"x {passage} y", 0), 1: ("copy", 1), 2: ("copy", 1), 3: (None, 3), 4: ("short", 4)}
 
 
+def test_letter_classes_are_those_of_the_public_list(spark):
+    """Each class is one in the Unicode list of confusable characters; letters of two alphabets of one case and form are in it."""
+    jvm = spark._jvm.com.ibm.icu
+    checker = jvm.text.SpoofChecker.Builder().build()
+    scripts = {jvm.lang.UScript.getCode(n)[0] for n in ("Latin", "Cyrillic", "Greek")}
+    seen, own = set(), {"QԚ", "hһҺ", "lӏ", "қⱪ", "ңⱨ"}  # not in the list, but of the same form
+    for same in textform.LETTERS:
+        assert len(same) > 1 and not seen & set(same) and all(jvm.lang.UScript.getScript(ord(c)) in scripts for c in same)
+        seen |= set(same)
+        assert len({checker.getSkeleton(c) for c in same}) == 1 or same in own, same
+    for a, b in ("ΓГ", "ΠП", "ΦФ", "ÆӔ", "æӕ", "ƏӘ", "əә", "ΑА", "οо", "Өɵ".upper()):
+        assert textform.form(a) == textform.form(b), (a, b)
+    for a, b in ("αa", "ρp", "Il", "З3", "Оо", "кk", "ιl"):
+        assert textform.form(a) != textform.form(b), (a, b)
+
+
+def test_planted_pairs_of_every_letter_are_found(spark):
+    words_ = [(f"{i} gate {a} of", f"{i} gate {b} of") for i, (a, b) in enumerate((s[0], c) for s in textform.LETTERS for c in s[1:])]
+    texts = [t for pair in words_ for t in pair]
+    members = textform.lookalike_members(docs_df(spark, texts))
+    got = {tuple(r) for r in textform.lookalike_pairs(members).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(words_))} and len(words_) > 100
+    sizes = textform.lookalike_classes(textform.lookalike_members(docs_df(spark, ["copy", "сору", "copy", "x"]))).collect()
+    assert sorted(tuple(r) for r in sizes) == [(0, 0, 0, 3), (0, 1, 1, 3), (0, 2, 0, 3)]
+
+
 @given(st.text(alphabet="aeоо́ё̈́Ａ１​  ²б", max_size=12))
 def test_form_is_stable(text):
     once = textform.form(text)
@@ -152,6 +178,26 @@ def test_shard_search_finds_the_longest_matches(corpus, test, least):
     assert got == want
 
 
+def test_a_passage_in_very_many_documents_and_items_stays_small():
+    """Half of all documents and every item have one passage of 60 words: a match for each pair, no more."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    test = leakage.TestTexts([(i, "question", f"item{i} {passage} end{i}") for i in range(200)])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(50_000), pa.int64()), pa.array([f"doc {passage} more" if i % 2 else "nothing here" for i in range(50_000)])], names=["doc_id", "text"])
+    run = leakage._search(test, 8, 400_000)
+    tracemalloc.start()
+    n = 0
+    for batch in run(iter([docs])):
+        n += batch.num_rows
+        assert set(batch.column("matched_words").unique().to_pylist()) == {60} and batch.num_rows <= 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 25_000 * 200 and peak < 700e6
+
+
 # ---------------------------------------------------------------- 8: packing
 
 
@@ -195,7 +241,7 @@ def test_buckets_are_optimal(histogram, buckets):
 def test_packing_whole_documents(spark, plan):
     rng = random.Random(8)
     texts = [None, "", "a"] + ["word " * rng.choice([1, 2, 3, 3, 3, 9, 17, 40, 300]) for _ in range(200)] + ["<|endoftext|> ünïcode ты"]
-    containers = spark.createDataFrame([("small", 16), ("big", 64), ("big", 64), ("none", 0)], "container_kind string, capacity_tokens int")
+    containers = spark.createDataFrame([("small", 16), ("big", 64), ("big", 64), ("big", 90), ("none", 0)], "container_kind string, capacity_tokens int")
     counts = packing.token_counts(docs_df(spark, texts))
     n_tokens = {r.doc_id: r.n_tokens for r in counts.collect()}
     assert len(n_tokens) == len(texts) - 1 and n_tokens[1] == 0 and n_tokens[2] == 1
