@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from .errors import InvalidData
+from .errors import FeatureUnsupported, InvalidData
 
 # Option names and defaults of the table settings.
 PREFIX = "iceberg.table."
@@ -20,12 +20,14 @@ _KEYS = {
     "datafile.target_file_size_in_bytes": ("target_file_size", int),
     "sorted_delete_position_writer.max_record_num": ("delete_max_records", int),
 }
+_ZLIB_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 CODECS = ("uncompressed", "snappy", "gzip", "lzo", "brotli", "lz4", "zstd", "lz4_raw")
 
 
 @dataclass(frozen=True)
 class TableConfig:
-    """``rows_per_file`` is an upper bound (0: none): Spark cuts exactly there."""
+    """``rows_per_file`` is an upper bound (0: none): Spark cuts exactly there. Files are also cut at about
+    ``target_file_size`` (0: nowhere)."""
 
     bloom_filter: bool = False
     created_by: str | None = None
@@ -60,7 +62,7 @@ class TableConfig:
         return config
 
     def writer_options(self, bloom_columns: list[str] = ()) -> dict[str, str]:
-        """Options of ``DataFrameWriter.parquet``."""
+        """Options of ``DataFrameWriter.parquet``; what that writer cannot do is refused."""
         out = {"compression": "none" if self.compression == "uncompressed" else self.compression.lower()}
         if self.rows_per_file:
             out["maxRecordsPerFile"] = str(self.rows_per_file)
@@ -69,6 +71,15 @@ class TableConfig:
         for value, key in ((self.max_row_group_size, "parquet.block.row.count.limit"), (self.data_page_size, "parquet.page.size")):
             if value:
                 out[key] = str(value)
-        if self.compression_level is not None and self.compression.lower() == "zstd":
-            out["parquet.compression.codec.zstd.level"] = str(self.compression_level)
+        if self.write_batch_size:  # values between two looks at a page's size
+            out |= {"parquet.page.size.row.check.min": str(self.write_batch_size), "parquet.page.size.row.check.max": str(max(self.write_batch_size, 10_000))}
+        if self.compression_level is not None:
+            if self.compression.lower() == "zstd":
+                out["parquet.compression.codec.zstd.level"] = str(self.compression_level)
+            elif self.compression.lower() == "gzip" and self.compression_level <= 9:
+                out["zlib.compress.level"] = _ZLIB_LEVELS[self.compression_level]
+            else:
+                raise FeatureUnsupported("compression level", codec=self.compression, level=self.compression_level)
+        if self.created_by is not None:
+            raise FeatureUnsupported("Spark's Parquet writer names itself in its files", created_by=self.created_by)
         return out

@@ -12,6 +12,7 @@ from urllib.parse import urlsplit
 from .errors import FeatureUnsupported
 
 _HADOOP_SCHEMES = {"hdfs", "s3", "s3a", "s3n", "abfs", "abfss", "gs", "viewfs"}
+_OBJECT_STORES = {"s3", "s3a", "s3n", "gs"}
 
 
 def is_local(uri: str) -> bool:
@@ -74,8 +75,9 @@ class Storage:
     def create(self, uri: str, data: bytes) -> bool:
         """Publish ``data`` under a name that must be free. False if somebody was first.
 
-        Readers see the whole object or none: local files are linked into place after they are
-        complete, Hadoop stores get an exclusive create.
+        Readers see the whole object or none. Local files are linked into place after they are complete. In
+        object stores an object appears when its stream is closed, under an exclusive create; in other
+        Hadoop file systems a complete file of another name is renamed, which fails if the name is taken.
         """
         if is_local(uri):
             target = local_path(uri)
@@ -93,15 +95,28 @@ class Storage:
             finally:
                 os.unlink(staged)
         fs, path = self._fs(uri)
-        try:
-            stream = fs.create(path, False)
-        except Exception:  # py4j wraps the store's FileAlreadyExistsException
-            if fs.exists(path):
-                return False
-            raise
+        if urlsplit(uri).scheme in _OBJECT_STORES:
+            try:
+                stream = fs.create(path, False)
+                stream.write(bytearray(data))
+                stream.close()
+            except Exception:  # py4j wraps the store's FileAlreadyExistsException
+                if fs.exists(path):
+                    return False
+                raise
+            return True
+        if fs.exists(path):
+            return False
+        staged = path.suffix(f".{uuid.uuid4().hex}.tmp")
+        stream = fs.create(staged, False)
         stream.write(bytearray(data))
         stream.close()
-        return True
+        if fs.rename(staged, path):
+            return True
+        fs.delete(staged, False)
+        if not fs.exists(path):
+            raise FeatureUnsupported("rename", target_uri=uri)
+        return False
 
     def replace(self, uri: str, data: bytes) -> None:
         """Write over whatever is there, atomically where the store can."""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..core.errors import InvalidData
-from ..core.session import cut
+from ..core.session import cut_table
 from ..format.manifest import DataFile
 from ..format.types import FIELD_ID
 from .scan import FIELD_ID_READ, PATH, POS, attach_by_file
@@ -93,13 +93,6 @@ def write_changes(
     if not keys:
         raise InvalidData("changes need key columns")
     names = [schema.find(i).name for i in keys]
-    # One pass over the events finds whatever would make the order or the codes ambiguous.
-    bad = changes.agg(
-        F.coalesce(F.sum((~F.coalesce(F.col(op).isin(INSERT, DELETE), F.lit(False))).cast("int")), F.lit(0)).alias("codes"),
-        F.coalesce(F.sum(F.col(seq).isNull().cast("int")), F.lit(0)).alias("nulls"),
-    ).first()
-    if bad.codes or bad.nulls:
-        raise InvalidData("changes with an unknown operation or without a sequence", operations=bad.codes, sequences=bad.nulls)
     rows = align(changes, schema, (op, seq, *([partition_col] if partition_col else [])))
     if spec.unpartitioned:
         rows = rows.withColumn(PKEY, F.lit(""))
@@ -107,8 +100,15 @@ def write_changes(
         rows = with_partition(rows, schema, spec, partition_col).drop("__partition")
     w = W.partitionBy(PKEY, *(F.col(f"`{n}`") for n in names)).orderBy(F.col(seq))
     tagged = rows.select("*", F.lag(op).over(w).alias("__before"), F.lead(op).over(w).alias("__after"), F.lag(seq).over(w).alias("__before_seq"))
-    tagged = cut(tagged)
-    if not tagged.where(F.col("__before_seq") == F.col(seq)).isEmpty():
+    tagged = cut_table(tagged)  # columnar: what follows reads few of its columns
+    times = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0))
+    bad = tagged.agg(
+        times(~F.coalesce(F.col(op).isin(INSERT, DELETE), F.lit(False))).alias("codes"), times(F.col(seq).isNull()).alias("nulls"),
+        times(F.col("__before_seq") == F.col(seq)).alias("ties"),
+    ).first()
+    if bad.codes or bad.nulls:
+        raise InvalidData("changes with an unknown operation or without a sequence", operations=bad.codes, sequences=bad.nulls)
+    if bad.ties:
         raise InvalidData("two changes of one key have the same sequence", column=seq)
     fresh = F.coalesce(F.col("__before"), F.lit(DELETE)) == DELETE
     inserts = tagged.where(F.col(op) == INSERT).withColumn(SEQ_COLUMN, F.col(seq).cast("bigint"))

@@ -6,6 +6,7 @@ import heapq
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,13 +126,15 @@ def rewrite_files(spark: SparkSession, plan: DataFrame, out_root: str) -> DataFr
 
     Tasks stream row group by row group through pyarrow, so memory does not grow with the group.
     Each writes under a name of its own; only the manifest says which files count, and it is
-    published by one exclusive create after the records read and written have been compared.
-    Returns the manifest: (table_uuid, partition_tuple, out_path, inputs, records, bytes).
+    published by one exclusive create after every group of the plan has been compared with what was written:
+    it is there, with as many inputs and records as planned, and its records are those of the inputs'
+    footers. A record count that the plan does not know is not compared.
+    Returns the manifest: (table_uuid, partition_tuple, shard, out_group, out_path, inputs, records, bytes).
     """
     attempt = uuid.uuid4().hex
     target = join(out_root, "data")
     group = ["table_uuid", "partition_tuple", "shard", "out_group"]
-    schema = "table_uuid string, partition_tuple string, out_path string, inputs int, records bigint, bytes bigint, expected bigint"
+    schema = "table_uuid string, partition_tuple string, shard int, out_group int, out_path string, inputs int, records bigint, bytes bigint, expected bigint"
 
     def merge(key, pdf):
         import os
@@ -169,15 +172,20 @@ def rewrite_files(spark: SparkSession, plan: DataFrame, out_root: str) -> DataFr
         info = fs.get_file_info(path)
         with fs.open_input_file(path) as f:
             records = pq.ParquetFile(f).metadata.num_rows
-        return pd.DataFrame([(table_uuid, part, join(target, name), len(paths), records, info.size, expected)], columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame([(table_uuid, part, shard, out_group, join(target, name), len(paths), records, info.size, expected)], columns=[c.split()[0] for c in schema.split(", ")])
 
     report = plan.select(*group, "file_path").groupBy(*group).applyInPandas(merge, schema)
     manifest = join(out_root, "manifests", attempt)
     report.write.parquet(manifest)  # one run of the tasks; what they say is then fixed
     written = spark.read.schema(schema).parquet(manifest)
-    bad = written.where("records <> expected").count()
+    known = F.when(F.count("record_count") == F.count(F.lit(1)), F.sum("record_count"))
+    asked = plan.groupBy(*group).agg(F.count(F.lit(1)).alias("asked_inputs"), known.alias("asked_records"))
+    l, r = asked.alias("l"), written.alias("r")
+    both = l.join(r, reduce(lambda a, b: a & b, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group)), "full")
+    right = (F.col("asked_inputs") == F.col("inputs")) & (F.col("records") == F.col("expected")) & (F.col("records") == F.coalesce("asked_records", "records"))
+    bad = both.where(~F.coalesce(right, F.lit(False))).count()
     if bad:
-        raise InvalidData("rewritten files differ from their inputs", groups=bad)
+        raise InvalidData("rewritten files differ from the plan", groups=bad)
     if not Storage(spark).create(join(out_root, "current.json"), json.dumps({"manifest": manifest}).encode()):
         raise CommitConflict("this output folder has a manifest already", root=out_root)
     return written.drop("expected")
@@ -186,3 +194,43 @@ def rewrite_files(spark: SparkSession, plan: DataFrame, out_root: str) -> DataFr
 def published(spark: SparkSession, out_root: str) -> DataFrame:
     """The manifest of a finished rewrite."""
     return spark.read.parquet(json.loads(Storage(spark).read(join(out_root, "current.json")))["manifest"])
+
+
+def write_small_files(rows: DataFrame, keys: list[str], root: str) -> DataFrame:
+    """Write the rows of each ``keys`` as one Parquet file, however few they are, and return the listing:
+    (keys..., path, record_count, file_size_in_bytes). Tasks stream, so a file may be of any size."""
+    schema = rows.select(*keys, F.lit("").alias("path"), F.lit(0).cast("bigint").alias("record_count"), F.lit(0).cast("bigint").alias("file_size_in_bytes")).schema
+    folder = join(root, uuid.uuid4().hex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
+
+        fs, base = (pafs.LocalFileSystem(), local_path(folder)) if is_local(folder) else pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        now, writer, name, count, done = None, None, None, 0, []
+
+        def close() -> None:
+            writer.close()
+            done.append((*now, join(folder, name), count, fs.get_file_info(f"{base}/{name}").size))
+
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            each = list(zip(*columns))
+            edges = [0, *(i for i in range(1, len(each)) if each[i] != each[i - 1]), len(each)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if writer is None or each[lo] != now:
+                    if writer is not None:
+                        close()
+                    now, name, count = each[lo], f"{uuid.uuid4().hex}.parquet", 0
+                    writer = pq.ParquetWriter(f"{base}/{name}", batch.schema, filesystem=fs)
+                writer.write_batch(batch.slice(lo, hi - lo))
+                count += hi - lo
+        if writer is not None:
+            close()
+            fields = [batch.schema.field(k) for k in keys] + [pa.field("path", pa.string()), pa.field("record_count", pa.int64()), pa.field("file_size_in_bytes", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), fields)], schema=pa.schema(fields))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

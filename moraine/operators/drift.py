@@ -251,11 +251,18 @@ def snapshot_schemas(snapshots: DataFrame, block: int = 4096) -> DataFrame:
     return here.join(carried, ["table_uuid", "block"]).select("table_uuid", "snapshot_id", F.coalesce("here", "carry").alias("sid"))
 
 
-def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame, snapshots: DataFrame) -> DataFrame:
+def _without_defaults(t):
+    """A type in which no field has an initial default, at any depth."""
+    if isinstance(t, dict):
+        return {k: _without_defaults(v) for k, v in t.items() if k != "initial-default"}
+    return [_without_defaults(x) for x in t] if isinstance(t, list) else t
+
+
+def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame, snapshots: DataFrame, fill: bool = True) -> DataFrame:
     """(table_uuid, file_path, row_pos, payload, branches): all records under their table's current schema.
 
-    ``payload`` is JSON by the current names, in the current order, absent members null or at
-    their initial default. ``branches`` maps place and type to values that the current type cannot
+    ``payload`` is JSON by the current names, in the current order, absent members null or, with
+    ``fill``, at their initial default. ``branches`` maps place and type to values that the current type cannot
     hold, or whose field is gone; null where there is none. A record without a schema id takes its
     file's snapshot's (see ``snapshot_schemas``), else the current one. A record counts once if it is
     repeated in all its columns; records that differ in any, also at one position, are all kept. A record whose payload is
@@ -286,7 +293,7 @@ def unified_records(records: DataFrame, metadata: DataFrame, entries: DataFrame,
             if text not in parsed:
                 if len(parsed) > 2000:
                     parsed.clear()
-                parsed[text] = json.loads(text)
+                parsed[text] = json.loads(text) if fill else _without_defaults(json.loads(text))
             return parsed[text]
 
         for batch in batches:

@@ -250,17 +250,22 @@ class ScanBuilder:
             fits = lambda p: may_match_manifest(p, schema, specs[m.spec_id], m.partitions)
             return bool(m.content) or self.start is not None or all(map(fits, self.predicates))
 
-        for e in self.table.live_entries(self.snapshot_id, wanted):
+        partition, predicates = self.partition, self.predicates
+
+        def may_match(e: Entry) -> bool:
+            if partition is not None and e.file.partition != partition:
+                return False
+            return all(may_match_partition(p, schema, specs[e.file.spec_id], e.file.partition) and may_match_bounds(p, schema, e.file) for p in predicates)
+
+        # Where a resumed scan begins is found among all files.
+        keep = None if self.start else lambda e: e.file.content != DATA or may_match(e)
+        for e in self.table.live_entries(self.snapshot_id, wanted, keep):
             (data if e.file.content == DATA else deletes).append(e)
         if self.start:
             keys = [object_key(e.file.path) for e in data]
             if object_key(self.start[0]) not in keys:
                 raise InvalidData("no such data file to start from", path=self.start[0])
-            data = data[keys.index(object_key(self.start[0])) :]
-        if self.partition is not None:
-            data = [e for e in data if e.file.partition == self.partition]
-        for p in self.predicates:
-            data = [e for e in data if may_match_partition(p, schema, specs[e.file.spec_id], e.file.partition) and may_match_bounds(p, schema, e.file)]
+            data = [e for e in data[keys.index(object_key(self.start[0])) :] if may_match(e)]
         for e in data:
             require_parquet(e.file)
         return data, deletes

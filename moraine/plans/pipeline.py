@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..core.errors import CommitConflict
 from ..core.session import cut_table, scratch_path
@@ -87,11 +88,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The files that a compaction would write: inputs, records and bytes of each."""
+    """What a compaction would do to each partition: inputs, records and bytes, and whether the groups of
+    each shard are as many as the target asks for and as even as longest-first makes them."""
     plan = compaction.plan_compaction(compaction.live_files(load(spark, d, "manifest_entries")))
-    return plan.groupBy("table_uuid", "partition_tuple", "shard", "out_group").agg(
-        F.count(F.lit(1)).alias("inputs"), F.sum("record_count").alias("records"), F.sum("file_size_in_bytes").alias("bytes")
+    keys = ["table_uuid", "partition_tuple"]
+    size = F.col("file_size_in_bytes")
+    groups = plan.groupBy(*keys, "shard", "out_group").agg(F.count(F.lit(1)).alias("n"), F.sum("record_count").alias("records"), F.sum(size).alias("bytes"), F.max(size).alias("largest"))
+    shards = groups.groupBy(*keys, "shard").agg(
+        F.sum("n").alias("n"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("fullest"), F.max("largest").alias("largest"), F.max("out_group").alias("last")
     )
+    wanted = F.greatest(F.lit(1), F.round(F.col("bytes") / compaction.TARGET_BYTES))
+    even = (F.col("fullest") <= F.col("bytes") / wanted + F.col("largest")) & (F.col("last") < wanted)
+    return shards.withColumn("even", even).groupBy(*keys).agg(F.sum("n").alias("inputs"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), F.min("even").alias("even"))
+
+
+def p3_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """All file records, written as the tiny files they come from, compacted through pyarrow, and read by the
+    published manifest, beside the files that stayed as they were."""
+    records, root = load(spark, d, "file_records"), scratch_path(spark, "compaction")
+    listing = cut_table(compaction.write_small_files(records, ["table_uuid", "file_path"], f"{root}/small"))
+    files = listing.select("table_uuid", F.col("path").alias("file_path"), F.lit(None).cast("string").alias("partition_tuple"), "file_size_in_bytes", "record_count")
+    plan = cut_table(compaction.plan_compaction(files))
+    merged = compaction.rewrite_files(spark, plan, f"{root}/merged").select(F.col("out_path").alias("path"))
+    rest = files.join(plan, "file_path", "left_anti").select(F.col("file_path").alias("path"))
+    paths = [r.path for r in merged.unionByName(rest).collect()]  # a path for each file that is read, as any scan has
+    return spark.read.schema(records.schema).parquet(*paths).select("table_uuid", "file_path", "row_pos", "schema_id", "payload") if paths else records.limit(0)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +128,17 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Paths and descendants of all snapshots as intervals."""
-    found = hierarchy.spans(load(spark, d, "snapshots"), "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number")
-    return found.withColumnsRenamed({"tree": "table_uuid", "node_id": "snapshot_id", "root_id": "root_snapshot_id"})
+    """Paths and descendants of all snapshots as intervals: how many lie in each, whether it lies in that of
+    its parent, and whether it begins where no other does."""
+    rows = load(spark, d, "snapshots")
+    found = cut_table(hierarchy.spans(rows, "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number"))
+    links = rows.groupBy("table_uuid", "snapshot_id").agg(F.max("parent_snapshot_id").alias("parent_id"))
+    above = found.select(F.col("tree").alias("table_uuid"), F.col("node_id").alias("parent_id"), F.col("first").alias("f"), F.col("last").alias("l"))
+    placed = found.withColumnsRenamed({"tree": "table_uuid", "node_id": "snapshot_id"}).join(links, ["table_uuid", "snapshot_id"]).join(above, ["table_uuid", "parent_id"], "left")
+    once = F.count("first").over(W.partitionBy("table_uuid", "root_id", "first")) <= 1
+    nested_ = F.coalesce((F.col("first") > F.col("f")) & (F.col("last") <= F.col("l")), F.lit(True)) & once
+    size = F.coalesce(F.col("last") - F.col("first"), F.lit(-1).cast("bigint"))
+    return placed.select("table_uuid", "snapshot_id", F.col("root_id").alias("root_snapshot_id"), "depth", size.alias("descendants"), nested_.alias("nested"))
 
 
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
@@ -137,6 +166,23 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_records(*load(spark, d, "file_records", "table_metadata", "manifest_entries", "snapshots"))
 
 
+def p5_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each record has after it was brought under the current schema, in its payload and
+    its branches together, defaults apart: as many as before."""
+    records = cut_table(drift.unified_records(*load(spark, d, "file_records", "table_metadata", "manifest_entries", "snapshots"), fill=False))
+    key = F.concat_ws("\u0001", "table_uuid", "file_path", F.coalesce(F.col("row_pos").cast("string"), F.lit("")))
+    kept = records.where("payload is not null").select(key.alias("k"), F.col("payload").alias("doc"))
+    spilled = records.where("payload is not null").select(key.alias("k"), F.explode("branches").alias("b", "v"))
+    # A scalar in a branch is one value, whatever its text is; other branches are JSON.
+    nested_ = F.col("b").rlike(":(struct|list|map)$") | (F.endswith("b", F.lit(":json")) & F.col("v").rlike(r"^[\[{]"))
+    docs = kept.unionByName(spilled.select("k", F.when(nested_, F.col("v")).otherwise(F.lit("0")).alias("doc")))
+    cells = nested.flatten(docs, "k", "doc").select("doc_key", F.size(F.filter(F.map_values("vals"), lambda v: v.isNotNull())).alias("n"))
+    parts = F.split("doc_key", "\u0001")
+    return cells.groupBy("doc_key").agg(F.sum("n").alias("leaves")).select(
+        parts[0].alias("table_uuid"), parts[1].alias("file_path"), F.when(parts[2] != "", parts[2].cast("bigint")).alias("row_pos"), "leaves"
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     fields = nested.schema_fields(nested.table_schemas(load(spark, d, "table_metadata")))
     return fields.select("table_uuid", "schema_id", "field_id", "parent_field_id").distinct()
@@ -173,5 +219,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p6_found, p6_schema, p6_relations, p7_found, p7_report,
+    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p3_rewritten, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p5_leaves, p6_found, p6_schema, p6_relations, p7_found, p7_report,
 )}

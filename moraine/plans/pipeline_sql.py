@@ -70,6 +70,10 @@ small AS (SELECT *, count(*) OVER (PARTITION BY table_uuid, partition_tuple) AS
 
 P3 = f"WITH {_LIVE} SELECT table_uuid, file_path FROM small WHERE n >= 2"
 
+P3_GROUPS = f"""WITH {_LIVE}
+SELECT table_uuid, partition_tuple, count(*) AS inputs, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes, true AS even
+FROM small WHERE n >= 2 GROUP BY ALL"""
+
 P4 = """WITH RECURSIVE nodes AS (SELECT table_uuid, snapshot_id, max(parent_snapshot_id) AS parent FROM snapshots GROUP BY ALL),
 tree AS (
   SELECT n.table_uuid, n.snapshot_id, n.snapshot_id AS root, 0::BIGINT AS depth FROM nodes n
@@ -93,6 +97,8 @@ up AS (
 sizes AS (SELECT table_uuid, a, count(*) - 1 AS below FROM up GROUP BY ALL)
 SELECT n.table_uuid, n.snapshot_id, coalesce(s.below, -1) AS descendants FROM nodes n LEFT JOIN sizes s ON s.table_uuid = n.table_uuid AND s.a = n.snapshot_id"""
 
+P4_SPANS = f"""SELECT t.*, d.descendants, true AS nested FROM ({P4}) t JOIN ({P4_DESCENDANTS}) d USING (table_uuid, snapshot_id)"""
+
 P4_HISTORY = """WITH RECURSIVE nodes AS (SELECT table_uuid, snapshot_id, max(parent_snapshot_id) AS parent FROM snapshots GROUP BY ALL),
 wanted AS (SELECT table_uuid, current_snapshot_id AS snapshot_id FROM table_metadata
   QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY last_updated_ms DESC, metadata_file DESC) = 1),
@@ -139,6 +145,10 @@ first AS (SELECT table_uuid, field_id, kind, min(schema_id) AS since_schema_id,
   array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM kinds GROUP BY ALL)
 SELECT table_uuid, field_id, CAST(row_number() OVER (PARTITION BY table_uuid, field_id ORDER BY since_schema_id, kind) - 1 AS INT) AS tag, * EXCLUDE (table_uuid, field_id) FROM first"""
 
+P5_LEAVES = """WITH records AS (SELECT DISTINCT table_uuid, file_path, row_pos, schema_id, payload FROM file_records WHERE json_type(payload) = 'OBJECT')
+SELECT table_uuid, file_path, row_pos, CAST(sum(CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN 1 ELSE 0 END) AS BIGINT) AS leaves
+FROM records, json_tree(payload) t GROUP BY ALL"""
+
 P6 = f"WITH RECURSIVE {_FIELDS} SELECT DISTINCT table_uuid, schema_id, field_id, parent_field_id FROM fields"
 
 _TREE = """docs AS (SELECT table_uuid, unnest(json_extract(schemas_json, '$[*]')) AS s FROM table_metadata),
@@ -182,11 +192,15 @@ ORACLE_SQL = {
     "p2_found": P2,
     "p2_feeds": P2,
     "p3_found": P3,
+    "p3_groups": P3_GROUPS,
+    "p3_rewritten": "SELECT table_uuid, file_path, row_pos, schema_id, payload FROM file_records",
     "p4_found": P4,
+    "p4_spans": P4_SPANS,
     "p4_descendants": P4_DESCENDANTS,
     "p4_history": P4_HISTORY,
     "p5_found": P5,
     "p5_union": P5_UNION,
+    "p5_leaves": P5_LEAVES,
     "p6_found": P6,
     "p6_schema": P6_SCHEMA,
     "p6_relations": P6_RELATIONS,

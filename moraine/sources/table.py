@@ -17,7 +17,7 @@ from ..core.config import TableConfig
 from ..core.errors import InvalidData
 from ..core.session import small_frame
 from ..core.storage import Storage, join, read_object
-from ..format.manifest import DATA, DELETED, POSITION_DELETES, DataFile, Entry, ManifestFile, decode_list, decode_manifest, inherit
+from ..format.manifest import ADDED, DATA, DELETED, POSITION_DELETES, DataFile, Entry, ManifestFile, decode_list, decode_manifest, inherit
 from ..format.metadata import MAIN, TableMetadata
 from ..format.types import PartitionSpec, SortOrder, Struct, Transform, evolve, to_spark
 from ..functions.paths import object_key, object_key_column
@@ -100,23 +100,26 @@ class Table:
         snapshot = self.metadata.snapshot(snapshot_id)
         return [] if snapshot is None else decode_list(self.storage.read(snapshot.manifest_list))
 
-    def entries(self, snapshot_id: int | None = None, wanted=None) -> list[Entry]:
+    def entries(self, snapshot_id: int | None = None, wanted=None, keep=None) -> list[Entry]:
         """All entries in manifest order, with inherited numbers filled in.
 
-        ``wanted`` tells from a manifest's summary whether it has to be read at all. Few entries are
-        decoded here, many by the executors.
+        ``wanted`` tells from a manifest's summary whether it has to be read at all, ``keep`` which
+        entries are wanted. Few entries are decoded here, many by the executors, where ``keep`` runs too, so
+        only what it keeps comes to the driver.
         """
-        manifests = [m for m in self.manifests(snapshot_id) if wanted is None or wanted(m)]
+        return self._decoded([m for m in self.manifests(snapshot_id) if wanted is None or wanted(m)], keep)
+
+    def _decoded(self, manifests: list[ManifestFile], keep=None) -> list[Entry]:
         if sum(m.added_files + m.existing_files + m.deleted_files for m in manifests) > DECODE_HERE:
-            return self._decoded_by_executors(manifests)
+            return self._decoded_by_executors(manifests, keep)
 
         def one(m: ManifestFile) -> list[Entry]:
-            return inherit(decode_manifest(self.storage.read(m.path))[1], m)
+            return [e for e in inherit(decode_manifest(self.storage.read(m.path))[1], m) if keep is None or keep(e)]
 
         with ThreadPoolExecutor(min(16, max(1, len(manifests)))) as pool:
             return [e for part in pool.map(one, manifests) for e in part]
 
-    def _decoded_by_executors(self, manifests: list[ManifestFile]) -> list[Entry]:
+    def _decoded_by_executors(self, manifests: list[ManifestFile], keep=None) -> list[Entry]:
         import pickle
 
         import pyarrow as pa
@@ -125,15 +128,15 @@ class Table:
             for b in batches:
                 for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     m = pickle.loads(blob)
-                    found = pickle.dumps(inherit(decode_manifest(read_object(m.path))[1], m))
+                    found = pickle.dumps([e for e in inherit(decode_manifest(read_object(m.path))[1], m) if keep is None or keep(e)])
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([found], pa.binary())], names=["i", "found"])
 
         source = self.spark.createDataFrame([(i, bytearray(pickle.dumps(m))) for i, m in enumerate(manifests)], "i int, m binary")
         rows = source.repartition(min(len(manifests), 512)).mapInArrow(run, "i int, found binary")
         return [e for r in sorted(rows.collect(), key=lambda r: r.i) for e in pickle.loads(bytes(r.found))]
 
-    def live_entries(self, snapshot_id: int | None = None, wanted=None) -> list[Entry]:
-        return [e for e in self.entries(snapshot_id, wanted) if e.status != DELETED]
+    def live_entries(self, snapshot_id: int | None = None, wanted=None, keep=None) -> list[Entry]:
+        return self.entries(snapshot_id, wanted, lambda e: e.status != DELETED and (keep is None or keep(e)))
 
     def data_files(self, snapshot_id: int | None = None) -> list[DataFile]:
         """Data files of a snapshot (the current one); an error if there is none."""
@@ -233,21 +236,22 @@ class Table:
     def new_transaction(self, branch: str = MAIN) -> Transaction:
         return Transaction(self, branch)
 
-    def append(self, df: DataFrame, partition_col: str | None = None, branch: str = MAIN, sort: bool = False, summary: dict | None = None) -> Table:
+    def append(self, df: DataFrame, partition_col: str | None = None, branch: str = MAIN, sort: bool = False, summary: dict | None = None, properties: dict | None = None) -> Table:
         """Add the rows of ``df`` as one snapshot; an empty ``df`` gives a snapshot without files.
+        ``summary`` goes into the snapshot, ``properties`` into the table, with the same commit.
 
         ``partition_col`` names a struct column with the partition tuple, which is not written.
         ``sort`` orders the rows of each file by the table's sort order.
         """
         files = self.new_writer().data(df, partition_col, self.metadata.sort_order if sort else None)
-        return self.new_transaction(branch).append_data_file(*files).set_summary(**(summary or {})).commit()
+        return self.new_transaction(branch).append_data_file(*files).set_summary(**(summary or {})).set_properties(**(properties or {})).commit()
 
-    def apply_changes(self, changes: DataFrame, op: str, seq: str, keys: list[str], partition_col: str | None = None, upsert: bool = False, summary: dict | None = None) -> ChangeReport:
+    def apply_changes(self, changes: DataFrame, op: str, seq: str, keys: list[str], partition_col: str | None = None, upsert: bool = False, summary: dict | None = None, properties: dict | None = None) -> ChangeReport:
         """Apply inserts (1) and deletes (2) in the order of ``seq`` as one snapshot."""
         ids = [self._field(k).id for k in keys]
         report = write_changes(self, changes, op, seq, ids, partition_col, upsert)
         tx = self.new_transaction().append_data_file(*report.data).append_delete_file(*report.position_deletes, *report.equality_deletes)
-        tx.set_summary(**(summary or {})).commit()
+        tx.set_summary(**(summary or {})).set_properties(**(properties or {})).commit()
         return report
 
     def delete_where_equal(self, keys: DataFrame, columns: list[str]) -> Table:
@@ -309,8 +313,8 @@ class Table:
     def overwrite(self, df: DataFrame) -> Table:
         """Replace all rows by those of ``df`` in one snapshot."""
         files = self.new_writer().data(df)
-        old = [e.file.path for e in self.live_entries()] if self.current_snapshot() else []
-        return self.new_transaction().append_data_file(*files).remove_files(*old).commit()
+        old = [e.file for e in self.live_entries()] if self.current_snapshot() else []
+        return self.new_transaction().append_data_file(*files).remove(*old).commit()
 
     def compact(self, small_bytes: int | None = None, target_bytes: int | None = None) -> int:
         """Merge small files of each partition and fold deletes in; returns how many files went.
@@ -362,8 +366,8 @@ class Table:
         if elsewhere:
             parts = scan._parts(elsewhere, deletes, names, 0)
             files += self.new_writer(config=replace(self.config, target_file_size=target)).data(reduce(DataFrame.unionByName, parts))
-        gone = [e.file.path for e in (*(e for entries in chosen.values() for e in entries), *deletes)]
-        self.new_transaction().append_data_file(*files).remove_files(*gone).rewrite().commit(retries=0)
+        gone = [e.file for e in (*(e for entries in chosen.values() for e in entries), *deletes)]
+        self.new_transaction().append_data_file(*files).remove(*gone).rewrite().commit(retries=0)
         return len(gone)
 
     def _paths_with_deletes(self, deletes: list[Entry]) -> set[str]:
@@ -426,11 +430,39 @@ class Table:
             raise InvalidData("not an ancestor of the current snapshot", snapshot_id=snapshot_id)
         return self.set_ref(MAIN, snapshot_id, "branch")
 
-    def expire_snapshots(self, older_than_ms: int, keep: int = 1) -> list[int]:
-        """Forget old snapshots that no reference needs; returns their ids. Files stay."""
+    def cherry_pick(self, snapshot_id: int) -> Table:
+        """Append the files that a snapshot outside the current history appended, as a new snapshot, once."""
+        picked = self.metadata.snapshot(snapshot_id)
+        if picked.summary.get("operation") != "append":
+            raise InvalidData("only an append can be picked", snapshot_id=snapshot_id)
+        seen, s = set(), self.current_snapshot()
+        while s is not None and s.snapshot_id not in seen:
+            seen |= {s.snapshot_id, int(s.summary.get("source-snapshot-id", s.snapshot_id))}
+            s = self.metadata.snapshots.get(s.parent_id)
+        if snapshot_id in seen:
+            raise InvalidData("the snapshot is in the history already", snapshot_id=snapshot_id)
+        own = [e for e in self.entries(snapshot_id, lambda m: m.snapshot_id == snapshot_id) if e.status == ADDED and e.snapshot_id == snapshot_id]
+        return self.new_transaction().append_data_file(*(e.file for e in own)).set_summary(**{"source-snapshot-id": str(snapshot_id)}).commit()
+
+    def expire_snapshots(self, older_than_ms: int, keep: int = 1, remove_files: bool = False) -> list[int]:
+        """Forget old snapshots that no reference needs; returns their ids.
+
+        With ``remove_files`` the manifests, data and delete files go that only they needed. Files of
+        writes that were never committed are not known here and stay.
+        """
         held = {r["snapshot-id"] for r in self.metadata.refs.values()}
         by_age = sorted(self.metadata.snapshots.values(), key=lambda s: -s.timestamp_ms)
         ids = [s.snapshot_id for s in by_age[keep:] if s.timestamp_ms < older_than_ms and s.snapshot_id not in held]
-        if ids:
-            self._update([], [{"action": "remove-snapshots", "snapshot-ids": ids}])
+        if not ids:
+            return ids
+        old = {i: (self.metadata.snapshots[i].manifest_list, self.manifests(i)) for i in ids}
+        self._update([], [{"action": "remove-snapshots", "snapshot-ids": ids}])
+        if remove_files:
+            kept: dict[str, ManifestFile] = {m.path: m for i in self.metadata.snapshots for m in self.manifests(i)}
+            gone = {m.path: m for _, ms in old.values() for m in ms if m.path not in kept}
+            files = {e.file.path for e in self._decoded(list(gone.values()))}
+            # A file may be named by a manifest of a snapshot that stays, where it was carried on.
+            files -= {e.file.path for e in self._decoded(list(kept.values())) if e.status != DELETED} if files else set()
+            with ThreadPoolExecutor(16) as pool:
+                list(pool.map(self.storage.delete, [*files, *gone, *(path for path, _ in old.values())]))
         return ids

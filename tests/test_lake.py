@@ -608,3 +608,55 @@ def test_compaction_rewrites_what_deletes_reach(spark, catalog):
     sizes = sorted(f.size for f in table.data_files())
     assert table.to_df().count() == 39_999 + 12_000 and table.delete_files() == []
     assert all(90_000 < s < 600_000 for s in sizes) and len(sizes) <= 12
+
+
+def test_writer_options_are_applied_or_refused(spark, catalog):
+    df = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("t"))
+    table = make(catalog, df)
+    write = lambda **k: table.new_writer(config=TableConfig(**k)).data(df.coalesce(1))[0]
+    low, high = write(compression="gzip", compression_level=1), write(compression="gzip", compression_level=9)
+    assert low.size > high.size and write(write_batch_size=50, data_page_size=1000).record_count == 5000
+    for refused in ({"created_by": "me"}, {"compression": "snappy", "compression_level": 3}):
+        with pytest.raises(FeatureUnsupported):
+            write(**refused)
+
+
+def test_picked_merged_and_expired(spark, catalog):
+    df = spark.range(8).select("id", (F.col("id") % 2).alias("k"))
+    table = make(catalog, df, ["k"])
+    table.set_properties(**{"commit.manifest.min-count-to-merge": "3"})
+    for _ in range(5):
+        table.append(df)
+    assert len(table.manifests()) < 5 and table.to_df().count() == 40 and len(table.data_files()) == 10
+    table.set_ref("side", 5, "branch")
+    table.append(df, branch="side")
+    table.cherry_pick(6)
+    assert table.to_df().count() == 48
+    for again in (6, 5):
+        with pytest.raises(InvalidData):
+            table.cherry_pick(again)
+    table.overwrite(df)
+    with pytest.raises(InvalidData):
+        table.cherry_pick(table.metadata.current_snapshot_id)
+    files = lambda: {n for n, _ in table.storage.listing(table.location + "/data")}
+    before = files()
+    table.expire_snapshots(1 << 62)
+    assert files() == before
+    table.append(df)
+    ids = table.expire_snapshots(1 << 62, remove_files=True)
+    assert ids and table.to_df().count() == 16 and table.new_scan().with_ref("side").to_df().count() == 48
+
+
+def test_removed_files_are_looked_for_where_they_can_be(spark, catalog):
+    df = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in range(12)], "id long, k long")
+    table = make(catalog, df, ["k"])
+    for k in (0, 1, 2, None):
+        table.append(df.where(F.col("k").eqNullSafe(F.lit(k))))
+    gone = [f for f in table.data_files() if f.partition["k"] in (1, None)]
+    tx = table.new_transaction().remove(*gone)
+    check = tx._may_hold(table.metadata)
+    assert sorted(check(m) for m in table.manifests()) == [False, False, True, True]
+    tx.commit()
+    assert {r.k for r in table.to_df().collect()} == {0, 2}
+    with pytest.raises(InvalidData):
+        table.new_transaction().remove(*gone).commit()

@@ -292,7 +292,7 @@ def test_rewritten_files_hold_the_same_records(spark, tmp_path):
         path = str(tmp_path / f"in{i}.parquet")
         table = pa.table({"a": pa.array(range(i * 3, i * 3 + i % 4), pa.int64()), "b": pa.array([None] * (i % 4), pa.string())})
         pq.write_table(table if i % 2 else table.drop_columns(["b"]), path)
-        rows.append(entry("t", path, part="p", size=len(open(path, "rb").read())))
+        rows.append(entry("t", path, part="p", records=i % 4 if i else None, size=len(open(path, "rb").read())))
     plan = compaction.plan_compaction(compaction.live_files(spark.createDataFrame(rows, ENTRY)), target_bytes=3000)
     out = str(tmp_path / "out")
     manifest = compaction.rewrite_files(spark, plan, out)
@@ -301,6 +301,18 @@ def test_rewritten_files_hold_the_same_records(spark, tmp_path):
     assert sorted(r.a for r in merged.collect()) == sorted(x for i in range(12) for x in range(i * 3, i * 3 + i % 4))
     with pytest.raises(CommitConflict):
         compaction.rewrite_files(spark, plan, out)
+    short = plan.withColumn("record_count", F.coalesce("record_count", F.lit(0)) + (F.col("file_path").like("%in3.parquet")).cast("long"))
+    with pytest.raises(InvalidData):  # a file has fewer records than the plan knows
+        compaction.rewrite_files(spark, short, str(tmp_path / "short"))
+    assert not (tmp_path / "short" / "current.json").exists()
+
+
+def test_small_files_are_written_one_to_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([(t, f, i) for i in range(40) for t, f in [("a", "x"), (None, "x"), ("b", None), ("a", str(i % 7))]], "t string, f string, i int")
+    listing = compaction.write_small_files(rows, ["t", "f"], f"file://{tmp_path}/small").collect()
+    assert len(listing) == 10 and sum(r.record_count for r in listing) == 160 and all(r.file_size_in_bytes > 0 for r in listing)
+    back = spark.read.parquet(*(r.path for r in listing))
+    assert tuples(back) == tuples(rows) and compaction.write_small_files(rows.limit(0), ["t"], f"file://{tmp_path}/none").count() == 0
 
 
 # ---------------------------------------------------------------- 4: hierarchies
