@@ -30,6 +30,8 @@ from ..core.storage import Storage, join
 
 #: Sequence numbers per block of the two-level running sum.
 BLOCK = 4096
+#: Folders of completed intervals that a batch ledger reads at most before it writes them as one.
+MERGE_FOLDERS = 32
 #: Events after which a log writes down its state, so that nobody has to read them all again.
 STATE_EVERY = 64
 
@@ -347,10 +349,14 @@ class BatchLease:
 
 def _fold_batch(state: dict, event: dict) -> dict:
     if event["state"] == "leased":
-        state["lease"] = {k: event[k] for k in ("token", "items", "expires_ms")} | {"open": True}
+        state["lease"] = {k: event[k] for k in ("token", "items", "expires_ms")} | {"open": True, "finished": False}
+        return state
+    if event["state"] == "merged":
+        state["done"] = [event["into"], *(x for x in state["done"] if x not in event["items"])]
         return state
     state["lease"]["open"] = False
     if event["state"] == "done":
+        state["lease"]["finished"] = True
         state["done"].append(event["items"])
         state["outputs"].append(event["output"])
     return state
@@ -399,9 +405,10 @@ class BatchLedger:
         if last and last["open"] and last["expires_ms"] > now:
             return None
         token = (last["token"] if last else 0) + 1
-        if last and last["items"] not in state["done"]:
+        if last and not last["finished"]:
             items = last["items"]
         else:
+            count = self._merge(count, state["done"])
             items = join(self.root, "leases", f"{token:08d}-{uuid.uuid4().hex}")
             points = changes.select("table_uuid", "sequence").distinct()
             states = ledger_states(points, self.events())
@@ -416,6 +423,19 @@ class BatchLedger:
         self.log.append(count, {"token": token, "state": "leased", "items": items, "expires_ms": lease.expires_ms})
         return lease
 
+    def _merge(self, count: int, done: list[str]) -> int:
+        """Write very many folders of completed intervals as one, touching intervals joined; the new number of events."""
+        if len(done) <= MERGE_FOLDERS:
+            return count
+        before = W.partitionBy("consumer", "table_uuid", "block").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+        turns = self._items(done).withColumn("turn", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-(2**62)))).cast("int"))
+        upto = W.partitionBy("consumer", "table_uuid", "block").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, 0)
+        runs = turns.withColumn("run", F.sum("turn").over(upto)).groupBy("consumer", "table_uuid", "block", "run")
+        into = join(self.root, "leases", f"merged-{uuid.uuid4().hex}")
+        runs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run").write.parquet(into)
+        self.log.append(count, {"state": "merged", "items": done, "into": into})
+        return count + 1
+
     def work(self, lease: BatchLease, changes: DataFrame) -> DataFrame:
         """The leased changes: ``changes`` with a ``consumer``, each change once per consumer."""
         return (

@@ -135,7 +135,8 @@ def p4_spans(spark: SparkSession, d: str) -> DataFrame:
     links = rows.groupBy("table_uuid", "snapshot_id").agg(F.max("parent_snapshot_id").alias("parent_id"))
     above = found.select(F.col("tree").alias("table_uuid"), F.col("node_id").alias("parent_id"), F.col("first").alias("f"), F.col("last").alias("l"))
     placed = found.withColumnsRenamed({"tree": "table_uuid", "node_id": "snapshot_id"}).join(links, ["table_uuid", "snapshot_id"]).join(above, ["table_uuid", "parent_id"], "left")
-    once = F.count("first").over(W.partitionBy("table_uuid", "root_id", "first")) <= 1
+    alone = F.when(F.col("first").isNull(), F.col("snapshot_id"))  # those without a number are not one group
+    once = F.count("first").over(W.partitionBy("table_uuid", "root_id", "first", alone)) <= 1
     nested_ = F.coalesce((F.col("first") > F.col("f")) & (F.col("last") <= F.col("l")), F.lit(True)) & once
     size = F.coalesce(F.col("last") - F.col("first"), F.lit(-1).cast("bigint"))
     return placed.select("table_uuid", "snapshot_id", F.col("root_id").alias("root_snapshot_id"), "depth", size.alias("descendants"), nested_.alias("nested"))

@@ -138,7 +138,7 @@ def test_retries_show_each_record_once(spark, tmp_path, monkeypatch):
     assert sum(n.startswith("state-") for n in names) == 4
 
 
-def test_batch_ledger_does_all_consumers(spark, tmp_path):
+def test_batch_ledger_does_all_consumers(spark, tmp_path, monkeypatch):
     now = [1000]
     runs = spark.createDataFrame([(1, "c", "t", 0, 2, "succeeded", 10), (2, "c", "t", 4, 5, "succeeded", 10), (3, "d", "u", 0, 1, "failed", 1), (4, "d", "t", None, None, "running", 1)], RUN)
     rows = spark.createDataFrame([(t, s, f"{t}{s}") for t in "tu" for s in (1, 2, 3, 4, 5, 6, 5000, 9000)], "table_uuid string, sequence long, file_path string")
@@ -159,6 +159,10 @@ def test_batch_ledger_does_all_consumers(spark, tmp_path):
     ledger.work(last, rows).write.parquet(last.output)
     ledger.complete(last)
     assert ledger.lease(rows) is None and spark.read.parquet(*ledger.outputs()).count() == 15 + 6
+    monkeypatch.setattr(incremental, "MERGE_FOLDERS", 1)
+    assert ledger.lease(rows) is None and len(ledger.log.read()[1]["done"]) == 1 and ledger.lease(rows) is None
+    more = rows.unionByName(spark.createDataFrame([("t", 7, "t7")], rows.schema))
+    assert tuples(ledger.work(ledger.lease(more), more).select("consumer", "file_path")) == [("c", "t7"), ("d", "t7")]
 
 
 # ---------------------------------------------------------------- 2: change feed
