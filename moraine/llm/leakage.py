@@ -8,14 +8,17 @@ Suffixes that share no ``min_words`` words with a test text match nothing and ar
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core.session import cut_table
 from .textform import form
 
 MIN_WORDS = 8
@@ -128,7 +131,15 @@ def search_shard(corpus: np.ndarray, test: TestTexts, min_words: int = MIN_WORDS
 _MATCH = "item_id bigint, part string, doc_id bigint, matched_words int, item_word int, doc_word int"
 
 
-def _search(test: TestTexts, min_words: int, shard_words: int):
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [words(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "words"])
+
+
+def _search(test: TestTexts, min_words: int, shard_words: int, split: bool = False):
+    """``split``: the second column has word lists already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = test.vocabulary.get
 
@@ -160,7 +171,7 @@ def _search(test: TestTexts, min_words: int, shard_words: int):
         parts, docs, starts, size = [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text)
+                found = text if split else words(text)
                 if len(found) < min_words:
                     continue
                 row = np.zeros(len(found) + 1, dtype=np.int64)
@@ -208,16 +219,21 @@ def leaked_passages(
     """(item_id, part, doc_id, matched_words, item_word, doc_word), the longest match of each test
     text in each document that shares ``min_words`` or more consecutive words with it.
 
-    Test texts travel to the executors in blocks of bounded size, one pass over the corpus each; the
-    corpus does not move at all. Null and short texts match nothing. Of equally long matches the
-    first is reported. Repeated documents are each reported.
+    Test texts travel to the executors in blocks of bounded size; the corpus does not move at all. If there
+    is more than one block, the corpus is split into words once and written, each block is one pass over
+    that, and its matches are written before the next block is made. Null and short texts match
+    nothing. Of equally long matches the first is reported. Repeated documents are each reported.
     """
-    found: DataFrame | None = None
     corpus = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    for block in test_blocks(items, item, list(parts), block_words):
-        part = corpus.mapInArrow(_search(TestTexts(block), min_words, shard_words), _MATCH)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], _MATCH) if found is None else found
+    blocks = test_blocks(items, item, list(parts), block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.sparkSession.createDataFrame([], _MATCH)
+    if second is None:
+        return corpus.mapInArrow(_search(TestTexts(first), min_words, shard_words), _MATCH)
+    lists = cut_table(corpus.mapInArrow(_word_lists, "doc_id bigint, words array<string>"))
+    each = (cut_table(lists.mapInArrow(_search(TestTexts(b), min_words, shard_words, True), _MATCH)) for b in itertools.chain((first, second), blocks))
+    return reduce(DataFrame.unionByName, each)
 
 
 def clean_documents(docs: DataFrame, leaks: DataFrame) -> DataFrame:
