@@ -26,8 +26,8 @@ from ..format.values import to_bytes
 from ..functions.transforms import micros_of, transform_column
 
 PART, PKEY, GROUP = "__partition", "__pkey", "__group"
-#: Rows of a first write that are measured to learn how many fill a file.
-PROBE_ROWS = 4096
+#: Rows of a first write that are measured to learn how many fill a file; the driver holds them for that.
+PROBE_ROWS = 2048
 SEQ_COLUMN, SEQ_ID = "__change_seq", 2147483447
 TIMESTAMP_TYPE = "spark.sql.parquet.outputTimestampType"
 
@@ -188,23 +188,19 @@ class FileWriter:
         return min(x for x in (fitting, self.config.rows_per_file) if x) if fitting or self.config.rows_per_file else 0
 
     def _probe(self, rows: DataFrame, shape: T.StructType) -> float:
-        names, codec = [f.name for f in shape.fields], self.config.compression.lower()
-
-        def measure(batches):
-            import pyarrow as pa
-            import pyarrow.parquet as pq
-
-            held = list(batches)
-            n = sum(b.num_rows for b in held)
-            sink = pa.BufferOutputStream()
-            if n:
-                pq.write_table(pa.Table.from_batches(held), sink, compression=codec if codec in ("snappy", "gzip", "zstd", "brotli") else "none" if codec == "uncompressed" else "snappy")
-                meta = pq.ParquetFile(pa.BufferReader(sink.getvalue())).metadata
-                size = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["n", "bytes"])
-
-        found = rows.select(*(F.col(f"`{n}`") for n in names)).limit(PROBE_ROWS).coalesce(1).mapInArrow(measure, "n bigint, bytes bigint").first()
-        return found.bytes / found.n if found else 0.0
+        """Bytes of a row as Parquet, by the first ``PROBE_ROWS`` rows, which come to the driver."""
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        found = rows.select(*(F.col(f"`{f.name}`") for f in shape.fields)).limit(PROBE_ROWS).toArrow()
+        if not found.num_rows:
+            return 0.0
+        codec, sink = self.config.compression.lower(), pa.BufferOutputStream()
+        codec = "none" if codec == "uncompressed" else codec if codec in ("gzip", "zstd", "brotli") else "snappy"
+        pq.write_table(found, sink, compression=codec)
+        meta = pq.ParquetFile(pa.BufferReader(sink.getvalue())).metadata
+        size = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns))
+        return size / found.num_rows
 
     def _sort_columns(self, sort: SortOrder | None) -> list[Column]:
         out = []
