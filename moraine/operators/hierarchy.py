@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..core.errors import LakeError
-from ..core.session import cut
+from ..core.session import cut, parallelism
 
 #: Nodes in one range, about. A forest of at most this many nodes is finished in one task.
 RANGE_NODES = 200_000
+#: Steps from one anchor of a path to the next, see ``paths``.
+STRIDE = 16
+#: Rows of written-out paths that one task makes, about.
+TASK_ROWS = 1_000_000
 
 
 def contract(node: np.ndarray, parent: np.ndarray, weight: np.ndarray, children: np.ndarray, own: np.ndarray, extra: np.ndarray):
@@ -346,6 +350,47 @@ def histories(rows: DataFrame, tree: str, node: str, parent: str, place: str, wa
     return found.join(name("node", "node_id"), "node").join(name("ancestor", "ancestor_id").drop("tree"), "ancestor").select("tree", "node_id", "ancestor_id", "distance")
 
 
+def paths(rows: DataFrame, tree: str, node: str, parent: str, place: str, stride: int = STRIDE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(tree, node_id, ancestor_id, distance): the full path of every node, itself included.
+
+    Read by ancestor, these are all descendants. A node whose ancestry never ends gives one row, its
+    ancestor and distance -1.
+
+    Nodes whose depth is a multiple of ``stride`` are anchors. All nodes look up their ancestors as far as the
+    first anchor, and only anchors look up all of theirs, so what is moved is about 1 / ``stride`` of the
+    answer, and ``stride`` rows a node. The last join makes the answer and is not moved; it is cut by the
+    rows it will make, so neither a long path nor an anchor of very many nodes is one task.
+    """
+    links = cut(identify(rows, tree, node, parent, place))
+    placed = cut(links.join(roots_and_depths(links).select("node", "root", "depth"), "node"))
+    good = placed.where("root <> -1")
+    off = F.col("depth") % stride
+    near = ancestry(good.withColumn("parent", F.when(off == 0, -1).otherwise(F.col("parent"))), good)
+    far = ancestry(good, good.where(off == 0))
+    name = good.select(F.col("node").alias("ancestor"), F.col("node_id").alias("ancestor_id"))
+    local = near.join(good.select("node", "tree", "node_id", off.alias("off")), "node")
+    below = local.where("distance < off").join(name, "ancestor").select("tree", "node_id", "ancestor_id", "distance")
+    starts = cut(local.where("distance = off").select(F.col("ancestor").alias("anchor"), "node", "tree", "node_id", "off"))
+
+    length = good.select(F.col("node").alias("anchor"), (F.col("depth") + 1).alias("length"))
+    loads = starts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).join(length, "anchor").select("anchor", (F.col("n") * F.col("length")).alias("made"))
+    loads = cut(loads.withColumn("pieces", F.ceil(F.col("made") / task_rows)))
+    made = loads.agg(F.sum("made")).first()[0] or 0  # one number
+    tasks = max(parallelism(rows.sparkSession), min(-(-made // task_rows), 20_000))
+    lower = starts.join(loads, "anchor").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces")).drop("pieces", "made", "node")
+    upper = (
+        far.join(name, "ancestor")
+        .select(F.col("node").alias("anchor"), "ancestor_id", F.col("distance").alias("beyond"))
+        .join(loads, "anchor")
+        .select("anchor", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), "ancestor_id", "beyond")
+    )
+    key = ["anchor", "piece"]
+    above = lower.repartition(tasks, *key).join(upper.repartition(tasks, *key), key).select("tree", "node_id", "ancestor_id", (F.col("off") + F.col("beyond")).alias("distance"))
+    never = F.lit(-1).cast("bigint")
+    endless = placed.where("root = -1").select("tree", "node_id", never.alias("ancestor_id"), never.alias("distance"))
+    return below.unionByName(above).unionByName(endless)
+
+
 def ancestry(links: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, ancestor, distance) for each wanted node, itself at distance 0, up to its root.
 

@@ -142,8 +142,15 @@ def p4_spans(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("table_uuid", "snapshot_id", F.col("root_id").alias("root_snapshot_id"), "depth", size.alias("descendants"), nested_.alias("nested"))
 
 
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of every snapshot, itself at distance 0; read by ancestor, all descendants. A snapshot whose
+    ancestry never ends has one row, with -1."""
+    found = hierarchy.paths(load(spark, d, "snapshots"), "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number")
+    return found.withColumnsRenamed({"tree": "table_uuid", "node_id": "snapshot_id", "ancestor_id": "ancestor_snapshot_id"})
+
+
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
-    """The full path of each table's snapshots that metadata documents call current."""
+    """The full path of the snapshot that the newest metadata document of each table calls current (of all: ``p4_paths``)."""
     snapshots, metadata = load(spark, d, "snapshots", "table_metadata")
     current = metadata.groupBy("table_uuid").agg(F.max_by("current_snapshot_id", F.struct("last_updated_ms", "metadata_file")).alias("node_id"))
     found = hierarchy.histories(snapshots, "table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number", current.withColumnRenamed("table_uuid", "tree"))
@@ -220,5 +227,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p3_rewritten, p4_found, p4_descendants, p4_spans, p4_history, p5_found, p5_union, p5_records, p5_leaves, p6_found, p6_schema, p6_relations, p7_found, p7_report,
+    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p3_rewritten, p4_found, p4_descendants, p4_spans, p4_paths, p4_history, p5_found, p5_union, p5_records, p5_leaves, p6_found, p6_schema, p6_relations, p7_found, p7_report,
 )}

@@ -99,6 +99,20 @@ SELECT n.table_uuid, n.snapshot_id, coalesce(s.below, -1) AS descendants FROM no
 
 P4_SPANS = f"""SELECT t.*, d.descendants, true AS nested FROM ({P4}) t JOIN ({P4_DESCENDANTS}) d USING (table_uuid, snapshot_id)"""
 
+P4_PATHS = """WITH RECURSIVE nodes AS (SELECT table_uuid, snapshot_id, max(parent_snapshot_id) AS parent FROM snapshots GROUP BY ALL),
+tree AS (
+  SELECT n.table_uuid, n.snapshot_id FROM nodes n
+  WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.table_uuid = n.table_uuid AND p.snapshot_id = n.parent)
+  UNION ALL
+  SELECT n.table_uuid, n.snapshot_id FROM tree t JOIN nodes n ON n.table_uuid = t.table_uuid AND n.parent = t.snapshot_id),
+up AS (
+  SELECT table_uuid, snapshot_id, snapshot_id AS a, 0::BIGINT AS distance FROM tree
+  UNION ALL
+  SELECT u.table_uuid, u.snapshot_id, p.snapshot_id, distance + 1 FROM up u JOIN nodes n ON n.table_uuid = u.table_uuid AND n.snapshot_id = u.a
+    JOIN nodes p ON p.table_uuid = n.table_uuid AND p.snapshot_id = n.parent)
+SELECT table_uuid, snapshot_id, a AS ancestor_snapshot_id, distance FROM up
+UNION ALL SELECT table_uuid, snapshot_id, -1, -1 FROM nodes ANTI JOIN tree USING (table_uuid, snapshot_id)"""
+
 P4_HISTORY = """WITH RECURSIVE nodes AS (SELECT table_uuid, snapshot_id, max(parent_snapshot_id) AS parent FROM snapshots GROUP BY ALL),
 wanted AS (SELECT table_uuid, current_snapshot_id AS snapshot_id FROM table_metadata
   QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY last_updated_ms DESC, metadata_file DESC) = 1),
@@ -197,6 +211,7 @@ ORACLE_SQL = {
     "p4_found": P4,
     "p4_spans": P4_SPANS,
     "p4_descendants": P4_DESCENDANTS,
+    "p4_paths": P4_PATHS,
     "p4_history": P4_HISTORY,
     "p5_found": P5,
     "p5_union": P5_UNION,

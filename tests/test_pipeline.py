@@ -15,6 +15,7 @@ from moraine.core.errors import CommitConflict, InvalidData, LakeError
 from moraine.core.session import scratch_path
 from moraine.functions.paths import canonical_path_text
 from moraine.operators import changefeed, compaction, drift, hierarchy, incremental, nested, references
+from moraine.plans import pipeline
 
 ENTRY = "table_uuid string, manifest_path string, added_snapshot_id long, status int, snapshot_id long, sequence_number long, content int, file_path string, partition_tuple string, record_count long, file_size_in_bytes long, equality_ids array<int>, consumer string"
 SNAP = "table_uuid string, snapshot_id long, parent_snapshot_id long, sequence_number long, timestamp_ms long, manifest_list string, schema_id long, file_path string"
@@ -399,6 +400,29 @@ def test_ancestry_lists_every_ancestor(spark):
     assert got == [(3, 0, 3), (3, 1, 2), (3, 2, 1), (3, 3, 0), (5, 5, 0)]
 
 
+def test_every_path_is_written_out(spark, tmp_path):
+    rng = random.Random(6)
+    parents = [random_forest(rng, n) for n in (1, 2, 30, 40)] + [{i: i - 1 for i in range(25)}, {i: min(i - 1, 9) for i in range(40)}]
+    rows, want = [], set()
+    for t, forest in enumerate(parents):
+        answer = forest_answer(forest)
+        for i, p in forest.items():
+            rows.append((f"t{t}", i, p, rng.randrange(1000), 0, None, 0, "x"))
+            want |= {(f"t{t}", i, -1, -1)} if answer[i] == (-1, -1) else set()
+            m = i
+            for distance in range(answer[i][1] + 1):
+                want.add((f"t{t}", i, m, distance))
+                m = forest[m]
+    df = spark.createDataFrame(rows + rows[:20] + [("t0", None, 3, 1, 0, None, 0, "x")], SNAP)
+    args = ("table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number")
+    got = tuples(hierarchy.paths(df, *args, stride=3, task_rows=7))
+    assert len(got) == len(want) and set(got) == want
+    assert hierarchy.paths(df.limit(0), *args).count() == 0
+    df.write.parquet(f"{tmp_path}/snapshots.parquet")
+    query = pipeline.QUERIES["p4_paths"](spark, str(tmp_path))
+    assert query.columns == ["table_uuid", "snapshot_id", "ancestor_snapshot_id", "distance"] and set(tuples(query)) == want
+
+
 @settings(deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60))
 def test_contraction_of_one_range(seed, n):
