@@ -167,6 +167,34 @@ def relation_table(flat: DataFrame, relation: str, schema: DataFrame | None = No
     return flat.where(F.col("relation") == relation).select("doc_key", "row_key", "parent_key", "ordinal", *cols)
 
 
+def _column_types(kinds: Column) -> Column:
+    """``column_type`` of a column of sets of kinds."""
+    within = lambda *known: F.size(F.array_except(kinds, F.array(*map(F.lit, known)))) == 0
+    integers = ("long", "large long")
+    return (
+        F.when(F.size(kinds) == 0, "string")
+        .when(within("boolean"), "boolean")
+        .when(within(*integers), "bigint")
+        .when(within(*integers, "integer of 38 digits"), "decimal(38,0)")
+        .when(within("long", "double"), "double")
+        .otherwise("string")
+    )
+
+
+def typed_cells(flat: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """(doc_key, relation, row_key, parent_key, ordinal, name, type, value): the tables of all relations, a row per cell.
+
+    ``name`` is the place in the row as the merged schema has it, empty for scalar elements, ``type`` the type of that
+    column in ``relation_table`` and ``value`` the value's text. A JSON null is a cell without value, an absent
+    member is none, and a row that has no cell gives one row without a name. One pass, however many relations and columns.
+    """
+    schema = merged_schema(flat) if schema is None else schema
+    types = schema.select("relation", "name", _column_types(F.col("kinds")).alias("type"))
+    keys = ("doc_key", "relation", "row_key", "parent_key", "ordinal")
+    cells = flat.select(*keys, F.explode_outer("vals").alias("name", "v"))
+    return cells.join(types, ["relation", "name"], "left").select(*keys, "name", "type", plain(F.col("v")).alias("value"))
+
+
 def table_schemas(metadata: DataFrame) -> DataFrame:
     """(table_uuid, schema_id, schema_json): each schema of each lake table once.
 

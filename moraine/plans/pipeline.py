@@ -203,7 +203,8 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_relations(spark: SparkSession, d: str) -> DataFrame:
-    """The typed tables of the fields of schemas and of structs in them, with parent key and ordinal."""
+    """Of the typed tables those of the fields of schemas and of structs in them, side by side under the columns that
+    they share, with parent key and ordinal (all tables and columns: ``p6_tables``)."""
     flat = cut_table(nested.flat_schemas(nested.table_schemas(load(spark, d, "table_metadata"))))
     schema = cut_table(nested.merged_schema(flat))
     out = None
@@ -216,6 +217,14 @@ def p6_relations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The typed tables of all relations of the schema documents, at any depth and with all columns, a row per cell."""
+    flat = cut_table(nested.flat_schemas(nested.table_schemas(load(spark, d, "table_metadata"))).drop("carried"))
+    cells = nested.typed_cells(flat, cut_table(nested.merged_schema(flat)))
+    keys = F.split("doc_key", nested.SEPARATOR)
+    return cells.select(keys[0].alias("table_uuid"), keys[1].cast("int").alias("schema_id"), "relation", "row_key", "parent_key", "ordinal", "name", "type", "value")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     snapshots, log, entries, listing = load(spark, d, "snapshots", "metadata_log", "manifest_entries", "stored_files")
     most = snapshots.count() + log.count() + entries.count()  # by the files' footers
@@ -227,5 +236,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p3_rewritten, p4_found, p4_descendants, p4_spans, p4_paths, p4_history, p5_found, p5_union, p5_records, p5_leaves, p6_found, p6_schema, p6_relations, p7_found, p7_report,
+    p1_found, p1_ledger, p1_runs, p2_found, p2_feeds, p3_found, p3_groups, p3_rewritten, p4_found, p4_descendants, p4_spans, p4_paths, p4_history, p5_found, p5_union, p5_records, p5_leaves, p6_found, p6_schema, p6_relations, p6_tables, p7_found, p7_report,
 )}

@@ -183,6 +183,26 @@ SELECT table_uuid, schema_id, relation, row_key, regexp_replace(row_key, '/[^/]*
   CASE WHEN json_type(v, '$.type') = 'VARCHAR' THEN v ->> '$.type' END AS type
 FROM placed WHERE relation IN ('$/fields', '$/fields/type.fields', '$/fields/type.element.fields') AND row_key LIKE '%]'"""
 
+P6_TABLES = f"""WITH {_TREE},
+keyed AS (SELECT table_uuid, schema_id, type, value ->> '$' AS value, replace(replace(k, '$.', '$/'), '].', ']/') AS k, k = '$' OR k LIKE '%]' AS is_row FROM cells WHERE type <> 'ARRAY'),
+leaves AS (
+  SELECT table_uuid, schema_id, CASE WHEN is_row THEN k ELSE regexp_replace(k, '/[^/]*$', '') END AS row_key,
+    CASE WHEN is_row THEN '' ELSE regexp_extract(k, '[^/]*$') END AS name, type AS kind, value
+  FROM keyed WHERE type <> 'OBJECT'),
+rows AS (
+  SELECT * FROM leaves
+  UNION ALL SELECT table_uuid, schema_id, row_key, NULL, NULL, NULL
+  FROM (SELECT table_uuid, schema_id, k AS row_key FROM keyed WHERE type = 'OBJECT' AND is_row) ANTI JOIN leaves USING (table_uuid, schema_id, row_key)),
+placed AS (SELECT *, regexp_replace(row_key, '\\[\\d+\\]', '', 'g') AS relation FROM rows),
+types AS (
+  SELECT relation, name, CASE WHEN bool_and(kind = 'BOOLEAN') THEN 'boolean' WHEN bool_and(kind IN ('UBIGINT', 'BIGINT')) THEN 'bigint'
+    WHEN bool_and(kind IN ('UBIGINT', 'BIGINT', 'DOUBLE')) THEN 'double' ELSE 'string' END AS type
+  FROM placed WHERE kind <> 'NULL' GROUP BY ALL)
+SELECT table_uuid, schema_id, relation, row_key, CASE WHEN row_key <> '$' THEN regexp_replace(row_key, '/[^/]*$', '') END AS parent_key,
+  CASE WHEN row_key = '$' THEN 0 ELSE CAST(regexp_extract(row_key, '\\[(\\d+)\\]$', 1) AS INT) END AS ordinal,
+  name, CASE WHEN name IS NOT NULL THEN coalesce(type, 'string') END AS type, value
+FROM placed LEFT JOIN types USING (relation, name)"""
+
 P7 = f"""WITH {_SNAPS},
 refs AS (
   SELECT 'snapshots' AS ref_table, table_uuid, manifest_list AS ref_path, min(timestamp_ms) AS at_ms FROM snapshots WHERE manifest_list IS NOT NULL GROUP BY ALL
@@ -219,6 +239,7 @@ ORACLE_SQL = {
     "p6_found": P6,
     "p6_schema": P6_SCHEMA,
     "p6_relations": P6_RELATIONS,
+    "p6_tables": P6_TABLES,
     "p7_found": P7,
     "p7_report": P7_REPORT,
 }

@@ -590,6 +590,33 @@ def test_flattening_documents(spark):
     assert nested.flatten(spark.createDataFrame([(1, deep)], "id int, doc string"), "id", "doc").count() == 901
 
 
+def test_cells_are_those_of_all_typed_tables(spark, tmp_path):
+    docs = [(1, '{"a": {"b": 1, "c.d": "x"}, "l": [{"v": 1.5, "k": [1, 2]}, {"v": null}, {}], "e": [], "n": null}'), (2, '{"n": 2, "l": [{"v": 7, "k": [9007199254740993]}]}'), (3, None), (4, "[[true],[]]")]
+    flat = nested.flatten(spark.createDataFrame(docs, "id int, doc string"), "id", "doc").cache()
+    cells = nested.typed_cells(flat).collect()
+    assert {(r.doc_key, r.row_key) for r in cells} == {(r.doc_key, r.row_key) for r in flat.collect()}
+    assert [(r.row_key, r.ordinal) for r in cells if r.name is None and r.doc_key == "1"] == [("$/l[2]", 2)]
+    for relation in {r.relation for r in cells}:
+        table = nested.relation_table(flat, relation)
+        types = {f.name: f.dataType.simpleString() for f in table.schema}
+        here = [r for r in cells if r.relation == relation]
+        assert all(types[r.name or "value"] == r.type for r in here if r.name is not None)
+        want = {(r.doc_key, r.row_key, c, str(r[c]).replace("True", "true").replace(".0", "")) for r in table.collect() for c in table.columns[4:] if r[c] is not None}
+        assert {(r.doc_key, r.row_key, r.name or "value", r.value) for r in here if r.value is not None} == want
+    struct = lambda *f: {"type": "struct", "fields": list(f)}
+    deep = struct(fld(5, "x", struct(fld(6, "y", "int", doc="d"))))
+    schema = schema_json(0, [fld(1, "m", {"type": "map", "key-id": 2, "key": "string", "value-id": 3, "value": deep, "value-required": True})], **{"identifier-field-ids": [6]})
+    spark.createDataFrame([("m1", "t", 1, json.dumps([schema]), 0, "n")], META).write.parquet(f"{tmp_path}/table_metadata.parquet")
+    got = {(r.relation, r.row_key, r.parent_key, r.name, r.type, r.value) for r in pipeline.QUERIES["p6_tables"](spark, str(tmp_path)).collect()}
+    value = "$/fields[0]/type.value.fields[0]"
+    assert len(got) == 2 + 9 + 4 + 5 + 1
+    assert {
+        ("$", "$", None, "schema-id", "bigint", "0"), ("$/fields", "$/fields[0]", "$", "type.value-required", "boolean", "true"),
+        ("$/fields/type.value.fields", value, "$/fields[0]", "id", "bigint", "5"), ("$/fields/type.value.fields/type.fields", f"{value}/type.fields[0]", value, "doc", "string", "d"),
+        ("$/identifier-field-ids", "$/identifier-field-ids[0]", "$", "", "bigint", "6"),
+    } <= got
+
+
 # ---------------------------------------------------------------- 7: references
 
 
